@@ -9,7 +9,8 @@ date a date, and equal values become equal pseudonyms in every document.
 Kinds: cards (13-19 digits, Luhn), IBANs (mod 97), US social security numbers,
 phone numbers with a country code or of the form (ddd) ddd-dddd, IPv4 addresses,
 e-mail addresses (the part before @), dates (1900-2099: ISO, and d/m/y or m/d/y
-with four-digit years), and secrets (hexadecimal strings of 32, 40 or 64 digits).
+with four-digit years), and secrets (hexadecimal strings of 32, 40 or 64 digits,
+access keys that begin with AKIA).
 What looks similar but isn't valid stays as it is.
 
 Null texts stay null.  Every other column is kept; rows are independent.
@@ -174,6 +175,8 @@ def _date(text: str, key: bytes, permute) -> str | None:
 
 
 def _secret(text: str, key: bytes, permute) -> str | None:
+    if text.startswith("AKIA"):
+        return "AKIA" + _spelled(text[4:], key, permute)
     if text.isdigit():
         return None
     new = f"{permute(int(text, 16), 16 ** len(text), key + bytes((len(text),))):x}".zfill(len(text))
@@ -182,7 +185,7 @@ def _secret(text: str, key: bytes, permute) -> str | None:
 
 _VALID = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "email": _email, "date": _date, "secret": _secret}
 _ANY = re.compile(
-    r"(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?![0-9A-Za-z]))"
+    r"(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"

@@ -87,7 +87,7 @@ def _term_slots() -> list[np.ndarray]:
     return [np.array([int(slots(pa.array([t]))[0][0]) for t in terms]) for terms in IDENTITY_TERMS.values()]
 
 
-def fit(rows: list[tuple[int, bytes]], strength: float = 4.0, l1: float = 0.7, l2: float = 0.5, rounds: int = 400) -> Classifier:
+def fit(rows: list[tuple[int, bytes]], strength: float = 4.0, l1: float = 1.3, l2: float = 0.02, rounds: int = 400) -> Classifier:
     """The classifier; strength weighs the counterfactual penalty."""
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
