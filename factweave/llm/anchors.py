@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from factweave.llm import exchange as X
-from factweave.llm.textops import SPACED, U, covered, flat, isin_sorted, owner, per_text, windows, word_hashes, words
+from factweave.llm.textops import SPACED, U, covered, flat, hashed_words, isin_sorted, owner, per_text, windows
 
 SCHEMA = "doc_id long, n_words long, n_removed long, text string"
 LAST = np.iinfo(np.int64).max
@@ -43,10 +43,8 @@ def _short(hashes: np.ndarray, n: int) -> np.ndarray:
     return (hashes >> U(16)) * U(n) + hashes % U(n)
 
 
-def _words(table: pa.Table):
-    data, off = flat(table["text"])
-    start, end, first = words(data, off, SPACED)
-    return data, off, word_hashes(data, start, end), first
+def _words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return hashed_words(table["text"], SPACED, False)
 
 
 def _order(table: pa.Table) -> np.ndarray:
@@ -63,7 +61,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     chunked = X.chunks(docs, ["doc_id", "text"])
 
     def probes(table: pa.Table, _):
-        _, _, hashes, first = _words(table)
+        hashes, first = _words(table)
         runs, at = windows(hashes, first, block)
         indexed = (at - first[owner(first)[at]]) % block == 0
         order = np.argsort(runs)
@@ -103,7 +101,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             yield pack48(keys[i][hit[_slice(part, i)]])
 
     def extended(table: pa.Table, got):
-        _, _, hashes, first = _words(table)
+        hashes, first = _words(table)
         held = np.sort(np.concatenate([unpack48(p) * U(n) + U(b) for b, p in got.items()])) if got else np.zeros(0, U)
         if not len(held):
             return
@@ -147,7 +145,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             yield k[gone[_slice(part, i)]].tobytes()
 
     def cut(table: pa.Table, got) -> pa.Table:
-        data, off, hashes, first = _words(table)
+        hashes, first = _words(table)
         runs, at = windows(hashes, first, window)
         held = np.sort(np.concatenate([np.frombuffer(p, "<u8") for p in got.values()])) if got else np.zeros(0, U)
         order = np.lexsort((_order(table)[owner(first)[at]], runs))
@@ -155,9 +153,10 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         gone[order[1:]] |= runs[order][1:] == runs[order][:-1]
         drop = covered(at[gone], window, len(hashes))
         removed = per_text(drop, first)
-        raw, kept = data.tobytes(), []
+        data, off = flat(table["text"])
+        kept = []
         for d in range(len(first) - 1):
-            tokens = raw[off[d] : off[d + 1]].split()
+            tokens = data[off[d] : off[d + 1]].tobytes().split()
             kept.append(b" ".join(compress(tokens, ~drop[first[d] : first[d + 1]]) if removed[d] else tokens))
         return pa.table({"doc_id": table["doc_id"].cast(pa.int64()), "n_words": np.diff(first), "n_removed": removed.astype(np.int64), "text": pa.array(kept, pa.binary()).cast(pa.string())})
 

@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from factweave.llm import exchange as X
 from factweave.llm.anchors import _slice
-from factweave.llm.textops import LOWER, SPACED, U, flat, mix, per_text, pieces, word_hashes, words
+from factweave.llm.textops import LOWER, SPACED, U, flat, hashed_words, mix, per_text, pieces
 
 DEPTH = 5
 #: Bytes of text a chunk has, and how many are looked at together.
-CHUNK, SLICE = 16 << 20, 3 << 20
+CHUNK, SLICE = 16 << 20, 1 << 20
 SCHEMA = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
@@ -211,10 +211,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
         return remainders(table["doc_id"].to_pylist(), folds) != held
 
     def tokens(table: pa.Table):
-        data, off = flat(table["text"])
-        data = LOWER[data]
-        start, end, first = words(data, off, SPACED)
-        return word_hashes(data, start, end) >> U(8), first
+        hashes, first = hashed_words(table["text"], SPACED, True)
+        return hashes >> U(8), first
 
     def slices(table: pa.Table):
         for batch in table.combine_chunks().to_batches():

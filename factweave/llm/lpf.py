@@ -107,9 +107,8 @@ class Regions:
         self.sums = prefix_sums(self.data.astype(U) + U(1))
         gram = window // 2
         wide = window - gram + 1
-        size = np.diff(self.off)
-        begins = np.repeat(size >= window, np.maximum(size - window + 1, 0))
-        at = np.arange(len(begins)) - np.repeat(np.cumsum(np.maximum(size - window + 1, 0)) - np.maximum(size - window + 1, 0), np.maximum(size - window + 1, 0)) + np.repeat(self.off[:-1], np.maximum(size - window + 1, 0))
+        count = np.maximum(np.diff(self.off) - window + 1, 0)
+        at = np.arange(count.sum()) + np.repeat(self.off[:-1] - np.cumsum(count) + count, count)
         grams = sliding(self.sums, gram)
         least = (grams >> U(32) << U(32)) | np.arange(len(grams), dtype=U)
         done = 1
@@ -118,8 +117,11 @@ class Regions:
             least = np.minimum(least[: len(least) - step], least[step:])
             done += step
         where = (least[at] & U(0xFFFFFFFF)).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-        text = np.repeat(np.arange(len(size)), np.maximum(size - window + 1, 0))
-        new = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (text[1:] != text[:-1])))) if len(at) else np.zeros(0, np.int64)
+        del least
+        # windows of one text with one minimum follow each other
+        turn = where[1:] != where[:-1]
+        turn[np.cumsum(count)[:-1][(np.cumsum(count)[:-1] > 0) & (np.cumsum(count)[:-1] < len(at))] - 1] = True
+        new = np.flatnonzero(np.concatenate(([True], turn)))[: len(at)]
         self.low = at[new]
         self.high = at[np.append(new[1:], len(at)) - 1] if len(at) else self.low
         self.anchor = grams[where[new]]
@@ -152,7 +154,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool =
     X.tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     n = X.buckets(docs)
-    chunked = X.chunks(docs, ["doc_id", "text"], size=2 << 20)
+    chunked = X.chunks(docs, ["doc_id", "text"], size=1 << 20)
 
     def regions(table: pa.Table, _):
         x = Regions(table, length, n)

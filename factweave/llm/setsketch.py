@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm import exchange as X
-from factweave.llm.textops import LOWER, SPACED, U, flat, mix, mix1, pieces, prefix_sums, spans, unique_per_text, windows, word_hashes, words
+from factweave.llm.textops import SPACED, U, hashed_words, mix, mix1, pieces, prefix_sums, spans, unique_per_text, windows
 
 BASE, RATE = 1.02, 20.0
 BANDS, WIDTH = 42, 6
@@ -40,10 +40,7 @@ REGISTERS = BANDS * WIDTH
 
 def shingle_sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, in order, and where each text's begin."""
-    data, off = flat(column)
-    data = LOWER[data]
-    start, end, first = words(data, off, SPACED)
-    hashes = word_hashes(data, start, end)
+    hashes, first = hashed_words(column, SPACED, True)
     runs, at = windows(hashes, first, k)
     count = np.diff(first)
     few = np.flatnonzero((count > 0) & (count < k))

@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+# freed buffers go back to the system at once; a Python worker's memory counts
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def _bytes_but(*ranges: tuple[int, int]) -> np.ndarray:
@@ -118,6 +120,22 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return spans(prefix_sums(data.astype(U) + U(1)), start, end)
 
 
+def hashed_words(column, kind: np.ndarray, lower: bool, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the number of each text's first (one more at the end); about block bytes at a time."""
+    data, off = flat(column)
+    out, count, low, n = [np.zeros(0, U)], [np.zeros(1, np.int64)], 0, len(off) - 1
+    while low < n:
+        high = min(max(int(np.searchsorted(off, off[low] + block)), low + 1), n)
+        part = data[off[low] : off[high]]
+        if lower:
+            part = LOWER[part]
+        start, end, first = words(part, off[low : high + 1] - off[low], kind)
+        out.append(word_hashes(part, start, end))
+        count.append(np.diff(first))
+        low = high
+    return np.concatenate(out), np.cumsum(np.concatenate(count))
+
+
 def owner(first: np.ndarray) -> np.ndarray:
     """Of each item, the number of its text."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factweave.llm import exchange as X
-from factweave.llm.textops import ALNUM, LOWER, U, flat, pieces, unique_per_text, word_hashes, words
+from factweave.llm.textops import ALNUM, U, hashed_words, pieces, unique_per_text
 
 SLOTS = 1 << 20
 
@@ -44,10 +44,8 @@ IDENTITY_TERMS = {
 
 def slots(column) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each text's words, once each, and where each text's begin."""
-    data, off = flat(column)
-    data = LOWER[data]
-    start, end, first = words(data, off, ALNUM)
-    return unique_per_text(word_hashes(data, start, end) % U(SLOTS), first)
+    hashes, first = hashed_words(column, ALNUM, True)
+    return unique_per_text(hashes % U(SLOTS), first)
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int, folds: int, held: int) -> list[tuple[int, bytes]]:

@@ -25,16 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from factweave.llm import exchange as X
-from factweave.llm.textops import ALNUM, LOWER, covered, flat, isin_sorted, owner, per_text, pieces, prefix_sums, sliding, windows, word_hashes, words
+from factweave.llm.textops import ALNUM, covered, hashed_words, isin_sorted, owner, per_text, pieces, prefix_sums, sliding, windows
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def _hashed(column) -> tuple[np.ndarray, np.ndarray]:
-    data, off = flat(column)
-    data = LOWER[data]
-    start, end, first = words(data, off, ALNUM)
-    return word_hashes(data, start, end), first
+    return hashed_words(column, ALNUM, True)
 
 
 def fingerprints(hashes: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
