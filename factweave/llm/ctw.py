@@ -71,15 +71,18 @@ def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(off) - 1
     size = np.diff(off)
     stream = np.zeros(len(data) + DEPTH * (n + 1), np.uint8)
-    at = np.arange(len(data)) + DEPTH * (np.repeat(np.arange(n), size) + 1)
-    stream[at] = LOWER[data]
+    own = np.zeros(len(stream), bool)
+    own[np.arange(len(data)) + DEPTH * (np.repeat(np.arange(n), size) + 1)] = True
+    stream[own] = LOWER[data]
     first = off + np.arange(n + 1)
     # a gram's last byte: the text's own and the zero after it
-    last = np.arange(first[-1]) + np.repeat(np.arange(n) * (DEPTH - 1), size + 1) + DEPTH
-    out = np.zeros(len(last), U)
-    for i in range(DEPTH, -1, -1):
-        out = (out << U(8)) | stream[last - i]
-    return out, first, size
+    own[off[1:] + DEPTH * np.arange(1, n + 1)] = True
+    whole = len(stream) - DEPTH
+    out = np.zeros(whole, U)
+    for i in range(DEPTH + 1):
+        out <<= U(8)
+        out |= stream[i : whole + i]
+    return out[own[DEPTH:]], first, size
 
 
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -97,12 +100,13 @@ def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return both[new] >> U(1), counts
 
 
-def _merged(keys, counts, more_keys, more_counts):
-    if keys is None:
-        return more_keys, more_counts
-    both = np.concatenate((keys, more_keys))
-    held, group = np.unique(both, return_inverse=True)
-    return held, np.bincount(group, np.concatenate((counts, more_counts)), len(held)).astype(np.int64)
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all parts, once each, and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
+    return keys[new], np.add.reduceat(counts[order], new) if len(new) else counts
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -219,13 +223,15 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
             yield from (pa.Table.from_batches([x]) for x in pieces(batch, "text", SLICE))
 
     def counts(table: pa.Table, _):
-        grams = seen = known = often = None
+        grams, known = [], []
         for part in slices(table):
             train = training(part)
             keys, first, _ = _grams(part)
-            grams, seen = _merged(grams, seen, *_distinct(keys, np.repeat(train, np.diff(first))))
+            grams.append(_distinct(keys, np.repeat(train, np.diff(first))))
             keys, first = tokens(part)
-            known, often = _merged(known, often, *_distinct(keys, np.repeat(train, np.diff(first))))
+            known.append(_distinct(keys, np.repeat(train, np.diff(first))))
+        grams, seen = _merged(grams)
+        known, often = _merged(known)
         order, begin = X.by_bucket(_bucket(grams, n), n)
         order2, begin2 = X.by_bucket(known, n)
         for b in range(n):
@@ -278,10 +284,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
             yield struct.pack("<I", len(c)) + np.minimum(c, 2**32 - 1).astype("<u4").tobytes() + length[_slice(part, i)].tobytes()
 
     def scores(table: pa.Table, got) -> pa.Table:
-        known, distinct_ = np.zeros(0, U), np.zeros(0, U)
-        for part in slices(table):
-            known = np.union1d(known, tokens(part)[0])
-            distinct_ = np.union1d(distinct_, _grams(part)[0])
+        known = np.unique(np.concatenate([np.unique(tokens(part)[0]) for part in slices(table)]))
+        distinct_ = np.unique(np.concatenate([np.unique(_grams(part)[0]) for part in slices(table)]))
         order, begin = X.by_bucket(known, n)
         order2, begin2 = X.by_bucket(_bucket(distinct_, n), n)
         often, length = np.zeros(len(known), np.int64), np.zeros(len(distinct_))

@@ -98,6 +98,32 @@ def lpf_arrays(values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def repeats(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the strings of so many bytes that begin in at (ascending) also begin earlier in it, and later.
+
+    What lpf_arrays says about reaching length: in suffix order, cut there and with ties by position, the neighbours of
+    a suffix that share length bytes are its previous and next smaller and larger positions.
+    """
+    n = len(data)
+    size = 8 if length >= 8 else 1
+    padded = np.concatenate((data, np.zeros(size, np.uint8))).astype(U)
+    rank = np.zeros(n, U)
+    for i in range(size):
+        rank = (rank << U(8)) | padded[i : n + i]
+    rank = _dense(rank)
+    while size * 2 <= length:
+        beyond = np.zeros(n, np.int64)
+        if size < n:
+            beyond[:-size] = rank[size:] + 1
+        rank, size = _dense((rank.astype(U) << U(32)) | beyond.astype(U)), size * 2
+    keys = (rank[at].astype(U) << U(32)) | rank[at + length - size].astype(U)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    earlier, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    earlier[order[1:]], later[order[:-1]] = same, same
+    return earlier, later
+
+
 class Regions:
     """The regions of a chunk's texts: windows [low, high], their minimum's hash and their bytes' hash."""
 
@@ -197,20 +223,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool =
         begin = x.starts(send)
         mark = covered(begin, length, len(x.data))
         place = np.cumsum(mark) - 1
-        gap = np.concatenate(([False], mark[1:] & ~mark[:-1]))[mark] if len(mark) else mark
-        gap |= np.isin(np.flatnonzero(mark), x.off)
-        text = x.data[mark].astype(np.int64)
-        # a separator of its own before each stretch, so that nothing matches across
-        stretch = np.cumsum(gap)
-        values = np.empty(len(text) + (stretch[-1] if len(stretch) else 0), np.int64)
-        values[np.arange(len(text)) + stretch] = text
-        seps = np.flatnonzero(gap) + stretch[gap] - 1
-        values[seps] = 256 + np.arange(len(seps))
-        at = place[begin] + stretch[place[begin]]
-        earlier, later = lpf_arrays(values, length)
-        fresh = earlier[at] < length
-        keys = spans(x.sums, begin[fresh], begin[fresh] + length)
-        again = later[at[fresh]] >= length
+        earlier, later = repeats(x.data[mark], place[begin], length)
+        keys = spans(x.sums, begin[~earlier], begin[~earlier] + length)
+        again = later[~earlier]
         order, where = X.by_bucket(keys, n)
         for b in range(n):
             s = order[where[b] : where[b + 1]]
