@@ -10,8 +10,9 @@ Bands of registers give candidates; texts with equal sets are one class from
 the start.  A class is compared with a few leaders of its buckets.  From the
 registers and the two sizes the likeliest similarity is computed, which discards
 pairs far below the threshold; the rest is confirmed on the full sets.  What a
-bucket still holds in more than one component is compared across components, so
-no link between them is lost.  Components come from alternating large-star and
+bucket still holds in more than one component is compared across components on
+the full sets, in blocks and without making pairs, so no link between them is
+lost.  Components come from alternating large-star and
 small-star steps; each state is checkpointed in the shared folder.
 
 With the defaults, a pair at the threshold shares no band once in 300 000 times.
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,6 +173,49 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+#: Sets of a zone that are compared with as many others in one task.
+BLOCK = 256
+
+
+def _across(held: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components of held (node, low, component), whose buckets have the leader low.
+
+    Nodes that buckets connect are a zone.  All that isn't of its largest component is compared with the whole zone, in
+    blocks of sets; for a set and a component one link is enough.
+    """
+    zones = components(held.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "zone")
+    members = held.select("node", "component").distinct().join(zones, "node")
+    count = members.groupBy("zone", "component").agg(F.count(F.lit(1)).alias("n"))
+    count = count.groupBy("zone").agg(F.sum("n").alias("n_all"), F.max("n").alias("n_main"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    members = X.checkpoint(members.join(count, "zone"))
+    sets = X.checkpoint(_sets(docs, classes.select("node", "doc_id").join(members.select("node"), "node"), k))
+    rows, columns = F.ceil(F.col("n_all") / BLOCK), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK)
+    members = members.withColumns({"row": F.pmod(F.xxhash64("node"), rows), "column": F.pmod(F.xxhash64("node", F.lit(1)), columns), "rows": rows, "columns": columns}).join(sets, "node")
+    left = members.withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))).withColumn("side", F.lit(0))
+    right = members.where("component <> main").withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("side", F.lit(1))
+    names = ["zone", "row", "column", "side", "node", "component", "shingles"]
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        x, y = (block[block.side == i] for i in (0, 1))
+        sizes = np.array([len(s) // 8 for s in x.shingles], np.int64)
+        shingles = np.frombuffer(b"".join(x.shingles), U)
+        order = np.argsort(shingles, kind="stable")
+        shingles, of = shingles[order], np.repeat(np.arange(len(x)), sizes)[order]
+        nodes, parts, out = x.node.to_numpy(), x.component.to_numpy(), []
+        for node, part, own in zip(y.node, y.component, y.shingles, strict=True):
+            own = np.frombuffer(own, U)
+            low, high = np.searchsorted(shingles, own), np.searchsorted(shingles, own, "right")
+            size = high - low
+            hits = of[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            both = np.bincount(hits, minlength=len(x))
+            good = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (parts != part))
+            good = good[np.unique(parts[good], return_index=True)[1]]
+            out += [(min(node, o), max(node, o)) for o in nodes[good].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return left.select(names).unionByName(right.select(names)).groupBy("zone", "row", "column").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, margin: float = 0.15) -> DataFrame:
     """Per row of docs (doc_id, text): n_shingles and component_id, the least id of those linked to it."""
     X.tune(docs.sparkSession)
@@ -190,14 +235,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, margin: floa
     links = X.checkpoint(_confirmed(pairs, docs, classes, k, percent))
     found = components(links)
     # members of one bucket that are still apart
-    held = shared.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    held = X.checkpoint(held.join(apart.select("key"), "key", "left_semi"))
-    across = held.alias("x").join(held.alias("y"), F.expr("x.key = y.key and x.component < y.component"))
-    across = across.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
-    across = X.checkpoint(_estimated(across.join(pairs, ["a", "b"], "left_anti"), classes, least))
-    if not across.isEmpty():
-        found = components(links.unionByName(_confirmed(across, docs, classes, k, percent)))
+    held = shared.select("key", "node", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    held = X.checkpoint(held.join(apart.select("key"), "key", "left_semi").select("node", "low", "component").distinct())
+    if not held.isEmpty():
+        found = components(links.unionByName(_across(held, docs, classes, k, percent)))
     named = classes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least_id, "component").select("node", "component_id")
