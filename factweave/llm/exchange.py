@@ -32,11 +32,14 @@ def tune(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once into the cluster's shared checkpoint folder."""
+    """df, computed once into the cluster's shared checkpoint folder; shuffle files of its lineage can go then."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4()}")
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    sc._jvm.System.gc()  # Spark removes files of what the driver has forgotten
+    return out
 
 
 def input_bytes(df: DataFrame) -> int:

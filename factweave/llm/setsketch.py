@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from factweave.llm import exchange as X
 from factweave.llm.textops import SPACED, U, hashed_words, mix, mix1, pieces, prefix_sums, spans, unique_per_text, windows
 
-BASE, RATE = 1.02, 20.0
+#: A register is a byte: 1.06**-255 / 5 is far below the least value of sets of a million.
+BASE, RATE = 1.06, 5.0
 BANDS, WIDTH = 42, 6
 REGISTERS = BANDS * WIDTH
 
@@ -71,7 +72,7 @@ def registers(held: np.ndarray, first: np.ndarray, m: int = REGISTERS) -> np.nda
             more = x < worst[text]
             held, text, x = held[more], text[more], x[more]
     with np.errstate(divide="ignore"):
-        return np.clip(np.floor(1 - np.log(least) / np.log(BASE)), 0, 65535).astype("<u2").reshape(n, m)
+        return np.clip(np.floor(1 - np.log(least) / np.log(BASE)), 0, 255).astype(np.uint8).reshape(n, m)
 
 
 def likeliest(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -129,7 +130,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 x = batch.slice(low, 512)
-                regs = [np.frombuffer(b"".join(x.column(c).to_pylist()), "<u2").reshape(x.num_rows, -1) for c in ("regs_a", "regs_b")]
+                regs = [np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(x.num_rows, -1) for c in ("regs_a", "regs_b")]
                 good = likeliest(*regs, *(x.column(c).to_numpy().astype(float) for c in ("size_a", "size_b"))) >= least
                 yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(good)), x.column("b").filter(pa.array(good))], ["a", "b"])
 
@@ -137,10 +138,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return near.select("a", "b", "size_a", "size_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (checkpointed), those whose full sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = X.checkpoint(_sets(docs, classes.select("node", "doc_id").join(nodes, "node"), k))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +150,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, pe
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    x = held.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = held.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -177,7 +176,7 @@ def components(links: DataFrame) -> DataFrame:
 BLOCK = 256
 
 
-def _across(held: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def _across(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the components of held (node, low, component), whose buckets have the leader low.
 
     Nodes that buckets connect are a zone.  All that isn't of its largest component is compared with the whole zone, in
@@ -188,7 +187,6 @@ def _across(held: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     count = members.groupBy("zone", "component").agg(F.count(F.lit(1)).alias("n"))
     count = count.groupBy("zone").agg(F.sum("n").alias("n_all"), F.max("n").alias("n_main"), F.max_by("component", F.struct("n", "component")).alias("main"))
     members = X.checkpoint(members.join(count, "zone"))
-    sets = X.checkpoint(_sets(docs, classes.select("node", "doc_id").join(members.select("node"), "node"), k))
     rows, columns = F.ceil(F.col("n_all") / BLOCK), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK)
     members = members.withColumns({"row": F.pmod(F.xxhash64("node"), rows), "column": F.pmod(F.xxhash64("node", F.lit(1)), columns), "rows": rows, "columns": columns}).join(sets, "node")
     left = members.withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))).withColumn("side", F.lit(0))
@@ -222,24 +220,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, margin: floa
     docs = docs.select("doc_id", "text")
     rows = X.checkpoint(sketches(docs, k))
     classes = X.checkpoint(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
-    bands = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.expr("registers").substr(i * (2 * WIDTH) + 1, F.lit(2 * WIDTH)), i).alias("key")))).alias("x")).select("node", "x.band", "x.key")
-    # a few leaders of each bucket; they differ by band
-    turned = F.col("node").bitwiseXOR(F.xxhash64(F.col("band") % 4))
-    leaders = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(turned).alias("turned"), F.first("band").alias("band")).where("low <> high")
-    leaders = leaders.select("key", "low", F.col("turned").bitwiseXOR(F.xxhash64(F.col("band") % 4)).alias("other"))
-    shared = X.checkpoint(bands.join(leaders, "key").select("key", "node", "low", "other"))
-    pairs = shared.select("node", F.explode(F.array("low", "other")).alias("leader")).where("node <> leader")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.expr("registers").substr(i * WIDTH + 1, F.lit(WIDTH)), i))
+    bands = classes.select("node", F.explode(keys).alias("key"))
+    common = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
+    shared = X.checkpoint(bands.join(common, "key").select("key", "node", "low"))
+    sets = X.checkpoint(_sets(docs, classes.select("node", "doc_id").join(shared.select("node").distinct(), "node"), k))
+    # two leaders of each bucket; the other one differs by bucket
+    turn = F.xxhash64(F.pmod("key", F.lit(4)))
+    other = shared.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("turned")).select("key", F.col("turned").bitwiseXOR(turn).alias("other"))
+    pairs = shared.select("node", F.col("low").alias("leader")).distinct().unionAll(shared.join(other, "key").select("node", F.col("other").alias("leader"))).where("node <> leader")
     pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     least = percent / 100 - margin
     pairs = X.checkpoint(_estimated(pairs, classes, least))
-    links = X.checkpoint(_confirmed(pairs, docs, classes, k, percent))
+    links = X.checkpoint(_confirmed(pairs, sets, percent))
     found = components(links)
     # members of one bucket that are still apart
     held = shared.select("key", "node", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     held = X.checkpoint(held.join(apart.select("key"), "key", "left_semi").select("node", "low", "component").distinct())
     if not held.isEmpty():
-        found = components(links.unionByName(_across(held, docs, classes, k, percent)))
+        found = components(links.unionByName(_across(held, sets, percent)))
     named = classes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least_id, "component").select("node", "component_id")
