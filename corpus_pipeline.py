@@ -23,8 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words a shingle, 0.8 or more): that with the least id; of rows that share it, one."""
     found = setsketch.near_duplicates(docs, k=5, percent=80)
-    kept = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    marks = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"), F.count(F.lit(1)).alias("_rows")).where("_gone or _rows > 1")
+    both = docs.join(marks, F.col("doc_id") == F.col("_id"), "left")
+    repeated = both.where("_rows > 1 and not _gone").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return both.where("_rows is null").select(*docs.columns).unionByName(repeated)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
