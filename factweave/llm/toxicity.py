@@ -14,7 +14,7 @@ over all texts with a vector of 2**20 weights.
 Nulls and texts without words get the base rate.  Rows with the same id are
 scored one by one; labels that disagree for an id count by their mean (0.5 is
 toxic), null labels not at all.  With no labels, or none of one kind, the score
-is the rate seen (0 without labels).  Other columns are ignored.
+is the rate seen (0 without labels, but for rounding).  Other columns are ignored.
 """
 
 from __future__ import annotations

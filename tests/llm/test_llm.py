@@ -1,0 +1,247 @@
+"""Operators against plain versions, on texts with nulls, empty and long ones, ties and repeated rows."""
+
+import random
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from factweave.llm import anchors, ctw, lpf, pii, quality, raking, setsketch, tagpaths, toxicity, winnow
+from factweave.llm.textops import SPACED, flat, words
+
+DOCS = "doc_id long, text string, lang string, source string, score string, chunk string"
+
+
+def corpus(seed=1, n=60):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    say = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    shared = [say(60) for _ in range(3)]
+    rows = [(0, None), (1, ""), (2, " \n\t "), (3, "one"), (4, "Two words"), (5, "x" * 700), (6, "ab " * 300), (7, say(4000))]
+    for i in range(8, n):
+        kind = rng.random()
+        if kind < 0.25 and i > 12:
+            text = rows[rng.randrange(8, i)][1]
+        elif kind < 0.45 and i > 12:
+            w = rows[rng.randrange(8, i)][1].split(" ")
+            w[rng.randrange(len(w))] = "edited"
+            text = " ".join(w)
+        elif kind < 0.7:
+            text = say(rng.randint(5, 80)) + " " + rng.choice(shared) + "\n" + say(rng.randint(0, 40))
+        else:
+            text = say(rng.randint(1, 150)).upper()
+        rows.append((i, text))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    """Extra columns have names that the operators use themselves."""
+    return spark.createDataFrame([(d, t, "en", f"s{d % 3}", "kept", "c") for d, t in rows], DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def got(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def sha(column):
+    return F.sha2(F.col(column).cast("binary"), 256)
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["a  b c d\x1f", None, "", "\x0b\x0cx", "\x85y z"]
+    data, off = flat(pa.array(texts))
+    start, end, first = words(data, off, SPACED)
+    assert [data[a:b].tobytes().decode() for a, b in zip(start, end)] == [w for t in texts for w in brute.SPACED.findall(t or "")]
+    assert np.diff(first).tolist() == [len(brute.SPACED.findall(t or "")) for t in texts]
+
+
+def test_context_tree_weighting(docs, none, rows):
+    found = ctw.score(docs)
+    base = got(found, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    for a, b in zip(base, sorted(brute.op1_base(rows)), strict=True):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6
+    assert all(r["score"] < 0 for r in found.collect())
+    assert ctw.score(none).count() == 0
+
+
+def test_code_lengths_are_a_distribution():
+    table = pa.table({"text": pa.array(["the cat sat on the mat", "the dog ran"])})
+    grams, _, _ = ctw._grams(table)
+    keys, counts = np.unique(grams, return_counts=True)
+    levels = ctw.subtree(keys, counts)
+    held, *rest = levels[-1].up((((levels[-1].keys >> np.uint64(8)) & np.uint64(255)) << np.uint64(8)) | (levels[-1].keys & np.uint64(255)))
+    top = ctw.Top([(int(k), *x) for k, *x in zip(held, *rest)])
+    for context in (b"n the", b"zzzzz"):
+        after = np.array([int.from_bytes(context + bytes((b,)), "big") for b in range(256)], np.uint64)
+        assert abs((10 ** ctw.code_lengths(after, levels, top)).sum() - 1) < 1e-9
+
+
+def test_repeated_words(docs, none, rows):
+    found = anchors.remove_repeats(docs, 20)
+    assert got(found, "doc_id", "n_words", "n_removed", sha("text")) == sorted(brute.op6(rows, 20))
+    assert anchors.remove_repeats(none).count() == 0
+
+
+def test_near_duplicates(docs, none, rows):
+    found = setsketch.near_duplicates(docs, 2, 80)
+    assert got(found, "doc_id", "n_shingles", "component_id", F.expr("doc_id = component_id")) == sorted(brute.op8(rows, 2))
+    assert setsketch.near_duplicates(none).count() == 0
+
+
+def test_a_star_of_near_copies_is_one_component(spark):
+    """Copies that each differ from the first in their own words link through it alone."""
+    rng = random.Random(3)
+    first = [f"w{i}" for i in range(300)]
+    rows = [(1000, " ".join(first))]
+    for i in range(120):
+        w = first[:]
+        for j in rng.sample(range(300), 14):
+            w[j] = f"x{i}-{j}"
+        rows.append((i, " ".join(w)))
+    found = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80)
+    assert got(found, "doc_id", "n_shingles", "component_id", F.expr("doc_id = component_id")) == sorted(brute.op8(rows, 2))
+
+
+def test_repeated_bytes(docs, none, rows):
+    for first in (False, True):
+        found = lpf.remove_repeated_bytes(docs, 200, first)
+        assert got(found, "doc_id", "n_bytes", "n_removed", "n_spans", sha("kept")) == sorted(brute.op9(rows, 200, first))
+    assert lpf.remove_repeated_bytes(none).count() == 0
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(0)
+    for text in (rng.integers(97, 99, 60), np.full(20, 97), np.arange(5), np.zeros(0, int)):
+        raw = bytes(text.astype(np.uint8))
+        earlier, later = lpf.lpf_arrays(text, 16)
+        n = len(raw)
+        fit = lambda i, j: next((k for k in range(16) if i + k >= n or j + k >= n or raw[i + k] != raw[j + k]), 16)
+        assert earlier.tolist() == [max((fit(i, j) for j in range(i)), default=0) for i in range(n)]
+        assert later.tolist() == [max((fit(i, j) for j in range(i + 1, n)), default=0) for i in range(n)]
+        for length in (3, 8, 11):
+            at = np.arange(max(n - length + 1, 0))
+            if len(at):
+                a, b = lpf.repeats(text.astype(np.uint8), at, length)
+                assert a.tolist() == (earlier[at] >= length).tolist() and b.tolist() == (later[at] >= length).tolist()
+
+
+def test_decontamination(spark, docs, none, rows):
+    texts = dict(rows)
+    items = [(1, " ".join(texts[7].split()[100:130])), (2, "One"), (3, None), (4, ""), (None, "two WORDS"), (5, " ".join(texts[7].split()[125:134])), (5, "two words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(brute.op10(rows, items))
+    for block in (16 << 20, 1):
+        found = winnow.leaks(docs, bench, 10, block_bytes=block)
+        assert got(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+    assert winnow.leaks(none, bench).count() == 0 and winnow.leaks(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_quality(docs, none, rows):
+    found = quality.judged(docs)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert got(found, *columns) == sorted((d, *brute.op4(t)) for d, t in rows)
+    assert found.where("base_failed <> (n_words < 20 or 100 * n_repeat_words > 30 * n_words)").count() == 0
+    assert found.where("base_failed and kept").count() == 0 and found.where("kept").count() > 0
+    assert quality.judged(none).count() == 0
+
+
+def test_toxicity(spark, none):
+    rng = random.Random(0)
+    calm, rude, groups = [f"w{i}" for i in range(60)], ["moron", "scum", "idiot"], ["muslim", "christian", "jewish"]
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        w = rng.choices(calm, k=30) + (rng.choices(rude, k=2) if bad else []) + ([rng.choice(groups)] if rng.random() < (0.6 if bad else 0.05) else [])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    rows += [(1000, None), (1001, ""), (1002, "a muslim neighbour"), (1003, "you Moron!")]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = {r["doc_id"]: r["toxicity_score"] for r in toxicity.classify(docs, marks).collect()}
+    assert all((found[i] >= 0.5) == bool(y) for i, y in labels)
+    assert found[1000] == found[1001] < 0.5 and found[1003] >= 0.5 and found[1002] < 0.5
+    assert toxicity.classify(none.select("doc_id", "text"), marks).count() == 0
+    assert all(r["toxicity_score"] < 1e-100 for r in toxicity.classify(docs, marks.limit(0)).collect())
+
+
+def test_pseudonyms(spark):
+    tool = pii.Pseudonyms("k")
+    values = {"card": "4539 1488 0343 6467", "iban": "GB82 WEST 1234 5698 7654 32", "ssn": "123-45-6789", "phone": "+1 (372) 555-0123", "ip": "10.20.30.40", "email": "größe.34@mail7.example.com", "date": "2024-02-29", "secret": "04dbebab91ab85687d33eeaaf9ac699e1188f962"}
+    for kind, value in values.items():
+        text, spans = tool.apply(f"x {value}, y")
+        assert [s[2] for s in spans] == [kind], value
+        new = text[spans[0][0] : spans[0][1]]
+        assert new != value and len(new) == len(value) or kind == "ip"
+        assert tool.apply(text)[1][0][2] == kind  # valid again
+        assert tool.restore(kind, new) == value
+    for plain in ("4539 1488 0343 6468", "300.1.1.1", "2024-02-30", "version 3.0", "CC BY-NC 4.0", "000-12-3456"):
+        assert tool.apply(plain) == (plain, [])
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "to 10.20.30.40", "c"), (4, "at 10.20.30.40.", "d")], "doc_id long, text string, spans string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs).collect()}
+    assert out[1] is None and out[2] == "" and out[3][3:] == out[4][3:-1] != "10.20.30.40"
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
+def test_feistel_is_a_permutation(size):
+    image = [pii.feistel(i, size, b"k") for i in range(size)]
+    assert sorted(image) == list(range(size)) and [pii.unfeistel(i, size, b"k") for i in image] == list(range(size))
+
+
+def test_main_text(spark):
+    page = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><a href=x>Menu</a></nav><div class="ad">Buy &amp; buy.</div>
+    <article><h1>Head &lt;1&gt;</h1><p><b>First  line,<br>more.<p>Second&nbsp;one, with <a href="/">a link</a>.</p><ul><li>item<li>other</ul><div id="comments"><p>Nice!</p></div></article>
+    <aside>Side</aside><footer>&copy; x</footer></body></html>"""
+    want = "Head <1>\n\nFirst line, more.\n\nSecond one, with a link.\n\nitem\n\nother"
+    plain = '<div><div class="menu">a b c</div><div class=content><p>Long text here, with commas, and more. And so on.</p><p>Another, also long enough. Yes.</p></div><div id=footer>x</div></div>'
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", plain), (4, "u", plain), (5, "u", "<nav>x</nav>"), (6, "u", "just text")], "page_id long, url string, html string")
+    found = got(tagpaths.extract(pages), "page_id", "text")
+    long_text = "Long text here, with commas, and more. And so on.\n\nAnother, also long enough. Yes."
+    assert found == [(1, want), (2, ""), (3, ""), (4, long_text), (4, long_text), (5, ""), (6, "just text")]
+
+
+def test_raking_meets_its_targets(spark, docs, none):
+    targets = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}, "lang": {"en": 0.6, "de": 0.4}}
+    rows = [(i, "w " * (1 + i % 7) + ("| x | y" if i % 2 else ""), f"s{i % 3}", "en" if i % 5 else "de") for i in range(300)]
+    mixed = raking.mixed(spark.createDataFrame([*rows, (900, None, None, None)], "doc_id long, text string, source string, lang string"), targets)
+    shares = {r["source"]: r["w"] for r in mixed.groupBy("source").agg(F.sum(F.col("mix_probability") * F.col("mix_tokens")).alias("w")).collect()}
+    whole = sum(shares.values())
+    assert all(abs(shares[k] / whole - v) < 1e-6 for k, v in targets["source"].items())
+    assert mixed.agg(F.max("mix_probability")).first()[0] == pytest.approx(1)
+    assert mixed.where("doc_id = 900").first()["mix_probability"] == 0
+    assert raking.mixed(docs).count() == docs.count() and raking.mixed(none).count() == 0
+
+
+def test_pipeline_on_the_smallest_tables(spark):
+    import os
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = raw
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, sf)
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert docs.columns == raw.columns and texts
+    assert all(r[3] for r in brute.op8(texts, 5)) and not any(r[5] for r in brute.op10(texts, items))
+    out = corpus_pipeline.run(spark, sf)
+    tool = pii.Pseudonyms("factweave")
+    held = dict(texts)
+    found = out.collect()
+    assert found and all(r["text"] == tool.apply(held[r["doc_id"]])[0] for r in found)
