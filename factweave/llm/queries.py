@@ -71,4 +71,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_context_tree_weighting, op2_tag_path_ratios, op3_counterfactual_toxicity, op4_adaptive_quality, op5_feistel_pseudonyms, op6_fixed_block_anchors, op7_raked_mixture, op8_setsketch_near_duplicates, op9_longest_previous_factor, op10_winnowing, pipeline)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: For what SQL says without too much work; tests hold the others against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op6_fixed_block_anchors": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w)-18, 1))) AS i FROM d),
+n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i+19], ' ') ORDER BY doc_id, i) AS k FROM p),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i+20)) AS i FROM n WHERE k>1),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w)+1)) AS i FROM d),
+y AS (SELECT x.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY x.i) FILTER (g.i IS NULL) AS kept FROM x LEFT JOIN g ON g.doc_id=x.doc_id AND g.i=x.i GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed,0)::BIGINT AS n_removed, sha256(coalesce(kept,'')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)""",
+    "op10_winnowing": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i+k-1],' ') AS g FROM (SELECT item_id, w, least(len(w),10) AS k, unnest(range(1, greatest(len(w)-9,1)+1)) AS i FROM b WHERE len(w)>0)),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i:i+k-1],' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w)-k+2)) AS i FROM d, (SELECT DISTINCT k FROM bw))),
+h AS (SELECT doc_id, i, dw.k, item_id FROM dw JOIN bw ON bw.k=dw.k AND bw.g=dw.g),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i+k)) AS j FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0)::BIGINT AS n_hit, coalesce(n_items,0)::BIGINT AS n_items, sha256(coalesce(ids,'')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+}
