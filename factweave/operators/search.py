@@ -78,3 +78,22 @@ def blend(hits: DataFrame, weight: float) -> DataFrame:
     df = hits.crossJoin(F.broadcast(ends))
     scaled = lambda x, a, b: F.when(F.col(x).isNull(), 0.0).when(F.col(a) == F.col(b), 0.5).otherwise((F.col(x) - F.col(a)) / (F.col(b) - F.col(a)))
     return df.select("content", F.round((1 - weight) * scaled("score", "s0", "s1") + weight * scaled("ts", "t0", "t1"), 6).alias("score"))
+
+
+def fuzzy_keyword(docs: DataFrame, query: list[str], k: int, least: float = 0.45) -> DataFrame:
+    """Like keyword, but a document has a query word if any of its words shares so many trigrams with it."""
+    from factweave.functions.text import jaccard, trigrams
+
+    held = docs.select("content", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    near = F.filter(F.array(*(F.struct(F.lit(q).alias("q"), jaccard(trigrams(F.col("word")), trigrams(F.lit(q))).alias("s")) for q in query)), lambda x: x["s"] >= least)
+    vocabulary = held.select("word").distinct().withColumn("near", near).where(F.size("near") > 0).select("word", F.explode("near.q").alias("q"))
+    hits = held.join(vocabulary, "word").select("content", "q").distinct()
+    weights = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))
+    # as many rows as query words
+    scored = hits.join(F.broadcast(weights), "q").groupBy("content").agg(F.round(F.sum(F.log(1 + F.col("n") / F.col("df"))), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "content").limit(k)
+
+
+def phrase(docs: DataFrame, query: str) -> DataFrame:
+    """Documents that contain the query as it is, in any case."""
+    return docs.where(F.contains(F.lower("text"), F.lit(query.lower()))).select("content")

@@ -75,3 +75,59 @@ def collapsed(edges: DataFrame, support: DataFrame, pruned: DataFrame, starts: D
     only = support.join(pruned.withColumn("_gone", F.lit(1)), "fact", "left").groupBy("src", "dst").agg(F.min(F.coalesce("_gone", F.lit(0))).alias("cut")).where("cut = 1")
     left = edges.join(only.select("src", "dst"), ["src", "dst"], "left_anti")
     return reach(edges, starts, depth).select("node", "depth").join(reach(left, starts, depth).select("node"), "node", "left_anti")
+
+
+def closed(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes(node) and all that aliases (a, b), in either direction, tie to them."""
+    both = aliases.select("a", "b").unionAll(aliases.select("b", "a"))
+    seen = frontier = checkpoint(nodes.select("node").distinct())
+    while True:
+        found = frontier.join(both, frontier.node == both.a).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
+        frontier = checkpoint(found)
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionAll(frontier)
+
+
+def reach_with_aliases(edges: DataFrame, aliases: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(node, depth) of what starts reach; same-as ties cost no step."""
+    frontier = checkpoint(closed(aliases, starts).withColumn("depth", F.lit(0)))
+    seen = frontier
+    for level in range(1, depth + 1):
+        found = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        found = closed(aliases, found).join(seen.select("node"), "node", "left_anti")
+        frontier = checkpoint(found.withColumn("depth", F.lit(level)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionAll(frontier)
+    return seen
+
+
+def budgeted(edges: DataFrame, starts: DataFrame, forward: int, backward: int) -> DataFrame:
+    """(node, forward, backward): nodes reached with at most so many steps along and against edges.
+
+    A node is kept with every pair of counts that no other pair of its own undercuts.
+    """
+    both = edges.select("src", "dst", F.lit(1).alias("f"), F.lit(0).alias("b")).unionAll(edges.select(F.col("dst"), F.col("src"), F.lit(0), F.lit(1)))
+    seen = frontier = checkpoint(starts.select("node", F.lit(0).alias("forward"), F.lit(0).alias("backward")).distinct())
+    for _ in range(forward + backward):
+        found = frontier.join(both, frontier.node == both.src).select(F.col("dst").alias("node"), (F.col("forward") + F.col("f")).alias("forward"), (F.col("backward") + F.col("b")).alias("backward"))
+        found = found.where((F.col("forward") <= forward) & (F.col("backward") <= backward)).distinct()
+        frontier = checkpoint(found.join(seen, ["node", "forward", "backward"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionAll(frontier)
+    worse = seen.alias("x").join(seen.alias("y"), F.expr("x.node = y.node and y.forward <= x.forward and y.backward <= x.backward and (y.forward < x.forward or y.backward < x.backward)"), "left_anti")
+    return worse.select("x.*")
+
+
+def reranked(edges: DataFrame, scores: DataFrame, starts: DataFrame, rounds: int, budget: int) -> DataFrame:
+    """(node, round) of a walk that in each round emits the `budget` best scored new nodes and expands these only."""
+    both = edges.select("src", "dst").unionAll(edges.select("dst", "src"))
+    frontier, seen = starts.select("node").distinct(), None
+    for i in range(rounds):
+        best = frontier.join(scores, "node").orderBy(F.desc("score"), "node").limit(budget)
+        best = checkpoint(best.select("node", F.lit(i).alias("round")))
+        seen = best if seen is None else seen.unionAll(best)
+        frontier = best.join(both, best.node == both.src).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+    return seen
