@@ -147,6 +147,24 @@ def hybrid_rrf_window(s, d):
     return search.fuse(*both_hits(s, d), window=30)
 
 
+FUZZY = ["trash", "nicht", "license"]
+DUCK_TRIGRAMS = "list_distinct(list_transform(range(1,len({0})+2), lambda i: substr('  '||{0}||' ', i, 3)))"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT 'd'||doc_id AS content, unnest(regexp_extract_all(lower(text),'[a-z]{{2,}}')) AS word FROM documents),
+v AS (SELECT word, q, {DUCK_TRIGRAMS.format("word")} AS t, {DUCK_TRIGRAMS.format("q")} AS u FROM (SELECT DISTINCT word FROM w), (SELECT unnest({FUZZY}) AS q)),
+h AS (SELECT DISTINCT content, q FROM w JOIN v USING (word) WHERE len(list_intersect(t,u))::DOUBLE/len(list_distinct(t||u))>=0.45),
+f AS (SELECT q, count(*) AS df FROM h GROUP BY q)
+SELECT content, round(sum(ln(1+(SELECT count(*) FROM documents)/df)),6) AS score FROM h JOIN f USING (q) GROUP BY content ORDER BY score DESC, content LIMIT 25""")
+def keyword_fuzzy_top(s, d):
+    return search.fuzzy_keyword(named_docs(s, d), FUZZY, 25)
+
+
+@query("SELECT 'd'||doc_id AS content FROM documents WHERE contains(lower(text), 'of the')")
+def keyword_phrase(s, d):
+    return search.phrase(named_docs(s, d), "of the")
+
+
 # text
 
 @query("""WITH w AS (SELECT DISTINCT unnest(string_split(p_name,' ')) AS w FROM part), g AS (SELECT w, list_distinct(list_transform(range(1,len(w)+2), lambda i: substr('  '||lower(w)||' ', i, 3))) AS t FROM w)
@@ -316,6 +334,31 @@ def causal_chain_last_hops(s, d):
     return walk.hops(edges, walk.reach(edges, start(s), 3), 3).where("effect = 'c1'").select("cause", "effect")
 
 
+@query(f"""WITH RECURSIVE {SUP}, q AS (SELECT 'p'||p_partkey AS a, 'p'||(p_partkey+1) AS b FROM part WHERE p_partkey%10=0), t AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+st AS (SELECT src, dst, 1 AS cost FROM e UNION ALL SELECT a, b, 0 FROM t), r AS (SELECT 's0' AS node, 0 AS depth UNION SELECT st.dst, r.depth+st.cost FROM r JOIN st ON st.src=r.node WHERE r.depth+st.cost<=2)
+SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""")
+def walk_same_as(s, d):
+    ties = t(s, d, "part").where("p_partkey % 10 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("a"), F.concat(F.lit("p"), F.col("p_partkey") + 1).alias("b"))
+    return walk.reach_with_aliases(g_sup(s, d), ties, start(s), 2).select("node", "depth")
+
+
+@query(f"""WITH RECURSIVE {SUP}, m AS (SELECT src, dst, 1 AS f, 0 AS b FROM e UNION ALL SELECT dst, src, 0, 1 FROM e),
+r AS (SELECT 's0' AS node, 0 AS forward, 0 AS backward UNION SELECT m.dst, r.forward+m.f, r.backward+m.b FROM r JOIN m ON m.src=r.node WHERE r.forward+m.f<=1 AND r.backward+m.b<=1)
+SELECT node, forward, backward FROM r WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.node=r.node AND y.forward<=r.forward AND y.backward<=r.backward AND y.forward+y.backward<r.forward+r.backward)""")
+def walk_step_budgets(s, d):
+    return walk.budgeted(g_sup(s, d), start(s), 1, 1)
+
+
+@query(f"""WITH {SUP}, m AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), z AS (SELECT 's0' AS node),
+a AS (SELECT node FROM (SELECT DISTINCT m.dst AS node FROM z JOIN m ON m.src=z.node) WHERE node NOT IN (SELECT node FROM z) ORDER BY substr(node,2)::DOUBLE DESC, node LIMIT 5),
+b AS (SELECT node FROM (SELECT DISTINCT m.dst AS node FROM a JOIN m ON m.src=a.node) WHERE node NOT IN (SELECT node FROM z UNION SELECT node FROM a) ORDER BY substr(node,2)::DOUBLE DESC, node LIMIT 5)
+SELECT node, 0 AS round FROM z UNION ALL SELECT node, 1 FROM a UNION ALL SELECT node, 2 FROM b""")
+def walk_reranked(s, d):
+    edges = g_sup(s, d)
+    scores = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct().withColumn("score", F.substring("node", 2, 20).cast("double"))
+    return walk.reranked(edges, scores, start(s), 3, 5)
+
+
 @query(f"""WITH RECURSIVE {SUP}, q AS (SELECT DISTINCT 's'||l_suppkey AS src, 'p'||l_partkey AS dst, l_returnflag AS fact FROM lineitem), cut AS (SELECT src, dst FROM q GROUP BY ALL HAVING bool_and(fact='N')),
 k AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.src=e.src AND cut.dst=e.dst)), r AS (SELECT 's0' AS node, 0 AS depth UNION SELECT e.dst, r.depth+1 FROM r JOIN e ON e.src=r.node WHERE r.depth<2),
 z AS (SELECT 's0' AS node, 0 AS depth UNION SELECT k.dst, z.depth+1 FROM z JOIN k ON k.src=z.node WHERE z.depth<2) SELECT node, min(depth)::INT AS depth FROM r WHERE node NOT IN (SELECT node FROM z) GROUP BY node""")
