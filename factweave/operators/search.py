@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.functions.text import words
+from factweave.functions.text import trigrams, words
 from factweave.functions.vector import cosine
 
 
@@ -82,11 +82,12 @@ def blend(hits: DataFrame, weight: float) -> DataFrame:
 
 def fuzzy_keyword(docs: DataFrame, query: list[str], k: int, least: float = 0.45) -> DataFrame:
     """Like keyword, but a document has a query word if any of its words shares so many trigrams with it."""
-    from factweave.functions.text import jaccard, trigrams
-
     held = docs.select("content", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    near = F.filter(F.array(*(F.struct(F.lit(q).alias("q"), jaccard(trigrams(F.col("word")), trigrams(F.lit(q))).alias("s")) for q in query)), lambda x: x["s"] >= least)
-    vocabulary = held.select("word").distinct().withColumn("near", near).where(F.size("near") > 0).select("word", F.explode("near.q").alias("q"))
+    grams = held.select("word").distinct().withColumn("t", trigrams(F.col("word"))).select("word", F.size("t").alias("n"), F.explode("t").alias("g"))
+    spelled = ((q, {f"  {q.lower()} "[i : i + 3] for i in range(len(q) + 1)}) for q in query)
+    asked = docs.sparkSession.createDataFrame([(q, len(t), g) for q, t in spelled for g in sorted(t)], "q string, m int, g string")
+    shared = grams.join(F.broadcast(asked), "g").groupBy("word", "n", "q", "m").agg(F.count(F.lit(1)).alias("both"))
+    vocabulary = shared.where(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= least).select("word", "q")
     hits = held.join(vocabulary, "word").select("content", "q").distinct()
     weights = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))
     # as many rows as query words
