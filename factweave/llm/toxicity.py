@@ -1,15 +1,17 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A text is the set of its words; a word is a slot of a hashed vocabulary.  A
-first logistic fit with an L1 penalty picks the words that labels depend on; a
+A text is the set of its words, of the first bytes of its longer words, and of
+those beginnings that two of its words or more share, so that inflected or
+compound words of one stem count together; each is a slot of a hashed
+vocabulary.  A first logistic fit with an L1 penalty picks the words that labels depend on; a
 second fit on these alone, with an L2 penalty, also takes each labelled sentence
 that names a group, swaps the identity term for other ones (and for none), and
 penalises the squared change of the score.  So mentioning a group moves no score
 unless the words around it do.
 
 The fit is on a bounded sample: the `most` labelled rows with the smallest hash
-of their id.  Only their words' slots reach the driver.  Scoring is one pass
-over all texts with a vector of 2**20 weights.
+of their id.  Only their slots reach the driver.  Scoring is one pass over all
+texts that looks at the slots with a weight alone.
 
 Nulls and texts without words get the base rate.  Rows with the same id are
 scored one by one; labels that disagree for an id count by their mean (0.5 is
@@ -28,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factweave.llm import exchange as X
-from factweave.llm.textops import ALNUM, U, hashed_words, pieces, unique_per_text
+from factweave.llm.textops import ALNUM, LOWER, U, flat, hashed_words, isin_sorted, mix, owner, pieces, prefix_sums, spans, words
 
-SLOTS = 1 << 20
+BITS = 22
+SLOTS = 1 << BITS
+#: Lengths of the beginnings of words, in bytes.
+STEMS = (4, 6)
 
 # Identity terms that are swapped for each other, by kind.
 IDENTITY_TERMS = {
@@ -42,10 +47,42 @@ IDENTITY_TERMS = {
 }
 
 
-def slots(column) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of each text's words, once each, and where each text's begin."""
-    hashes, first = hashed_words(column, ALNUM, True)
-    return unique_per_text(hashes % U(SLOTS), first)
+def _terms(terms: list[str]) -> np.ndarray:
+    return hashed_words(pa.array(terms), ALNUM, True)[0]
+
+
+_ALL_TERMS = np.sort(_terms([t for terms in IDENTITY_TERMS.values() for t in terms]))
+
+
+def slots(column, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each text, once each and in order, and where each text's begin; only wanted ones, if given.
+
+    An identity term is a word alone: its beginning is no feature, or swapping the term would not swap all of it.
+    """
+    data, off = flat(column)
+    data = LOWER[data]
+    start, end, first = words(data, off, ALNUM)
+    sums, text = prefix_sums(data.astype(U) + U(1)), owner(first).astype(U)
+    word = spans(sums, start, end)
+    pick = lambda s: np.arange(len(s)) if wanted is None else np.flatnonzero(wanted[s])
+    slot = word % U(SLOTS)
+    at = pick(slot)
+    found = [(text[at] << U(BITS)) | slot[at]]
+    plain = ~isin_sorted(word, _ALL_TERMS)
+    for n in STEMS:
+        long = np.flatnonzero((end - start > n) & plain)
+        stem = spans(sums, start[long], start[long] + n)
+        slot = mix(stem + U(n)) % U(SLOTS)
+        at = pick(slot)
+        found.append((text[long[at]] << U(BITS)) | slot[at])
+        slot = mix(stem + U(n + 64)) % U(SLOTS)
+        at = pick(slot)
+        key, own = (text[long[at]] << U(BITS)) | slot[at], word[long[at]]
+        order = np.lexsort((own, key))
+        key, own = key[order], own[order]
+        found.append(key[1:][(key[1:] == key[:-1]) & (own[1:] != own[:-1])])
+    keys = np.unique(np.concatenate(found))
+    return keys & U(SLOTS - 1), np.searchsorted(keys >> U(BITS), np.arange(len(off)).astype(U))
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int, folds: int, held: int) -> list[tuple[int, bytes]]:
@@ -60,7 +97,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, folds: int, held: int)
         for batch in batches:
             for piece in pieces(batch, "text", 2 << 20):
                 held_, first = slots(piece.column(1))
-                rows = [np.sort(held_[first[i] : first[i + 1]]).astype("<u4").tobytes() for i in range(piece.num_rows)]
+                rows = [held_[first[i] : first[i + 1]].astype("<u4").tobytes() for i in range(piece.num_rows)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(rows, pa.binary())], ["doc_id", "label", "slots"])
 
     # the ids are bounded by `most`, so they can be broadcast; a row more than `most` only comes from repeated ids
@@ -71,18 +108,19 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, folds: int, held: int)
 
 class Classifier:
     def __init__(self, bias: float, index: np.ndarray, weight: np.ndarray):
-        self.bias = bias
-        self.weights = np.zeros(SLOTS)
-        self.weights[index] = weight
+        """index: slots, in order."""
+        self.bias, self.index, self.weight = bias, index.astype(U), weight
+        self.wanted = np.zeros(SLOTS, bool)
+        self.wanted[index] = True
 
     def score(self, column) -> np.ndarray:
-        held, first = slots(column)
-        total = np.concatenate(([0.0], np.cumsum(self.weights[held])))
+        held, first = slots(column, self.wanted)
+        total = np.concatenate(([0.0], np.cumsum(self.weight[np.searchsorted(self.index, held)])))
         return 1 / (1 + np.exp(-np.clip(self.bias + total[first[1:]] - total[first[:-1]], -500, 500)))
 
 
 def _term_slots() -> list[np.ndarray]:
-    return [np.array([int(slots(pa.array([t]))[0][0]) for t in terms]) for terms in IDENTITY_TERMS.values()]
+    return [(_terms(terms) % U(SLOTS)).astype(np.int64) for terms in IDENTITY_TERMS.values()]
 
 
 def fit(rows: list[tuple[int, bytes]], strength: float = 4.0, l1: float = 1.3, l2: float = 0.02, rounds: int = 400) -> Classifier:
@@ -91,15 +129,20 @@ def fit(rows: list[tuple[int, bytes]], strength: float = 4.0, l1: float = 1.3, l
     if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.0
         return Classifier(float(np.clip(np.log(max(rate, 1e-300) / max(1 - rate, 1e-300)), -500, 500)), np.zeros(0, int), np.zeros(0))
-    sets = [np.frombuffer(r[1], "<u4").astype(np.int64) for r in rows]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    column, slot = np.unique(np.concatenate(sets), return_inverse=True)
-    many = np.bincount(slot) >= 3
-    keep = many[slot]
-    row, slot = row[keep], (np.cumsum(many) - 1)[slot[keep]]
-    column = column[many]
     rate = y.mean()
     bias = np.log(rate / (1 - rate))
+    l1 *= np.sqrt(len(y) * rate * (1 - rate))
+    sets = [np.frombuffer(r[1], "<u4") for r in rows]
+    often, pulled = np.zeros(SLOTS, np.int64), np.zeros(SLOTS)
+    for held, label in zip(sets, y, strict=True):
+        often[held] += 1
+        pulled[held] += label - rate
+    # a word whose pull on the bias alone is under half the penalty would not be picked
+    many = (often >= 3) & (np.abs(pulled) >= l1 / 2)
+    column = np.flatnonzero(many)
+    sets = [held[many[held]] for held in sets]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    slot = np.searchsorted(column, np.concatenate(sets))
 
     def descend(row, slot, size, bias, l1, l2, pull=None, rounds=rounds):
         """Accelerated proximal gradient on the sum of losses, a step size per word."""
@@ -124,7 +167,7 @@ def fit(rows: list[tuple[int, bytes]], strength: float = 4.0, l1: float = 1.3, l
             w, b, t = x, c, nxt
         return w, b
 
-    w, bias = descend(row, slot, len(column), bias, l1 * np.sqrt(len(y) * rate * (1 - rate)), 0.0)
+    w, bias = descend(row, slot, len(column), bias, l1, 0.0)
     picked = np.abs(w) > 0
     if not picked.any():
         return Classifier(bias, np.zeros(0, int), np.zeros(0))

@@ -177,6 +177,19 @@ def test_toxicity(spark, none):
     assert all(r["toxicity_score"] < 1e-100 for r in toxicity.classify(docs, marks.limit(0)).collect())
 
 
+def test_toxicity_by_stems(spark):
+    """Words never seen in training are caught by a stem that two of them share; one such word is not enough."""
+    rng = random.Random(5)
+    say = lambda k: "".join(rng.choice("aeioubdfg") for _ in range(k))
+    rows = [(i, " ".join([say(6) for _ in range(20)] + [f"xkrut{say(5)}" for _ in range(3 if i % 5 == 0 else i % 2)])) for i in range(800)]
+    rows += [(2000, "xkrutzz1 bedo xkrutzz2"), (2001, "xkrutzz1 bedo fago"), (2002, "xkrutzz1 bedo xkrutzz1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(800)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["toxicity_score"] for r in toxicity.classify(docs, marks).collect()}
+    assert all((found[i] >= 0.5) == (i % 5 == 0) for i in range(800))
+    assert found[2000] >= 0.5 > max(found[2001], found[2002])
+
+
 def test_pseudonyms(spark):
     tool = pii.Pseudonyms("k")
     values = {"card": "4539 1488 0343 6467", "iban": "GB82 WEST 1234 5698 7654 32", "ssn": "123-45-6789", "phone": "+1 (372) 555-0123", "ip": "10.20.30.40", "email": "größe.34@mail7.example.com", "date": "2024-02-29", "secret": "04dbebab91ab85687d33eeaaf9ac699e1188f962"}
