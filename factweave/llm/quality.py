@@ -2,12 +2,15 @@
 
 Each document has rates: symbols per word character, lines that repeat earlier
 ones, words in repeated 8-word runs, characters per word.  KLL sketches of each
-rate are aggregated by language and source, and merged to languages and to the
-corpus; a group of fewer than `least` documents takes its language's sketch, or
-else the corpus'.  A document is rejected if a rate is beyond its group's upper
-quartile by `reach` times the distance between quartiles, or below the lower
-one for word lengths; the distance counts as `slack` at least, so that a group
-where nearly all values are equal keeps what is slightly different.
+rate, and of the sizes that rates are shares of, are aggregated by language and
+source, and merged to languages and to the corpus; a group of fewer than `least`
+documents takes its language's sketch, or else the corpus'.  A document is
+rejected if a rate is beyond its group's upper quartile by `reach` times the
+distance between quartiles, or below the lower one for word lengths.  In groups
+where nearly all rates are equal the distance is what one occurrence (a symbol,
+a line, a run and its copy) makes in a document of the group's median size, so
+nothing but the group's own sketches sets a limit.  A document below that size
+has wider limits, since one occurrence weighs more there and means vary more.
 
 DataFrame functions only.  The table of thresholds has a row for each language
 and source; Spark broadcasts it if it is small when measured, and joins by
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 
 from factweave.llm import exchange as X
 
-#: Rate: (least distance between quartiles, whether small values are rejected too).
-RATES = {"symbol_rate": (0.02, False), "dup_line_rate": (0.1, False), "repeat_rate": (0.06, False), "word_length": (1.0, True)}
+#: Rate: (size that it is a share of, how much of it one occurrence is, whether small values are rejected too).
+RATES = {"symbol_rate": ("word_chars", 1, False), "dup_line_rate": ("n_lines", 1, False), "repeat_rate": ("n_words", 16, False), "word_length": ("n_words", 1, True)}
+SIZES = ("word_chars", "n_lines", "n_words")
+
 
 
 def measures(docs: DataFrame, keep: list[str], run: int = 8) -> DataFrame:
@@ -64,34 +69,45 @@ def _with_rates(df: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rated: DataFrame, least: int = 100, reach: float = 3.0) -> DataFrame:
-    """(lang, source, low_<rate>, high_<rate>) from the rated rows that pass the base rule."""
+def thresholds(rated: DataFrame, least: int = 100) -> DataFrame:
+    """(lang, source, q25_<rate>, q75_<rate>, typical_<size>) from the rated rows that pass the base rule."""
     base = rated.where(~F.col("base_failed"))
-    own = base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(r).alias(r) for r in RATES))
-    merged = lambda: [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RATES)]
+    kept = (*RATES, *SIZES)
+    own = base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(r).cast("double")).alias(r) for r in kept))
+    merged = lambda: [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in kept)]
     by_lang = own.groupBy("lang").agg(*merged())
     whole = own.agg(*merged())
-    named = lambda df, tag, *keys: df.select(*(F.col(k).alias(f"{k}_{tag}") for k in keys), *(F.col(c).alias(f"{c}_{tag}") for c in ("n", *RATES)))
+    named = lambda df, tag, *keys: df.select(*(F.col(k).alias(f"{k}_{tag}") for k in keys), *(F.col(c).alias(f"{c}_{tag}") for c in ("n", *kept)))
     groups = rated.select("lang", "source").distinct()
     held = groups.join(named(own, "own", "lang", "source"), F.col("lang").eqNullSafe(F.col("lang_own")) & F.col("source").eqNullSafe(F.col("source_own")), "left")
     held = held.join(named(by_lang, "lang", "lang"), F.col("lang").eqNullSafe(F.col("lang_lang")), "left").join(F.broadcast(named(whole, "all")))
-    out = []
-    for rate, (slack, both) in RATES.items():
-        sketch = F.when(F.col("n_own") >= least, F.col(f"{rate}_own")).when(F.col("n_lang") >= least, F.col(f"{rate}_lang")).otherwise(F.col(f"{rate}_all"))
-        q25, q75 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        far = reach * F.greatest(q75 - q25, F.lit(slack))
-        out += [(q25 - far if both else F.lit(None).cast("double")).alias(f"low_{rate}"), (q75 + far).alias(f"high_{rate}")]
-    return held.select("lang", "source", *out)
+
+    def quantile(x: str, q: float) -> Column:
+        sketch = F.when(F.col("n_own") >= least, F.col(f"{x}_own")).when(F.col("n_lang") >= least, F.col(f"{x}_lang")).when(F.col("n_all") > 0, F.col(f"{x}_all"))
+        return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
+
+    quartiles = [quantile(r, q).alias(f"q{100 * q:.0f}_{r}") for r in RATES for q in (0.25, 0.75)]
+    return held.select("lang", "source", *quartiles, *(quantile(s, 0.5).alias(f"typical_{s}") for s in SIZES))
+
+
+def _distance(rate: str) -> Column:
+    """Between quartiles, for a document of this size."""
+    of, unit, both = RATES[rate]
+    between, typical, size = F.col(f"q75_{rate}") - F.col(f"q25_{rate}"), F.col(f"typical_{of}"), F.greatest(F.col(of), F.lit(1))
+    if both:  # means: their deviation falls with the root of the size; a single one deviates by a unit at least
+        return F.greatest(between, unit / F.sqrt(typical)) * F.sqrt(F.greatest(typical / size, F.lit(1.0)))
+    return F.greatest(between, unit / F.least(typical, size))
 
 
 def judged(docs: DataFrame, least: int = 100, reach: float = 3.0) -> DataFrame:
     """Per row of docs (doc_id, text, lang, source): its counts and rates, base_failed and kept."""
     rated = X.checkpoint(_with_rates(measures(docs, ["doc_id", "lang", "source"])))
-    limits = thresholds(rated, least, reach).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(f"{s}_{r}" for r in RATES for s in ("low", "high")))
+    limits = thresholds(rated, least).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     both = rated.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     good: Column = ~F.col("base_failed")
-    for rate, (_, low) in RATES.items():
-        good &= F.coalesce(F.col(rate) <= F.col(f"high_{rate}"), F.lit(True))
+    for rate, (_, _, low) in RATES.items():
+        far = reach * _distance(rate)
+        good &= F.coalesce(F.col(rate) <= F.col(f"q75_{rate}") + far, F.lit(True))
         if low:
-            good &= F.coalesce(F.col(rate) >= F.col(f"low_{rate}"), F.lit(True))
+            good &= F.coalesce(F.col(rate) >= F.col(f"q25_{rate}") - far, F.lit(True))
     return both.withColumn("kept", good)

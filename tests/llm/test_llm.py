@@ -159,6 +159,20 @@ def test_quality(docs, none, rows):
     assert quality.judged(none).count() == 0
 
 
+def test_quality_limits_follow_the_group(spark):
+    """The same text is far out in a source without symbols, and ordinary where others have as many."""
+    rng = random.Random(4)
+    say = lambda k: [rng.choice("abcdefgh") * rng.randint(3, 7) for _ in range(k)]
+    odd = " ".join([*say(200), "#" * 20])
+    rows = [(i, " ".join([*say(200), "#" * (rng.randint(5, 25) if i % 2 else 0)]), "en", f"s{i % 2}") for i in range(400)]
+    rows += [(1000, odd, "en", "s0"), (1001, odd, "en", "s1")]
+    found = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (found[1000], found[1001]) == (False, True)
+    assert sum(found[i] for i in range(400)) >= 390
+    few = spark.createDataFrame([(1, "few words", "en", "s0"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    assert [r["kept"] for r in quality.judged(few).collect()] == [False, False]
+
+
 def test_toxicity(spark, none):
     rng = random.Random(0)
     calm, rude, groups = [f"w{i}" for i in range(60)], ["moron", "scum", "idiot"], ["muslim", "christian", "jewish"]
