@@ -3,8 +3,9 @@
 Each document has rates: symbols per word character, lines that repeat earlier
 ones, words in repeated 8-word runs, characters per word.  KLL sketches of each
 rate, and of the sizes that rates are shares of, are aggregated by language and
-source, and merged to languages and to the corpus; a group of fewer than `least`
-documents takes its language's sketch, or else the corpus'.  A document is
+source, and merged to languages and to the corpus.  A group's quantiles are drawn
+to its language's, and those to the corpus', as if `weight` documents more had
+been seen there, so verdicts do not jump at any number of rows.  A document is
 rejected if a rate is beyond its group's upper quartile by `reach` times the
 distance between quartiles, or below the lower one for word lengths.  In groups
 where nearly all rates are equal the distance is what one occurrence (a symbol,
@@ -69,7 +70,7 @@ def _with_rates(df: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rated: DataFrame, least: int = 100) -> DataFrame:
+def thresholds(rated: DataFrame, weight: float = 25.0) -> DataFrame:
     """(lang, source, q25_<rate>, q75_<rate>, typical_<size>) from the rated rows that pass the base rule."""
     base = rated.where(~F.col("base_failed"))
     kept = (*RATES, *SIZES)
@@ -83,8 +84,11 @@ def thresholds(rated: DataFrame, least: int = 100) -> DataFrame:
     held = held.join(named(by_lang, "lang", "lang"), F.col("lang").eqNullSafe(F.col("lang_lang")), "left").join(F.broadcast(named(whole, "all")))
 
     def quantile(x: str, q: float) -> Column:
-        sketch = F.when(F.col("n_own") >= least, F.col(f"{x}_own")).when(F.col("n_lang") >= least, F.col(f"{x}_lang")).when(F.col("n_all") > 0, F.col(f"{x}_all"))
-        return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
+        out = F.when(F.col("n_all") > 0, F.kll_sketch_get_quantile_double(f"{x}_all", F.lit(q)))
+        for tag in ("lang", "own"):
+            n = F.col(f"n_{tag}")
+            out = F.when(n > 0, (n * F.kll_sketch_get_quantile_double(f"{x}_{tag}", F.lit(q)) + weight * out) / (n + weight)).otherwise(out)
+        return out
 
     quartiles = [quantile(r, q).alias(f"q{100 * q:.0f}_{r}") for r in RATES for q in (0.25, 0.75)]
     return held.select("lang", "source", *quartiles, *(quantile(s, 0.5).alias(f"typical_{s}") for s in SIZES))
@@ -99,10 +103,10 @@ def _distance(rate: str) -> Column:
     return F.greatest(between, unit / F.least(typical, size))
 
 
-def judged(docs: DataFrame, least: int = 100, reach: float = 3.0) -> DataFrame:
+def judged(docs: DataFrame, weight: float = 25.0, reach: float = 3.0) -> DataFrame:
     """Per row of docs (doc_id, text, lang, source): its counts and rates, base_failed and kept."""
     rated = X.checkpoint(_with_rates(measures(docs, ["doc_id", "lang", "source"])))
-    limits = thresholds(rated, least).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = thresholds(rated, weight).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     both = rated.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     good: Column = ~F.col("base_failed")
     for rate, (_, _, low) in RATES.items():

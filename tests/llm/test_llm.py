@@ -173,6 +173,17 @@ def test_quality_limits_follow_the_group(spark):
     assert [r["kept"] for r in quality.judged(few).collect()] == [False, False]
 
 
+def test_quality_limits_do_not_jump(spark):
+    """With each further row of a group its quantiles move a little from the language's to its own."""
+    rated = lambda n: [("en", "big", 5.0)] * 500 + [("en", "new", 9.0)] * n
+    held = []
+    for n in (10, 98, 99, 100, 101, 5000):
+        df = spark.createDataFrame(rated(n), "lang string, source string, word_length double").select("*", F.lit(False).alias("base_failed"), *(F.lit(0.0).alias(r) for r in quality.RATES if r != "word_length"), *(F.lit(100).alias(x) for x in quality.SIZES))
+        held.append(quality.thresholds(df).where("source = 'new'").first()["q25_word_length"])
+    assert held == sorted(held) and 5 < held[0] < 7 and held[-1] > 8.9
+    assert max(b - a for a, b in zip(held[1:4], held[2:5], strict=True)) < 0.05
+
+
 def test_toxicity(spark, none):
     rng = random.Random(0)
     calm, rude, groups = [f"w{i}" for i in range(60)], ["moron", "scum", "idiot"], ["muslim", "christian", "jewish"]
