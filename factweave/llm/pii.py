@@ -11,7 +11,8 @@ phone numbers with a country code or of the form (ddd) ddd-dddd, IPv4 addresses,
 e-mail addresses (the part before @), dates (1900-2099: ISO, and d/m/y or m/d/y
 with four-digit years), and secrets (hexadecimal strings of 32, 40 or 64 digits,
 access keys that begin with AKIA).
-What looks similar but isn't valid stays as it is.
+What looks similar but isn't valid stays as it is; where a match isn't, shorter
+ones at its start and other kinds are tried, then what begins a character later.
 
 Null texts stay null.  Every other column is kept; rows are independent.
 """
@@ -184,21 +185,55 @@ def _secret(text: str, key: bytes, permute) -> str | None:
 
 
 _VALID = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "email": _email, "date": _date, "secret": _secret}
-_ANY = re.compile(
-    r"(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z]))"
-    r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
-    r"|(?P<card>(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w))"
-)
+_FORMS = {
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
+    "date": r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
+    "card": r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w)",
+}
+_ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _FORMS.items()))
+_EACH = {k: re.compile(v) for k, v in _FORMS.items()}
+# IBAN lengths by country.
+_IBAN_LENGTHS = {c: n for n, names in {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in names.split()}
 _AT = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9])")
 _LOCAL = re.compile(r"[\w.%+-]*\Z")
 
 
+def _ends(text: str, start: int, end: int, kind: str) -> Iterator[int]:
+    """Where a value of this kind may end that begins at start and reaches to end at most, the likeliest first."""
+    cut = lambda e: text[e - 1].isalnum() and not (text[e : e + 1].isalnum() or text[e : e + 1] == "_")
+    if kind == "iban" and (length := _IBAN_LENGTHS.get(text[start : start + 2])):
+        at = [i + 1 for i in range(start, end) if text[i] != " "]
+        if length <= len(at) and cut(at[length - 1]):
+            yield at[length - 1]
+        yield end
+        return
+    yield end
+    if kind in ("card", "iban", "phone"):
+        yield from (e for e in range(end - 1, start, -1) if cut(e))
+
+
+def _valid(text: str, start: int, kind: str, free: int) -> int | None:
+    """The end of the valid value of this kind at start, not beyond free."""
+    m = _EACH[kind].match(text, start)
+    if not m:
+        return None
+    for end in _ends(text, start, m.end(), kind):
+        if end <= free and _VALID[kind](text[start:end], b"", lambda number, size, key: number) is not None:
+            if kind == "phone":  # its last groups may be the first of another value
+                for i in range(start + 1, end):
+                    if text[i - 1] in " .-" and any((e := _valid(text, i, k, free)) and e > end for k in ("card", "date", "ssn", "ip")):
+                        short = text[start:i].rstrip(" .-")
+                        return start + len(short) if _phone(short, b"", lambda number, size, key: number) is not None else end
+            return end
+    return None
+
+
 def found(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what looks like personal data."""
+    """(start, end, kind) of personal data."""
     out = []
     for m in _AT.finditer(text):
         low = _LOCAL.search(text, max(0, m.start() - 64), m.start()).start()
@@ -207,9 +242,18 @@ def found(text: str) -> list[tuple[int, int, str]]:
         if low < m.start():
             out.append((low, m.end(), "email"))
     taken = out[:]
-    for m in _ANY.finditer(text):
-        if not any(low < m.end() and m.start() < high for low, high, _ in taken):
-            out.append((m.start(), m.end(), m.lastgroup))
+    at = 0
+    while m := _ANY.search(text, at):
+        start = m.start()
+        inside = next((high for low, high, _ in taken if low <= start < high), None)
+        if inside is not None:
+            at = inside
+            continue
+        free = min((low for low, _, _ in taken if low > start), default=len(text))
+        kind, end = next(((k, e) for k in _EACH if (e := _valid(text, start, k, free)) is not None), (None, start + 1))
+        if kind:
+            out.append((start, end, kind))
+        at = end
     return sorted(out)
 
 

@@ -232,6 +232,17 @@ def test_pseudonyms(spark):
     assert out[1] is None and out[2] == "" and out[3][3:] == out[4][3:-1] != "10.20.30.40"
 
 
+def test_pseudonyms_next_to_short_neighbours():
+    tool = pii.Pseudonyms("k")
+    card, iban, day, phone = "4111 1111 1111 1111", "ES9121000418450200051332", "2024-01-05", "+1 (372) 555-0123"
+    for text, values in [
+        (f"{card} 123", [card]), (f"{card} 12/27", [card]), (f"123 {card}", [card]), ("BE68 5390 0754 7034 BIC GEBABEBB", ["BE68 5390 0754 7034"]), (f"{iban} BIC X", [iban]), (f"{iban} {day}", [iban, day]),
+        (f"{phone} {day}", [phone, day]), (f"{phone} {card}", [phone, card]), (f"{card} 12 a@b.example.com", [card, "a@b.example.com"]),
+    ]:
+        assert [text[a:b] for a, b, _ in pii.found(text)] == values, text
+        assert not any(v in tool.apply(text)[0] for v in values)
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_feistel_is_a_permutation(size):
     image = [pii.feistel(i, size, b"k") for i in range(size)]
