@@ -4,8 +4,11 @@ A page is a sequence of blocks, each with its path of block-level tags from the
 root.  For every distinct path the length of text, its punctuation and the share
 inside links are added up; length and punctuation per block are smoothed over
 neighbouring paths in page order and fused by their geometric mean.  A path is
-content if its ratio reaches a threshold, the page's mean; so is what else stands
-inside the content's own container, such as headings and short paragraphs.
+content if its ratio reaches a threshold, half the page's mean, and less than
+half of its text is in links; so is what else stands inside the content's own
+container, such as headings and short paragraphs.  <article> and <main> decide
+nothing alone: paths inside them count with `PRIOR` times their ratio, and the
+container of content in one of them is that element.
 Elements whose tag, role or class says that they are no article (menus, adverts,
 forms, comments, scripts) have no blocks.
 
@@ -35,6 +38,9 @@ NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search
 # Words in class or id that mark what is no article.
 NO_ARTICLE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr menu nav navbar navigation newsletter notice notices popup modal promo promotion related share sharing shares sidebar social sponsor sponsored subscribe toolbar widget".split())
 
+#: How much more the ratio of a path inside <article> or <main> counts.
+PRIOR = 2.0
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。，！？]")
@@ -153,22 +159,22 @@ def main_text(page: str | None) -> str:
     if not stats:
         return ""
     paths = list(stats)
-    inside = [p for p in paths if "article" in p or "main" in p]
+    inside = {p: "article" in p or "main" in p for p in paths}
     length = [(stats[p][0] - min(stats[p][2], stats[p][0])) / stats[p][3] for p in paths]
     points = [stats[p][1] / stats[p][3] for p in paths]
 
     def smooth(x: list[float]) -> list[float]:
         return [(x[max(i - 1, 0)] + 2 * x[i] + x[min(i + 1, len(x) - 1)]) / 4 for i in range(len(x))]
 
-    ratio = dict(zip(paths, ((a * (b + 1)) ** 0.5 for a, b in zip(smooth(length), smooth(points), strict=True)), strict=True))
-    if inside:
-        content = set(inside)
-    else:
-        mean = sum(ratio[p] * stats[p][0] for p in paths) / sum(stats[p][0] for p in paths)
-        content = {p for p in paths if ratio[p] >= 0.5 * mean and stats[p][2] < 0.5 * stats[p][0]} or {max(paths, key=ratio.__getitem__)}
-        best = max(content, key=lambda p: stats[p][0])[:-1]
-        content |= {p for p in paths if len(best) > 2 and p[: len(best)] == best and stats[p][2] < 0.5 * stats[p][0]}
-        content |= {p for p in paths if p[:-1] == best and re.fullmatch("h[1-6]", p[-1] if p else "")}
+    fused = [(a * (b + 1)) ** 0.5 for a, b in zip(smooth(length), smooth(points), strict=True)]
+    ratio = {p: x * (PRIOR if inside[p] else 1) for p, x in zip(paths, fused, strict=True)}
+    plain = {p for p in paths if stats[p][2] < 0.5 * stats[p][0]}
+    mean = sum(ratio[p] * stats[p][0] for p in paths) / sum(stats[p][0] for p in paths)
+    content = {p for p in plain if ratio[p] >= 0.5 * mean} or {max(paths, key=ratio.__getitem__)}
+    most = max(content, key=lambda p: stats[p][0])
+    best = most[: max(i for i, n in enumerate(most) if n in ("article", "main")) + 1] if inside[most] else most[:-1]
+    content |= {p for p in plain if (len(best) > 2 or inside[most]) and p[: len(best)] == best and inside[p] == inside[most]}
+    content |= {p for p in paths if p[:-1] == best and re.fullmatch("h[1-6]", p[-1] if p else "")}
     return "\n\n".join(text for path, text, _ in found if path in content)
 
 

@@ -261,6 +261,18 @@ def test_main_text(spark):
     assert found == [(1, want), (2, ""), (3, ""), (4, long_text), (4, long_text), (5, ""), (6, "just text")]
 
 
+def test_main_text_is_not_what_an_article_element_says():
+    """Teasers in <article> beside a text in <div>; a list of links inside the article; a text outside it."""
+    long = "A long sentence of the main text, with a comma, and with more words than any teaser has. Then another one, which is long too."
+    text = "".join(f"<p>{long} {i}</p>" for i in range(5))
+    want = "\n\n".join(f"{long} {i}" for i in range(5))
+    teasers = "".join(f"<article><h3><a href=/{i}>Teaser {i}</a></h3><p>Short.</p></article>" for i in range(6))
+    assert tagpaths.main_text(f"<html><body><div class=text>{text}</div><section>{teasers}</section></body></html>") == want
+    assert tagpaths.main_text(f"<html><body><div class=text>{text}</div><div>{teasers}</div></body></html>") == want
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Read this too, number {i}</a></li>" for i in range(6)) + "</ul>"
+    assert tagpaths.main_text(f"<html><body><article><h1>Head</h1>{text}{links}</article></body></html>") == "Head\n\n" + want
+
+
 def test_raking_meets_its_targets(spark, docs, none):
     targets = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}, "lang": {"en": 0.6, "de": 0.4}}
     rows = [(i, "w " * (1 + i % 7) + ("| x | y" if i % 2 else ""), f"s{i % 3}", "en" if i % 5 else "de") for i in range(300)]
