@@ -9,9 +9,8 @@ been seen there, so verdicts do not jump at any number of rows.  A document is
 rejected if a rate is beyond its group's upper quartile by `reach` times the
 distance between quartiles, or below the lower one for word lengths.  In groups
 where nearly all rates are equal the distance is what one occurrence (a symbol,
-a line, a run and its copy) makes in a document of the group's median size, so
-nothing but the group's own sketches sets a limit.  A document below that size
-has wider limits, since one occurrence weighs more there and means vary more.
+a line, a run and its copy) makes in a document of the group's median size, which
+comes from sketches too.  A document below that size has wider limits, since one occurrence weighs more there and means vary more.
 
 DataFrame functions only.  The table of thresholds has a row for each language
 and source; Spark broadcasts it if it is small when measured, and joins by
