@@ -1,29 +1,28 @@
-"""Session helpers: checkpoints in the cluster's shared folder, size-checked broadcasts."""
+"""Session helpers: tables, and checkpoints in the cluster's shared folder."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Most that is broadcast, by Spark's statistics.
-BROADCAST_BYTES = 64 << 20
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset and Spark runs in one process, as in tests, a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or "/tmp/checkpoints").rstrip("/")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once into spark.checkpoint.dir; lineage ends there and survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4()}")
+    """df, computed once into the shared folder; lineage ends there and survives lost executors."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/{uuid.uuid4()}")
     return df.checkpoint()
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its size is known to be small."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
