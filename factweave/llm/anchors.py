@@ -5,12 +5,13 @@ at a multiple of B in its document.  So the blocks of all documents are indexed
 by hash, every rolling window of B words probes the index, and a run of 2B
 words can only be repeated if it holds a window that hit a block of another
 place.  Hits are extended on either side to all runs of 2B words around them,
-and the runs' hashes decide which of them also start earlier; the union of
-those is the maximal repeats.
+and the runs' hashes (96 bits) decide which of them also start earlier; the
+union of those is the maximal repeats.
 
-Order is by id (nulls last), then by position; rows of one id are ordered as
-Spark deals them.  Nulls and texts without words give no words and an empty
-text.  Other columns are ignored.
+Order is by id (nulls last), then by position; rows of one id (nulls too) are
+ordered as they stand in the table.  Nulls and texts without words give no words
+and an empty text.  A row's own text is never split, so a task needs some 60
+bytes of memory for each byte of the longest text.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from factweave.llm import exchange as X
-from factweave.llm.textops import SPACED, U, covered, flat, hashed_words, isin_sorted, owner, per_text, windows
+from factweave.llm.textops import SPACED, U, covered, flat, hashed_words, isin_sorted, mix, owner, per_text, prefix_sums, sliding, windows
 
 SCHEMA = "doc_id long, n_words long, n_removed long, text string"
 LAST = np.iinfo(np.int64).max
@@ -43,6 +44,28 @@ def _short(hashes: np.ndarray, n: int) -> np.ndarray:
     return (hashes >> U(16)) * U(n) + hashes % U(n)
 
 
+def _second(hashes: np.ndarray, k: int) -> np.ndarray:
+    """32 more bits for each run of k words, independent of the first 64."""
+    return (sliding(prefix_sums(mix(hashes ^ U(0xA5A5A5A5A5A5A5A5))), k) >> U(32)).astype("<u4")
+
+
+def isin_pairs(keys: np.ndarray, second: np.ndarray, payloads: list[bytes]) -> np.ndarray:
+    """Whether keys and second occur together in payloads, each all second ones and then all keys."""
+    if not payloads or not len(keys):
+        return np.zeros(len(keys), bool)
+    held = np.concatenate([np.frombuffer(p, "<u8", -1, len(p) // 3) for p in payloads])
+    more = np.concatenate([np.frombuffer(p, "<u4", len(p) // 12) for p in payloads])
+    order = np.lexsort((more, held))
+    held, more = held[order], more[order]
+    low, high = np.searchsorted(held, keys), np.searchsorted(held, keys, "right")
+    out = np.zeros(len(keys), bool)
+    while (low < high).any():  # once, but for keys that collide
+        some = np.flatnonzero(low < high)
+        out[some] |= more[low[some]] == second[some]
+        low = low + 1
+    return out
+
+
 def _words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return hashed_words(table["text"], SPACED, False)
 
@@ -71,12 +94,9 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             return
         again = np.diff(np.append(new, len(runs))) > 1
         indexed = np.logical_or.reduceat(indexed, new)
-        order, begin = X.by_bucket(runs[new], n)
-        keys, again, indexed = (runs[new] >> U(16))[order], again[order], indexed[order]
-        for b in range(n):
-            s = slice(begin[b], begin[b + 1])
-            if begin[b] < begin[b + 1]:
-                yield b, np.packbits(np.concatenate((again[s], indexed[s]))).tobytes() + pack48(keys[s])
+        keys = runs[new]
+        for b, s in X.by_bucket(keys, n):
+            yield b, np.packbits(np.concatenate((again[s], indexed[s]))).tobytes() + pack48(keys[s] >> U(16))
 
     def hits(rows):
         keys, again, indexed = [], [], []
@@ -111,46 +131,43 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         hit = np.cumsum(hit)
         runs, at = windows(hashes, first, window)
         near = hit[at + window - block + 1] > hit[at]
-        runs, ids = runs[near], _order(table)[owner(first)[at[near]]]
-        order = np.lexsort((ids, runs))
-        runs, ids = runs[order], ids[order]
-        new = np.concatenate(([True], runs[1:] != runs[:-1]))[: len(runs)]
-        runs, ids = runs[new], ids[new]
-        if not len(runs):
+        if not near.any():
             return
+        runs, second, ids = runs[near], _second(hashes, window)[at[near]], _order(table)[owner(first)[at[near]]]
+        order = np.lexsort((ids, second, runs))
+        runs, second, ids = runs[order], second[order], ids[order]
+        new = np.concatenate(([True], (runs[1:] != runs[:-1]) | (second[1:] != second[:-1])))
+        runs, second, ids = runs[new], second[new], ids[new]
         base = ids.min()
         wide = "<u4" if float(ids.max()) - float(base) < 2**32 - 1 else "<i8"
-        order, begin = X.by_bucket(runs, n)
-        runs, ids = runs[order], ids[order]
-        for b in range(n):
-            s = slice(begin[b], begin[b + 1])
-            if begin[b] < begin[b + 1]:
-                if wide == "<u4":
-                    yield b, np.int64(base).tobytes() + b"4" + (ids[s] - base).astype("<u4").tobytes() + runs[s].tobytes()
-                else:
-                    yield b, np.int64(0).tobytes() + b"8" + ids[s].astype("<i8").tobytes() + runs[s].tobytes()
+        base = np.int64(base if wide == "<u4" else 0)
+        for b, s in X.by_bucket(runs, n):
+            yield b, base.tobytes() + (b"4" if wide == "<u4" else b"8") + (ids[s] - base).astype(wide).tobytes() + second[s].tobytes() + runs[s].tobytes()
 
     def later(rows):
-        keys, ids = [], []
+        keys, seconds, ids = [], [], []
         for _, p in rows:
             base, wide = int(np.frombuffer(p, np.int64, 1)[0]), 4 if p[8:9] == b"4" else 8
-            k = (len(p) - 9) // (8 + wide)
+            k = (len(p) - 9) // (12 + wide)
             ids.append(np.frombuffer(p, "<u4" if wide == 4 else "<i8", k, 9).astype(np.int64) + base)
-            keys.append(np.frombuffer(p, "<u8", k, 9 + wide * k))
+            seconds.append(np.frombuffer(p, "<u4", k, 9 + wide * k))
+            keys.append(np.frombuffer(p, "<u8", k, 9 + (wide + 4) * k))
         whole, part = X.joined_keys(keys)
-        order = np.lexsort((part, np.concatenate(ids), whole))
+        second = np.concatenate(seconds)
+        order = np.lexsort((part, np.concatenate(ids), second, whole))
         gone = np.zeros(len(whole), bool)
-        gone[order[1:]] = whole[order][1:] == whole[order][:-1]
+        gone[order[1:]] = (whole[order][1:] == whole[order][:-1]) & (second[order][1:] == second[order][:-1])
         for i, k in enumerate(keys):
-            yield k[gone[_slice(part, i)]].tobytes()
+            own = gone[_slice(part, i)]
+            yield seconds[i][own].tobytes() + k[own].tobytes()
 
     def cut(table: pa.Table, got) -> pa.Table:
         hashes, first = _words(table)
         runs, at = windows(hashes, first, window)
-        held = np.sort(np.concatenate([np.frombuffer(p, "<u8") for p in got.values()])) if got else np.zeros(0, U)
-        order = np.lexsort((_order(table)[owner(first)[at]], runs))
-        gone = isin_sorted(runs, held)
-        gone[order[1:]] |= runs[order][1:] == runs[order][:-1]
+        second = _second(hashes, window)[at]
+        gone = isin_pairs(runs, second, list(got.values()))
+        order = np.lexsort((_order(table)[owner(first)[at]], second, runs))
+        gone[order[1:]] |= (runs[order][1:] == runs[order][:-1]) & (second[order][1:] == second[order][:-1])
         drop = covered(at[gone], window, len(hashes))
         removed = per_text(drop, first)
         data, off = flat(table["text"])

@@ -85,9 +85,9 @@ def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[own[DEPTH:]], first, size
 
 
-def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    """Of grams: by the two bytes before the last."""
-    return mix((keys >> U(8)) & U(0xFFFF)) % U(n)
+def _context(keys: np.ndarray) -> np.ndarray:
+    """What decides about a gram's bucket: the two bytes before the last."""
+    return mix((keys >> U(8)) & U(0xFFFF))
 
 
 def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,12 +232,11 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
             known.append(_distinct(keys, np.repeat(train, np.diff(first))))
         grams, seen = _merged(grams)
         known, often = _merged(known)
-        order, begin = X.by_bucket(_bucket(grams, n), n)
-        order2, begin2 = X.by_bucket(known, n)
-        for b in range(n):
-            s, s2 = order[begin[b] : begin[b + 1]], order2[begin2[b] : begin2[b + 1]]
-            if len(s) or len(s2):
-                yield b, _pack(grams[s], seen[s], DEPTH + 1) + _pack(known[s2], often[s2], 7)
+        own, own2 = dict(X.by_bucket(_context(grams), n)), dict(X.by_bucket(known, n))
+        none = np.zeros(0, np.int64)
+        for b in sorted(own.keys() | own2.keys()):
+            s, s2 = own.get(b, none), own2.get(b, none)
+            yield b, _pack(grams[s], seen[s], DEPTH + 1) + _pack(known[s2], often[s2], 7)
 
     def bucket(rows):
         grams, words_ = [], []
@@ -255,10 +254,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     gathered = X.checkpoint(X.asked(chunked, counts, n))
 
     def statistics(batches):
-        rows = [(0, p) for batch in batches for p in batch.column(2).to_pylist()]
-        if rows:
+        for _, rows in X.by_turns(batches):
             grams, words_ = bucket(rows)
-            del rows
             keys, seen, _, _ = summed(grams)
             top = subtree(keys, seen)[-1]
             held_, *rest = top.up((((top.keys >> U(8)) & U(0xFF)) << U(8)) | (top.keys & U(0xFF)))
@@ -286,13 +283,13 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     def scores(table: pa.Table, got) -> pa.Table:
         known = np.unique(np.concatenate([np.unique(tokens(part)[0]) for part in slices(table)]))
         distinct_ = np.unique(np.concatenate([np.unique(_grams(part)[0]) for part in slices(table)]))
-        order, begin = X.by_bucket(known, n)
-        order2, begin2 = X.by_bucket(_bucket(distinct_, n), n)
+        own, own2 = dict(X.by_bucket(known, n)), dict(X.by_bucket(_context(distinct_), n))
+        none = np.zeros(0, np.int64)
         often, length = np.zeros(len(known), np.int64), np.zeros(len(distinct_))
         for b, p in got.items():
             (k,) = struct.unpack_from("<I", p)
-            often[order[begin[b] : begin[b + 1]]] = np.frombuffer(p, "<u4", k, 4)
-            length[order2[begin2[b] : begin2[b + 1]]] = np.frombuffer(p, "<f4", -1, 4 + 4 * k)
+            often[own.get(b, none)] = np.frombuffer(p, "<u4", k, 4)
+            length[own2.get(b, none)] = np.frombuffer(p, "<f4", -1, 4 + 4 * k)
         return pa.concat_tables(scored(part, known, often, distinct_, length) for part in slices(table))
 
     def scored(part: pa.Table, known, often, distinct_, length) -> pa.Table:

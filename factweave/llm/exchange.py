@@ -1,16 +1,24 @@
 """Questions that chunks of documents ask of the whole corpus, and the answers.
 
 A chunk is some megabytes of documents in one row (`chunk`, `data`).  Its task
-packs what it wants to know into one payload for each of `n` buckets; the task
-of a bucket has all chunks' payloads for the keys that fall to it, and returns
-one payload to each of them; these are joined to the chunks again.  A key that
-is frequent in a chunk is sent once for it, so a hot key costs a few bytes a
+packs what it wants to know into one payload for each of the `n` buckets that it
+has keys for; a bucket has all chunks' payloads for the keys that fall to it, and
+returns one payload to each of them; these are joined to the chunks again.  A key
+that is frequent in a chunk is sent once for it, so a hot key costs a few bytes a
 chunk, and every step is a Spark shuffle that survives lost executors.
+
+The number of buckets grows with the input, so that one fits a Python worker;
+partitions have up to `PER_PARTITION` buckets each, sorted by Spark, and a task
+holds one bucket at a time.  A chunk never has more payloads than keys, so at any
+size there are no more rows than an ordinary shuffle by key would have.
+
+A chunk's number has a checksum of its documents.  Should documents be dealt in
+another way when they are read again, answers meet no chunk and the job fails.
 """
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,8 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm.textops import pieces
+from factweave.session import checkpoint as _checkpoint
 
-ASKED = "bucket int, chunk long, payload binary"
+ASKED = "bucket long, chunk long, payload binary"
+#: Added to the buckets of a further question, for each that went before.
+NEXT = 1 << 40
+#: Buckets a partition has at most, and bytes of input a bucket stands for.
+PER_PARTITION, PER_BUCKET = 64, 4 << 20
 Payloads = Iterable[tuple[int, bytes]]
 
 
@@ -33,12 +46,20 @@ def tune(spark: SparkSession) -> None:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, computed once into the cluster's shared checkpoint folder; shuffle files of its lineage can go then."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4()}")
-    out = df.checkpoint()
+    out, jvm = _checkpoint(df), df.sparkSession.sparkContext._jvm
     del df
-    sc._jvm.System.gc()  # Spark removes files of what the driver has forgotten
+    jvm.System.gc()  # Spark's cleaner removes the shuffle files of plans that the driver has forgotten
+    return out
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
@@ -52,9 +73,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(total or 0)
 
 
-def buckets(df: DataFrame, per_bucket: int = 5 << 20) -> int:
+def buckets(df: DataFrame) -> int:
     """So many that a bucket's payloads fit a Python worker."""
-    return max(48, -(-input_bytes(df) // per_bucket))
+    return max(16, -(-input_bytes(df) // PER_BUCKET))
+
+
+def _partitions(df: DataFrame, n: int) -> int:
+    return min(n, max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-n // PER_PARTITION)))
 
 
 def pack(table: pa.Table) -> bytes:
@@ -75,7 +100,9 @@ def chunks(df: DataFrame, columns: list[str], text: str = "text", size: int = 4
         part, made, held, length = TaskContext.get().partitionId(), 0, [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 32) + made], pa.int64()), "data": pa.array([pack(pa.Table.from_batches(held))], pa.binary())})
+            data = pack(pa.Table.from_batches(held))
+            number = (part << 41) | (made << 24) | (zlib.crc32(data) & 0xFFFFFF)
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
             for piece in pieces(batch, text, size):
@@ -87,51 +114,70 @@ def chunks(df: DataFrame, columns: list[str], text: str = "text", size: int = 4
         if held:
             yield out()
 
-    return df.select(*columns).mapInArrow(run, "chunk long, data binary")
+    return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, "chunk long, data binary")
 
 
-def asked(chunked: DataFrame, emit: Callable[..., Payloads], n: int) -> DataFrame:
-    """What emit(table[, answers]) sends for each chunk, dealt out by bucket."""
+def asked(chunked: DataFrame, emit: Callable[..., Payloads], n: int, deal: bool = True) -> DataFrame:
+    """What emit(table[, answers]) sends for each chunk, dealt out by bucket unless it is to be later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, table, got in _rows(batches):
-            yield from _payloads([(bucket, chunk, payload) for bucket, payload in emit(table, got) if payload])
+            yield from payloads([(bucket, chunk, payload) for bucket, payload in emit(table, got) if payload])
+
+    sent = chunked.mapInArrow(run, ASKED)
+    return dealt(sent, n) if deal else sent
 
-    return chunked.mapInArrow(run, ASKED).repartitionById(n, "bucket")
+
+def dealt(sent: DataFrame, n: int) -> DataFrame:
+    """Payloads for n buckets, those of one bucket together."""
+    p = _partitions(sent, n)
+    return sent.repartitionById(p, (F.col("bucket") % p).cast("int")).sortWithinPartitions("bucket", "chunk")
 
 
 def answered(asked_: DataFrame, answer: Callable[[list[tuple[int, bytes]]], Iterable[bytes]], offset: int = 0) -> DataFrame:
     """answer gets all (chunk, payload) of a bucket and gives a payload for each; offset is added to the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, bucket = [], 0
-        for batch in batches:
-            for b, c, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows.append((c, p))
-                bucket = b
-        rows.sort(key=lambda row: row[0])
-        held, size = [], 0
-        for (chunk, _), payload in zip(rows, answer(rows) if rows else [], strict=True):
-            if payload:
-                held.append((bucket + offset, chunk, payload))
-                size += len(payload)
-            if size > 4 << 20:
-                yield from _payloads(held)
-                held, size = [], 0
-        yield from _payloads(held)
+        for bucket, rows in by_turns(batches):
+            held, size = [], 0
+            for (chunk, _), payload in zip(rows, answer(rows), strict=True):
+                if payload:
+                    held.append((bucket + offset, chunk, payload))
+                    size += len(payload)
+                if size > 4 << 20:
+                    yield from payloads(held)
+                    held, size = [], 0
+            yield from payloads(held)
 
     return asked_.mapInArrow(run, ASKED)
 
 
+def by_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(bucket, its (chunk, payload) in order of chunk) of dealt payloads."""
+    bucket, rows = None, []
+    for batch in batches:
+        for b, c, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if b != bucket and rows:
+                yield bucket, rows
+                rows = []
+            bucket = b
+            rows.append((c, p))
+    if rows:
+        yield bucket, rows
+
+
 def rejoined(chunked: DataFrame, *answers: DataFrame) -> DataFrame:
     """(chunk, data, answers): every chunk with its answers."""
     got = answers[0]
     for more in answers[1:]:
         got = got.unionByName(more)
-    return chunked.join(got.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers")), "chunk", "left")
+    # outer, so that an answer without its chunk is seen
+    return chunked.join(got.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers")), "chunk", "full_outer")
+
 
+def finished(joined: DataFrame, finish: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema) -> DataFrame:
+    """What finish(table, answers) makes of each chunk."""
 
-def finished(joined: DataFrame, finish: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table, got in _rows(batches):
             yield from finish(table, got).to_batches()
@@ -143,20 +189,27 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, di
     for batch in batches:
         for i in range(batch.num_rows):
             got = batch.column(2)[i].as_py() if batch.num_columns > 2 else None
+            if not batch.column(1)[i].is_valid:
+                raise RuntimeError("the documents came in another order when they were read again; write them as a table first")
             yield batch.column(0)[i].as_py(), unpack(batch.column(1)[i].as_py()), {x["bucket"]: x["payload"] for x in got or ()}
 
 
-def _payloads(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+def payloads(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
     if rows:
         b, c, p = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(p, pa.binary())], ["bucket", "chunk", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(p, pa.binary())], ["bucket", "chunk", "payload"])
 
 
-def by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts keys in buckets (and keeps theirs within one), and where each bucket begins."""
+def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, numbers of its keys, in their order) of each bucket that has any."""
+    if not len(keys):
+        return
     bucket = (keys % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    for low, high in zip(cut[:-1], cut[1:], strict=True):
+        yield int(bucket[low]), order[low:high]
 
 
 def joined_keys(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,36 +1,44 @@
 """Removal of repeated byte strings by longest-previous-factor arrays.
 
-`lpf_arrays` gives, for each position, the length of the longest string there
-that also starts earlier: with suffixes in order, that is the longer of the
-common prefixes with the previous and with the next smaller position.  Suffixes
-are ordered by doubling, up to the length that matters.
+With suffixes in order, the longest string at a position that also starts
+earlier is shared with the previous or with the next smaller position, whichever
+has the longer common prefix.  `lpf_arrays` gives those lengths; `reaching` says
+only whether they reach a given one, for which suffixes need to be in order only
+so far.  Suffixes are ordered by doubling.
 
 A suffix array of a whole corpus fits no machine.  So each text is first cut at
 the minimum of its 100-byte hashes in every 200-byte window: equal windows have
 it at the same place, and all windows with the same minimum make one region.
 Whole regions that occur twice are settled by hash.  What remains are the ends
 of repeats: regions whose minimum occurs elsewhere, but in other company.  Their
-chunk's LPF array finds the windows that occur earlier in it, and of each
-distinct window one is compared across chunks.
+previous factors, by suffix order over some megabyte of them at a time, find the
+windows that occur earlier there, and of each distinct window one is compared
+across chunks, by 64 bits of its hash and 32 of its minimum's.
+
+Texts are looked at a megabyte at a time, so memory beyond a text's own bytes
+doesn't grow with its length.
 
 With keep_first, the first copy of each window (by id, nulls last, then
 position) stays.  Nulls are empty texts; texts shorter than a window lose
-nothing; rows with equal ids are separate documents.  Other columns are ignored.
+nothing; rows with equal ids are separate documents, in the order of the table.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from factweave.llm import exchange as X
-from factweave.llm.anchors import _order, _slice, pack48, unpack48
-from factweave.llm.textops import U, covered, flat, isin_sorted, owner, per_text, prefix_sums, sliding, spans
+from factweave.llm.anchors import _order, _slice, isin_pairs, pack48, unpack48
+from factweave.llm.textops import U, covered, flat, mix, per_text, prefix_sums, sliding, spans
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
-#: Added to the buckets of the second question.
-SECOND = 1 << 24
+#: Bytes of a text that are looked at together.
+SEGMENT = 1 << 20
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -98,11 +106,11 @@ def lpf_arrays(values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def repeats(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the strings of so many bytes that begin in at (ascending) also begin earlier in it, and later.
+def reaching(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the longest previous factor at each of the positions at (ascending) reaches length, and the longest later one.
 
-    What lpf_arrays says about reaching length: in suffix order, cut there and with ties by position, the neighbours of
-    a suffix that share length bytes are its previous and next smaller and larger positions.
+    The suffixes there are put in order as far as length, ties by position; a suffix that shares length bytes with an
+    earlier one shares them with its previous or next smaller position.
     """
     n = len(data)
     size = 8 if length >= 8 else 1
@@ -116,42 +124,27 @@ def repeats(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
         if size < n:
             beyond[:-size] = rank[size:] + 1
         rank, size = _dense((rank.astype(U) << U(32)) | beyond.astype(U)), size * 2
-    keys = (rank[at].astype(U) << U(32)) | rank[at + length - size].astype(U)
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    earlier, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    earlier[order[1:]], later[order[:-1]] = same, same
-    return earlier, later
+    prefix = _dense((rank[at].astype(U) << U(32)) | rank[at + length - size].astype(U))
+    sa = np.argsort(prefix, kind="stable")
+    out = []
+    for sign in (1, -1):
+        best = np.zeros(len(at), bool)
+        for order in (sa, sa[::-1]):
+            held = _smaller(order * sign)
+            some = held >= 0
+            best[order[some]] |= prefix[order[some]] == prefix[order[held[some]]]
+        out.append(best)
+    return out[0], out[1]
 
 
 class Regions:
     """The regions of a chunk's texts: windows [low, high], their minimum's hash and their bytes' hash."""
 
-    def __init__(self, table: pa.Table, window: int, n: int):
-        self.window, self.n = window, n
+    def __init__(self, table: pa.Table, window: int):
+        self.window = window
         self.data, self.off = flat(table["text"])
-        self.sums = prefix_sums(self.data.astype(U) + U(1))
-        gram = window // 2
-        wide = window - gram + 1
-        count = np.maximum(np.diff(self.off) - window + 1, 0)
-        at = np.arange(count.sum()) + np.repeat(self.off[:-1] - np.cumsum(count) + count, count)
-        grams = sliding(self.sums, gram)
-        least = (grams >> U(32) << U(32)) | np.arange(len(grams), dtype=U)
-        done = 1
-        while done < wide:
-            step = min(done, wide - done)
-            least = np.minimum(least[: len(least) - step], least[step:])
-            done += step
-        where = (least[at] & U(0xFFFFFFFF)).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-        del least
-        # windows of one text with one minimum follow each other
-        turn = where[1:] != where[:-1]
-        turn[np.cumsum(count)[:-1][(np.cumsum(count)[:-1] > 0) & (np.cumsum(count)[:-1] < len(at))] - 1] = True
-        new = np.flatnonzero(np.concatenate(([True], turn)))[: len(at)]
-        self.low = at[new]
-        self.high = at[np.append(new[1:], len(at)) - 1] if len(at) else self.low
-        self.anchor = grams[where[new]]
-        self.region = spans(self.sums, self.low, self.high + window)
+        found = [self._segment(a) for a in range(0, len(self.data), SEGMENT)]
+        self.low, self.high, self.anchor, self.region = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))
         order = np.lexsort((self.region, self.anchor))
         a, r = self.anchor[order], self.region[order]
         first = np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])))[: len(a)]
@@ -159,14 +152,43 @@ class Regions:
         self.kind[order] = np.cumsum(first) - 1
         self.first = order[first]  # one region of each kind
         self.count = np.bincount(self.kind, minlength=len(self.first))
-        self.order, self.begin = X.by_bucket(self.anchor[self.first], n)
 
-    def codes(self, got: dict[int, bytes]) -> np.ndarray:
+    def _segment(self, begin: int) -> tuple[np.ndarray, ...]:
+        """The regions of windows that begin in a segment; where it ends, a region does."""
+        window, gram = self.window, self.window // 2
+        end = min(begin + SEGMENT, len(self.data))
+        sums = prefix_sums(self.data[begin : end + window - 1].astype(U) + U(1))
+        low = np.maximum(self.off[:-1], begin)
+        count = np.maximum(np.minimum(self.off[1:] - window + 1, end) - low, 0)
+        at = np.arange(count.sum()) + np.repeat(low - begin - np.cumsum(count) + count, count)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
+        grams = sliding(sums, gram)
+        least = (grams >> U(32) << U(32)) | np.arange(len(grams), dtype=U)
+        done, wide = 1, window - gram + 1
+        while done < wide:
+            step = min(done, wide - done)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            done += step
+        where = (least[at] & U(0xFFFFFFFF)).astype(np.int64)
+        # windows of one text with one minimum follow each other
+        turn = np.concatenate(([True], where[1:] != where[:-1]))
+        start = np.cumsum(count)[:-1]
+        turn[start[start < len(at)]] = True
+        new = np.flatnonzero(turn)
+        low, high = at[new], at[np.append(new[1:], len(at)) - 1]
+        return low + begin, high + begin, grams[where[new]], spans(sums, low, high + window)
+
+    def split(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, kinds) by anchor."""
+        return X.by_bucket(self.anchor[self.first], n)
+
+    def codes(self, got: dict[int, bytes], n: int) -> np.ndarray:
         """Of each kind: 1 if it occurs twice, 2 more if its minimum has other company too."""
         out = np.zeros(len(self.first), np.uint8)
-        for b in range(self.n):
+        for b, s in self.split(n):
             if b in got:
-                out[self.order[self.begin[b] : self.begin[b + 1]]] = np.frombuffer(got[b], np.uint8)
+                out[s] = np.frombuffer(got[b], np.uint8)
         return out
 
     def starts(self, regions: np.ndarray) -> np.ndarray:
@@ -174,6 +196,20 @@ class Regions:
         size = self.high[regions] - self.low[regions] + 1
         return np.repeat(self.low[regions] - np.cumsum(size) + size, size) + np.arange(size.sum())
 
+    def keys(self, regions: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(where they begin, hashes, bits of their minimum) of the windows of regions (ascending), some at a time."""
+        for part in self.parts(regions):
+            begin = self.starts(part)
+            low = begin[0]
+            sums = prefix_sums(self.data[low : begin[-1] + self.window].astype(U) + U(1))
+            more = (mix(self.anchor[part]) >> U(32)).astype("<u4")
+            yield begin, spans(sums, begin - low, begin - low + self.window), np.repeat(more, self.high[part] - self.low[part] + 1)
+
+    def parts(self, regions: np.ndarray) -> Iterator[np.ndarray]:
+        """Regions (ascending) within some bytes of each other."""
+        turn = self.low[regions] // SEGMENT
+        yield from (x for x in np.split(regions, np.flatnonzero(np.diff(turn)) + 1) if len(x))
+
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): bytes, bytes removed, the maximal runs removed, and the bytes kept."""
@@ -183,11 +219,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool =
     chunked = X.chunks(docs, ["doc_id", "text"], size=1 << 20)
 
     def regions(table: pa.Table, _):
-        x = Regions(table, length, n)
-        for b in range(n):
-            s = x.order[x.begin[b] : x.begin[b + 1]]
-            if len(s):
-                yield b, np.packbits(x.count[s] > 1).tobytes() + x.region[x.first[s]].tobytes() + pack48(x.anchor[x.first[s]] >> U(16))
+        x = Regions(table, length)
+        for b, s in x.split(n):
+            yield b, np.packbits(x.count[s] > 1).tobytes() + x.region[x.first[s]].tobytes() + pack48(x.anchor[x.first[s]] >> U(16))
 
     def companies(rows):
         keys, kinds, again = [], [], []
@@ -214,102 +248,111 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool =
             yield code[_slice(part, i)].tobytes()
 
     def ends(table: pa.Table, got):
-        x = Regions(table, length, n)
-        code = x.codes(got)
+        x = Regions(table, length)
+        code = x.codes(got, n)
         if not (code & 2).any():
             return
-        # one region of each kind that has company; windows in page order, overlapping regions once
+        # one region of each kind that has company; windows in page order
         send = np.sort(np.concatenate((x.first[code == 3], np.flatnonzero(code[x.kind] == 2))))
-        begin = x.starts(send)
-        mark = covered(begin, length, len(x.data))
-        place = np.cumsum(mark) - 1
-        earlier, later = repeats(x.data[mark], place[begin], length)
-        keys = spans(x.sums, begin[~earlier], begin[~earlier] + length)
-        again = later[~earlier]
-        order, where = X.by_bucket(keys, n)
-        for b in range(n):
-            s = order[where[b] : where[b + 1]]
-            if len(s):
-                yield b, np.packbits(again[s]).tobytes() + keys[s].tobytes()
+        keys, seconds, agains = [], [], []
+        for begin, key, second in x.keys(send):
+            low = begin[0]
+            mark = covered(begin - low, length, begin[-1] - low + length)
+            place = np.cumsum(mark) - 1
+            earlier, later = reaching(x.data[low : low + len(mark)][mark], place[begin - low], length)
+            keys.append(key[~earlier])
+            seconds.append(second[~earlier])
+            agains.append(later[~earlier])
+        keys, seconds, agains = np.concatenate(keys), np.concatenate(seconds), np.concatenate(agains)
+        for b, s in X.by_bucket(keys, n):
+            yield b, np.packbits(agains[s]).tobytes() + seconds[s].tobytes() + keys[s].tobytes()
 
     def repeated(rows):
-        keys, again = [], []
+        keys, seconds, agains = [], [], []
         for _, p in rows:
-            k = len(p) * 8 // 65
-            while -(-k // 8) + 8 * k < len(p):
+            k = len(p) * 8 // 97
+            while -(-k // 8) + 12 * k < len(p):
                 k += 1
-            again.append(np.unpackbits(np.frombuffer(p, np.uint8, -(-k // 8)), count=k).astype(bool))
-            keys.append(np.frombuffer(p[-(-k // 8) :], "<u8"))
+            bits = -(-k // 8)
+            agains.append(np.unpackbits(np.frombuffer(p, np.uint8, bits), count=k).astype(bool))
+            seconds.append(np.frombuffer(p, "<u4", k, bits))
+            keys.append(np.frombuffer(p, "<u8", k, bits + 4 * k))
         whole, part = X.joined_keys(keys)
-        order = np.argsort(whole, kind="stable")
-        new = np.flatnonzero(np.concatenate(([True], whole[order][1:] != whole[order][:-1])))
+        second = np.concatenate(seconds)
+        order = np.lexsort((second, whole))
+        new = np.flatnonzero(np.concatenate(([True], (whole[order][1:] != whole[order][:-1]) | (second[order][1:] != second[order][:-1]))))
         size = np.diff(np.append(new, len(whole)))
         hit = np.empty(len(whole), bool)
-        hit[order] = np.repeat((size > 1) | np.logical_or.reduceat(np.concatenate(again)[order], new), size)
+        hit[order] = np.repeat((size > 1) | np.logical_or.reduceat(np.concatenate(agains)[order], new), size)
         for i, k in enumerate(keys):
-            yield k[hit[_slice(part, i)]].tobytes()
+            own = hit[_slice(part, i)]
+            yield seconds[i][own].tobytes() + k[own].tobytes()
+
+    def repeats(x: Regions, got: dict[int, bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(begin, key, second) of all repeated windows of a chunk, some at a time; without keys where a region is settled."""
+        code = x.codes({b: p for b, p in got.items() if b < X.NEXT}, n)[x.kind] if len(x.kind) else np.zeros(0, np.uint8)
+        held = [p for b, p in got.items() if X.NEXT <= b < 2 * X.NEXT]
+        for begin, key, second in x.keys(np.flatnonzero(code & 1)) if keep_first else ((x.starts(r), None, None) for r in x.parts(np.flatnonzero(code & 1))):
+            yield begin, key, second
+        for begin, key, second in x.keys(np.flatnonzero(code == 2)):
+            good = isin_pairs(key, second, held)
+            yield begin[good], key[good], second[good]
 
     def gone(table: pa.Table, got) -> pa.Table:
-        x = Regions(table, length, n)
-        code = x.codes({b: p for b, p in got.items() if b < SECOND})[x.kind] if len(x.kind) else np.zeros(0, np.uint8)
-        held = [np.frombuffer(p, "<u8") for b, p in got.items() if b >= SECOND]
-        some = x.starts(np.flatnonzero(code == 2))
-        some = some[isin_sorted(spans(x.sums, some, some + length), np.sort(np.concatenate(held)) if held else np.zeros(0, U))]
-        return _result(table, x.data, x.off, np.concatenate((x.starts(np.flatnonzero(code & 1)), some)), length)
+        x = Regions(table, length)
+        return _result(table, x.data, x.off, [begin for begin, _, _ in repeats(x, got)], length)
 
     first = X.answered(X.asked(chunked, regions, n), companies)
-    second = X.answered(X.asked(X.rejoined(chunked, first), ends, n), repeated, SECOND)
+    second = X.answered(X.asked(X.rejoined(chunked, first), ends, n), repeated, X.NEXT)
     if not keep_first:
         return X.finished(X.rejoined(chunked, first, second), gone, SCHEMA)
 
+    def all_repeats(x: Regions, got: dict[int, bytes], ids: np.ndarray):
+        """begin, key, second and id of all repeated windows, by key, then id and place."""
+        found = list(repeats(x, got))
+        begin, keys, second = (np.concatenate(y) for y in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, "<u4"))
+        own = ids[np.searchsorted(x.off, begin, "right") - 1]
+        order = np.lexsort((begin, own, second, keys))
+        begin, keys, second, own = begin[order], keys[order], second[order], own[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (second[1:] != second[:-1])))[: len(keys)]
+        return begin, keys, second, own, new
+
     def candidates(table: pa.Table, got):
         """All windows that are repeated, once a chunk, with the smallest id."""
-        x = Regions(table, length, n)
-        begin, keys = _repeated(x, got, length)
-        ids = _order(table)[np.searchsorted(x.off, begin, "right") - 1]
-        order = np.lexsort((begin, ids, keys))
-        order = order[np.concatenate(([True], keys[order][1:] != keys[order][:-1]))[: len(order)]]
-        keys, ids = keys[order], ids[order]
-        order, where = X.by_bucket(keys, n)
-        for b in range(n):
-            s = order[where[b] : where[b + 1]]
-            if len(s):
-                yield b, ids[s].tobytes() + keys[s].tobytes()
+        _, keys, second, ids, new = all_repeats(Regions(table, length), got, _order(table))
+        keys, second, ids = keys[new], second[new], ids[new]
+        for b, s in X.by_bucket(keys, n):
+            yield b, second[s].tobytes() + ids[s].tobytes() + keys[s].tobytes()
 
     def later_ones(rows):
-        pairs = [np.frombuffer(p, np.int64).reshape(2, -1) for _, p in rows]
+        seconds = [np.frombuffer(p, "<u4", len(p) // 20) for _, p in rows]
+        pairs = [np.frombuffer(p, np.int64, -1, len(p) // 5).reshape(2, -1) for _, p in rows]
         whole, part = X.joined_keys([p[1].view(U) for p in pairs])
-        order = np.lexsort((part, np.concatenate([p[0] for p in pairs]), whole))
+        second = np.concatenate(seconds)
+        order = np.lexsort((part, np.concatenate([p[0] for p in pairs]), second, whole))
         late = np.zeros(len(whole), bool)
-        late[order[1:]] = whole[order][1:] == whole[order][:-1]
+        late[order[1:]] = (whole[order][1:] == whole[order][:-1]) & (second[order][1:] == second[order][:-1])
         for i, p in enumerate(pairs):
-            yield p[1][late[_slice(part, i)]].tobytes()
+            own = late[_slice(part, i)]
+            yield seconds[i][own].tobytes() + p[1][own].tobytes()
 
     def gone_later(table: pa.Table, got) -> pa.Table:
-        x = Regions(table, length, n)
-        begin, keys = _repeated(x, {b: p for b, p in got.items() if b < 2 * SECOND}, length)
-        held = [np.frombuffer(p, "<u8") for b, p in got.items() if b >= 2 * SECOND]
-        ids = _order(table)[np.searchsorted(x.off, begin, "right") - 1]
-        order = np.lexsort((begin, ids, keys))
-        drop = isin_sorted(keys, np.sort(np.concatenate(held)) if held else np.zeros(0, U))
-        drop[order[1:]] |= keys[order][1:] == keys[order][:-1]
-        return _result(table, x.data, x.off, begin[drop], length)
-
-    third = X.answered(X.asked(X.rejoined(chunked, first, second), candidates, n), later_ones, 2 * SECOND)
-    return X.finished(X.rejoined(chunked, first, second, third), gone_later, SCHEMA)
-
+        x = Regions(table, length)
+        begin, keys, second, _, new = all_repeats(x, got, _order(table))
+        drop = ~new | isin_pairs(keys, second, [p for b, p in got.items() if b >= 2 * X.NEXT])
+        return _result(table, x.data, x.off, [begin[drop]], length)
 
-def _repeated(x: Regions, got: dict[int, bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    code = x.codes({b: p for b, p in got.items() if b < SECOND})[x.kind] if len(x.kind) else np.zeros(0, np.uint8)
-    held = [np.frombuffer(p, "<u8") for b, p in got.items() if b >= SECOND]
-    some = x.starts(np.flatnonzero(code == 2))
-    some = some[isin_sorted(spans(x.sums, some, some + length), np.sort(np.concatenate(held)) if held else np.zeros(0, U))]
-    begin = np.sort(np.concatenate((x.starts(np.flatnonzero(code & 1)), some)))
-    return begin, spans(x.sums, begin, begin + length)
+    third = X.answered(X.asked(X.rejoined(chunked, first, second), candidates, n), later_ones, 2 * X.NEXT)
+    return X.finished(X.rejoined(chunked, first, second, third), gone_later, SCHEMA)
 
 
-def _result(table: pa.Table, data: np.ndarray, off: np.ndarray, begin: np.ndarray, length: int) -> pa.Table:
-    drop = covered(begin, length, len(data))
+def _result(table: pa.Table, data: np.ndarray, off: np.ndarray, begins: list[np.ndarray], length: int) -> pa.Table:
+    step = np.zeros(len(data) + 1, np.int32)
+    for begin in begins:
+        np.add.at(step, begin, 1)
+        np.add.at(step, begin + length, -1)
+    drop = np.cumsum(step[:-1], dtype=np.int32) > 0
+    del step
     text_starts = off[:-1][off[:-1] < off[1:]]
     edge = np.concatenate(([True], drop[1:] != drop[:-1]))[: len(drop)]
     edge[text_starts] = True
