@@ -7,20 +7,23 @@ neighbouring paths in page order and fused by their geometric mean.  A path is
 content if its ratio reaches a threshold, half the page's mean, and less than
 half of its text is in links; so is what else stands inside the content's own
 container, such as headings and short paragraphs.  <article> and <main> decide
-nothing alone: paths inside them count with `PRIOR` times their ratio, and the
-container of content in one of them is that element.
+nothing alone: each such element has paths of its own, which count with `PRIOR`
+times their ratio, and the container of content in one of them is that element.
 Elements whose tag, role or class says that they are no article (menus, adverts,
 forms, comments, scripts) have no blocks.
 
 Nulls, empty pages and pages without text give an empty text.  Broken markup is
 read as browsers do: unclosed elements end with their parent, a paragraph ends
-at the next block.  Repeated rows are treated one by one; other columns ignored.
+at the next block, scripts and styles end at their own end tag alone, and a tag
+that never ends is text.  Time and memory are in proportion to the page.
+Repeated rows are treated one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,9 +33,9 @@ from factweave.llm import exchange as X
 
 # HTML element names by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
-OUTSIDE = frozenset("nav aside footer form script style noscript iframe template svg title textarea button select menu dialog head object canvas audio video".split())
+OUTSIDE = frozenset("nav aside footer form script style noscript iframe noembed noframes template svg math title textarea button select menu dialog head object canvas audio video".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 # Words in class or id that mark what is no article.
@@ -41,7 +44,9 @@ NO_ARTICLE = frozenset("ad ads advert adverts advertisement advertising banner b
 #: How much more the ratio of a path inside <article> or <main> counts.
 PRIOR = 2.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。，！？]")
 
@@ -58,126 +63,220 @@ def _outside(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+class Tags:
+    """Where the tags of a page are, each character looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quoted = True  # until a quote never closes, then quotes mean nothing
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose attributes begin at at; -1 if none does."""
+        if at > self.last:
+            return -1
+        begin = at
+        while self.quoted and (m := _STOP.search(self.page, at)):
+            if m[0] == ">":
+                return m.start()
+            close = self.page.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.quoted = False
+        return self.page.find(">", begin)
+
+
+class Paths:
+    """Distinct paths from the root as numbers; a parent's is smaller than its children's."""
+
+    def __init__(self):
+        self.parent, self.name, self.inside = [-1], [""], [False]
+        self.number: dict[tuple[int, str], int] = {}
+
+    def child(self, path: int, name: str) -> int:
+        key = path, name
+        if key not in self.number:
+            self.number[key] = len(self.parent)
+            self.parent.append(path)
+            self.name.append(name)
+            self.inside.append(self.inside[path] or _article(name))
+        return self.number[key]
+
+    def under(self, top: int) -> list[bool]:
+        """Of each path, whether it is top or goes through it."""
+        out = [False] * len(self.parent)
+        for i in range(top, len(out)):
+            out[i] = i == top or i > 0 and out[self.parent[i]]
+        return out
+
+
+def _article(name: str) -> bool:
+    return name.split("#")[0] in ("article", "main")
+
+
+# Elements that end at the next of their kind, which ones, and the elements in which they do.
+SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "tr": (("tr",), ("table", "tbody", "thead", "tfoot")), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",)), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",))}
+
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
     """(path, text, characters in links) of each block that may be content, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool]] = []  # element, whether it is outside
+    paths, tags = Paths(), Tags(page)
+    out: list[tuple[int, str, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # element, whether it is outside, path
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked = links = articles = 0
-    raw = ""
+    linked = articles = 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(n for n, _ in stack if n not in INLINE), text, linked))
+                out.append((stack[-1][2] if stack else 0, text, linked))
         parts, linked = [], 0
 
     def say(text: str) -> None:
         nonlocal linked
         if text and not (stack and stack[-1][1]):
             parts.append(text)
-            if links:
+            if opened["a"]:
                 linked += len(text)
 
     def leave(to: int) -> None:
-        nonlocal links, articles
         while len(stack) > to:
             name = stack[-1][0]
             if name not in INLINE:
                 flush()
-            links -= name == "a"
-            articles -= name in ("article", "main")
+            opened[name] -= 1
             stack.pop()
 
+    def innermost(names: tuple[str, ...], within: tuple[str, ...] = ()) -> int:
+        """The place in the stack of the innermost of names that no element of within encloses; -1 if there is none."""
+        if any(opened[n] for n in names):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in within:
+                    return -1
+                if stack[i][0] in names:
+                    return i
+        return -1
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        if raw:
-            if m[2] != "/" or m[3].lower() != raw:
-                continue
-            raw = ""
-            at = m.end()
-            leave(max(i for i, (n, _) in enumerate(stack) if n == m[3].lower()))
+    while (low := page.find("<", at)) >= 0:
+        after = page[low + 1 : low + 2]
+        if after in ("!", "?"):
+            say(page[at:low])
+            if page.startswith("<!--", low):
+                high = page.find("-->", low + 4)
+                at = len(page) if high < 0 else high + 3
+            elif page.startswith("<![CDATA[", low):
+                high = page.find("]]>", low)
+                say(page[low + 9 : high if high >= 0 else len(page)])
+                at = len(page) if high < 0 else high + 3
+            else:
+                high = page.find(">", low)
+                at = len(page) if high < 0 else high + 1
             continue
-        say(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            say(m[1])
-        if not m[3]:
+        m = _NAME.match(page, low)
+        high = tags.end(m.end()) if m else -1
+        if high < 0:
+            if m and low > tags.last:
+                break  # no tag ends any more
+            say(page[at : low + 1])
+            at = low + 1
             continue
-        name = m[3].lower()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    leave(i)
-                    break
-                if name in INLINE and stack[i][0] not in INLINE:
-                    break
+        say(page[at:low])
+        at, name, attributes = high + 1, m[1].lower(), page[m.end() : high]
+        if after == "/":
+            if opened[name]:
+                if name not in INLINE:
+                    leave(innermost((name,)))
+                else:  # an inline element doesn't end blocks
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] == name:
+                            leave(i)
+                            break
+                        if stack[i][0] not in INLINE:
+                            break
             continue
         if name == "br":
             say(" ")
             continue
         if name not in INLINE:
             flush()
-        if name in VOID or m[4].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
-        own = [n for n, _ in stack]
-        if name in ENDS_PARAGRAPH and "p" in own:
-            leave(len(own) - 1 - own[::-1].index("p"))
-        elif name in ("li", "tr", "td", "th", "dt", "dd", "option"):
-            stop = {"li": ("ul", "ol", "menu"), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}[name]
-            same = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(name, (name,))
-            for i in range(len(own) - 1, -1, -1):
-                if own[i] in stop:
-                    break
-                if own[i] in same:
-                    leave(i)
-                    break
-        stack.append((name, bool(stack and stack[-1][1]) or _outside(name, m[4], articles > 0)))
-        links += name == "a"
-        articles += name in ("article", "main")
+        if name in ENDS_PARAGRAPH and (i := innermost(("p",))) >= 0:
+            leave(i)
+        elif name in SIBLINGS and (i := innermost(*SIBLINGS[name])) >= 0:
+            leave(i)
         if name in RAW:
-            raw = name
-    if not raw:
-        say(page[at:])
+            end = _RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        outside, path = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        outside = outside or _outside(name, attributes, opened["article"] + opened["main"] > 0)
+        if name in ("article", "main"):
+            articles += 1
+            path = paths.child(path, f"{name}#{articles}")
+        elif name not in INLINE:
+            path = paths.child(path, name)
+        stack.append((name, outside, path))
+        opened[name] += 1
+    say(page[at:])
     leave(0)
     flush()
-    return out
+    return paths, out
 
 
-def main_text(page: str | None) -> str:
-    """The blocks of the page's article, joined by an empty line."""
-    found = blocks(page or "")
-    stats: dict[tuple[str, ...], list[float]] = {}
+def ratios(found: list[tuple[int, str, int]], inside: list[bool]) -> dict[int, tuple[float, int, int]]:
+    """(ratio, characters, characters in links) of each path, in page order."""
+    stats: dict[int, list[int]] = {}
     for path, text, linked in found:
         x = stats.setdefault(path, [0, 0, 0, 0])
         x[0] += len(text)
         x[1] += len(_PUNCT.findall(text))
         x[2] += linked
         x[3] += 1
-    if not stats:
-        return ""
-    paths = list(stats)
-    inside = {p: "article" in p or "main" in p for p in paths}
-    length = [(stats[p][0] - min(stats[p][2], stats[p][0])) / stats[p][3] for p in paths]
-    points = [stats[p][1] / stats[p][3] for p in paths]
+    length = [(n - min(linked, n)) / times for n, _, linked, times in stats.values()]
+    points = [marks / times for _, marks, _, times in stats.values()]
 
     def smooth(x: list[float]) -> list[float]:
-        return [(x[max(i - 1, 0)] + 2 * x[i] + x[min(i + 1, len(x) - 1)]) / 4 for i in range(len(x))]
+        return [(x[max(i - 1, 0)] + 4 * x[i] + x[min(i + 1, len(x) - 1)]) / 6 for i in range(len(x))]
 
     fused = [(a * (b + 1)) ** 0.5 for a, b in zip(smooth(length), smooth(points), strict=True)]
-    ratio = {p: x * (PRIOR if inside[p] else 1) for p, x in zip(paths, fused, strict=True)}
-    plain = {p for p in paths if stats[p][2] < 0.5 * stats[p][0]}
-    mean = sum(ratio[p] * stats[p][0] for p in paths) / sum(stats[p][0] for p in paths)
-    content = {p for p in plain if ratio[p] >= 0.5 * mean} or {max(paths, key=ratio.__getitem__)}
-    most = max(content, key=lambda p: stats[p][0])
-    best = most[: max(i for i, n in enumerate(most) if n in ("article", "main")) + 1] if inside[most] else most[:-1]
-    content |= {p for p in plain if (len(best) > 2 or inside[most]) and p[: len(best)] == best and inside[p] == inside[most]}
-    content |= {p for p in paths if p[:-1] == best and re.fullmatch("h[1-6]", p[-1] if p else "")}
+    return {p: (x * (PRIOR if inside[p] else 1), s[0], s[2]) for (p, s), x in zip(stats.items(), fused, strict=True)}
+
+
+def main_text(page: str | None) -> str:
+    """The blocks of the page's article, joined by an empty line."""
+    paths, found = blocks(page or "")
+    if not found:
+        return ""
+    rated = ratios(found, paths.inside)
+    mean = sum(r * n for r, n, _ in rated.values()) / sum(n for _, n, _ in rated.values())
+    plain = {p for p, (_, n, linked) in rated.items() if linked < 0.5 * n}
+    content = {p for p in plain if rated[p][0] >= 0.5 * mean} or {max(rated, key=lambda p: rated[p][0])}
+    best = most = max(content, key=lambda p: rated[p][1])
+    if paths.inside[most]:
+        while not _article(paths.name[best]):
+            best = paths.parent[best]
+    else:
+        best = max(paths.parent[most], 0)
+    deep = _depth(paths, best) > 2
+    under = paths.under(best)
+    if deep or paths.inside[most]:
+        content |= {p for p in plain if under[p] and paths.inside[p] == paths.inside[most]}
+    content |= {p for p in rated if paths.parent[p] == best and re.fullmatch("h[1-6]", paths.name[p])}
     return "\n\n".join(text for path, text, _ in found if path in content)
 
 
+def _depth(paths: Paths, path: int) -> int:
+    n = 0
+    while path > 0:
+        path, n = paths.parent[path], n + 1
+    return n
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text."""
     X.tune(pages.sparkSession)
