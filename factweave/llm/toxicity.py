@@ -3,20 +3,23 @@
 A text is the set of its words, of the first bytes of its longer words, and of
 those beginnings that two of its words or more share, so that inflected or
 compound words of one stem count together; each is a slot of a hashed
-vocabulary.  A first logistic fit with an L1 penalty picks the words that labels depend on; a
-second fit on these alone, with an L2 penalty, also takes each labelled sentence
-that names a group, swaps the identity term for other ones (and for none), and
-penalises the squared change of the score.  So mentioning a group moves no score
-unless the words around it do.
+vocabulary.  A first logistic fit with an L1 penalty picks the words that labels
+depend on, a second one on these alone has an L2 penalty instead.  Both take each
+labelled sentence that names a group, swap the identity term for the other ones
+of its kind (and for none), and penalise the squared change of the score.  So
+mentioning a group moves no score unless the words around it do.  Terms are words
+alone in four languages; that training never saw has no weight at all.
 
 The fit is on a bounded sample: the `most` labelled rows with the smallest hash
 of their id.  Only their slots reach the driver.  Scoring is one pass over all
 texts that looks at the slots with a weight alone.
 
-Nulls and texts without words get the base rate.  Rows with the same id are
+Null, empty and other texts without words get the base rate; a long text is one set
+of words like any other.  Equal texts get equal scores.  Rows with the same id are
 scored one by one; labels that disagree for an id count by their mean (0.5 is
 toxic), null labels not at all.  With no labels, or none of one kind, the score
-is the rate seen (0 without labels, but for rounding).  Other columns are ignored.
+is the rate seen (0 without labels, but for rounding).  An empty table gives an empty one.  All columns are kept; one with
+the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -30,20 +33,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factweave.llm import exchange as X
-from factweave.llm.textops import ALNUM, LOWER, U, flat, hashed_words, isin_sorted, mix, owner, pieces, prefix_sums, spans, words
+from factweave.llm.textops import ALNUM, LOWER, U, flat, hashed_words, isin_sorted, mix, owner, pieces, prefix_sums, spans, word_hashes, words
 
 BITS = 22
 SLOTS = 1 << BITS
 #: Lengths of the beginnings of words, in bytes.
 STEMS = (4, 6)
 
-# Identity terms that are swapped for each other, by kind.
+# Identity terms that are swapped for each other, by kind, in English, German, French and Spanish.
 IDENTITY_TERMS = {
-    "gender": ["women", "men", "girls", "boys", "female", "male", "transgender"],
-    "religion": ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist"],
-    "origin": ["african", "american", "asian", "arab", "european", "mexican", "immigrant"],
-    "orientation": ["gay", "lesbian", "bisexual", "straight"],
-    "ability": ["deaf", "blind", "disabled"],
+    "gender": """woman women man men girl girls boy boys female females male males transgender trans nonbinary
+        frau frauen mann männer mädchen junge jungen weiblich weibliche weiblichen männlich männliche männlichen
+        femme femmes homme hommes fille filles garçon garçons féminin féminine masculin masculine transgenre transgenres
+        mujer mujeres hombre hombres niña niñas niño niños chica chicas chico chicos femenino femenina masculino masculina transgénero""",
+    "religion": """muslim muslims christian christians jew jews jewish hindu hindus buddhist buddhists sikh sikhs atheist atheists catholic catholics
+        moslem moslems muslime muslimin muslimische christ christen christin christliche jude juden jüdin jüdisch jüdische hinduistin buddhistin buddhisten atheistin atheisten katholik katholiken katholikin
+        musulman musulmans musulmane musulmanes chrétien chrétiens chrétienne chrétiennes juif juifs juive juives hindou hindous bouddhiste bouddhistes athée athées catholique catholiques
+        musulmán musulmana musulmanas cristiano cristianos cristiana cristianas judío judíos judía judías hindúes budista budistas ateo ateos atea ateas católico católicos católica católicas""",
+    "origin": """african africans american americans asian asians arab arabs european europeans mexican mexicans chinese indian indians turkish black white latino latina immigrant immigrants refugee refugees foreigner foreigners
+        afrikaner afrikanerin afrikanische amerikaner amerikanerin amerikanische asiate asiaten asiatin asiatische araber araberin arabische europäer europäerin europäische mexikaner mexikanerin chinesen chinesin inder inderin türke türken türkin türkische schwarze weiße migrant migranten migrantin einwanderer flüchtling flüchtlinge ausländer ausländerin
+        africain africains africaine africaines américain américains américaine américaines asiatique asiatiques arabe arabes européen européens européenne européennes mexicain mexicains mexicaine chinois chinoise indien indiens indienne turc turcs turque noir noirs noire noires blanc blancs blanche immigré immigrés immigrée réfugié réfugiés réfugiée étranger étrangers étrangère
+        africano africanos africana africanas americano americanos americana americanas asiático asiáticos asiática asiáticas árabe árabes europeo europeos europea europeas mexicano mexicanos mexicana mexicanas chino chinos china chinas indio indios india indias turco turcos turca negro negros negra negras blanco blancos blanca inmigrante inmigrantes refugiado refugiados refugiada extranjero extranjeros extranjera""",
+    "orientation": """gay gays lesbian lesbians bisexual bisexuals straight heterosexual heterosexuals homosexual homosexuals queer
+        schwul schwule schwulen lesbe lesben lesbisch lesbische bisexuell bisexuelle heterosexuell heterosexuelle homosexuell homosexuelle homosexuellen
+        lesbienne lesbiennes bisexuel bisexuels bisexuelle hétérosexuel hétérosexuels homosexuel homosexuels
+        lesbiana lesbianas bisexuales heterosexuales homosexuales""",
+    "ability": """deaf blind disabled autistic
+        taub taube gehörlos gehörlose blinde blinden behindert behinderte behinderten autistisch autistische
+        sourd sourds sourde sourdes aveugle aveugles handicapé handicapés handicapée autiste autistes
+        sordo sordos sorda sordas ciego ciegos ciega ciegas discapacitado discapacitados discapacitada autistas""",
 }
 
 
@@ -51,7 +69,10 @@ def _terms(terms: list[str]) -> np.ndarray:
     return hashed_words(pa.array(terms), ALNUM, True)[0]
 
 
-_ALL_TERMS = np.sort(_terms([t for terms in IDENTITY_TERMS.values() for t in terms]))
+_KINDS = {kind: np.unique(_terms(terms.split())) for kind, terms in IDENTITY_TERMS.items()}
+_ALL_TERMS = np.unique(np.concatenate(list(_KINDS.values())))
+#: Bytes after which another sentence begins.
+_ENDS = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
 
 
 def slots(column, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +106,21 @@ def slots(column, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndar
     return keys & U(SLOTS - 1), np.searchsorted(keys >> U(BITS), np.arange(len(off)).astype(U))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int, folds: int, held: int) -> list[tuple[int, bytes]]:
-    """(label, slots) of at most `most` labelled rows outside the held fold, by hash of the id."""
+def mentions(column) -> list[bytes]:
+    """Of each text, the slots of its identity terms, once for each sentence that has them."""
+    data, off = flat(column)
+    data = LOWER[data]
+    start, end, first = words(data, off, ALNUM)
+    word = word_hashes(data, start, end)
+    at = np.flatnonzero(isin_sorted(word, _ALL_TERMS))
+    sentence = np.cumsum(_ENDS[data])[start[at]] if len(at) else at
+    rows = np.unique(np.stack((owner(first)[at], sentence, (word[at] % U(SLOTS)).astype(np.int64)), 1), axis=0)
+    cut = np.searchsorted(rows[:, 0], np.arange(len(off)))
+    return [rows[cut[i] : cut[i + 1], 2].astype("<u4").tobytes() for i in range(len(off) - 1)]
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int, folds: int, held: int) -> list[tuple[int, bytes, bytes]]:
+    """(label, slots, identity terms by sentence) of at most `most` labelled rows outside the held fold, by hash of the id."""
     ids = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != held))
         .groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("label"))
@@ -98,12 +132,12 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, folds: int, held: int)
             for piece in pieces(batch, "text", 2 << 20):
                 held_, first = slots(piece.column(1))
                 rows = [held_[first[i] : first[i + 1]].astype("<u4").tobytes() for i in range(piece.num_rows)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(rows, pa.binary())], ["doc_id", "label", "slots"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(rows, pa.binary()), pa.array(mentions(piece.column(1)), pa.binary())], ["doc_id", "label", "slots", "terms"])
 
     # the ids are bounded by `most`, so they can be broadcast; a row more than `most` only comes from repeated ids
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    found = found.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, slots binary")
-    return [(r["label"], bytes(r["slots"])) for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(most).collect()]
+    found = found.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, slots binary, terms binary")
+    return [(r["label"], bytes(r["slots"]), bytes(r["terms"])) for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(most).collect()]
 
 
 class Classifier:
@@ -119,11 +153,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.bias + total[first[1:]] - total[first[:-1]], -500, 500)))
 
 
-def _term_slots() -> list[np.ndarray]:
-    return [(_terms(terms) % U(SLOTS)).astype(np.int64) for terms in IDENTITY_TERMS.values()]
-
-
-def fit(rows: list[tuple[int, bytes]], strength: float = 4.0, l1: float = 1.3, l2: float = 0.02, rounds: int = 400) -> Classifier:
+def fit(rows: list[tuple[int, bytes, bytes]], strength: float = 100.0, l1: float = 1.3, l2: float = 0.02, rounds: int = 400) -> Classifier:
     """The classifier; strength weighs the counterfactual penalty."""
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
@@ -144,12 +174,14 @@ def fit(rows: list[tuple[int, bytes]], strength: float = 4.0, l1: float = 1.3, l
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     slot = np.searchsorted(column, np.concatenate(sets))
 
-    def descend(row, slot, size, bias, l1, l2, pull=None, rounds=rounds):
+    seen, times = np.unique(np.concatenate([np.frombuffer(r[2], "<u4") for r in rows]).astype(np.int64), return_counts=True)
+
+    def descend(row, slot, size, bias, l1, l2, pull, rounds=rounds):
         """Accelerated proximal gradient on the sum of losses, a step size per word."""
         w, v, t = np.zeros(size), np.zeros(size), 1.0
         # the curvature of a text with k of these words is at most (k + 1) / 4
         length = np.bincount(row, minlength=len(y)) + 1.0
-        step = 1 / (np.bincount(slot, length[row] / 4, size) + l2 + (0 if pull is None else pull[2]))
+        step = 1 / (np.bincount(slot, length[row] / 4, size) + l2 + (0 if pull is None else 4 * strength * pull[2]))
         bias_step = 4 / length.sum()
         b = u = bias
         for _ in range(rounds):
@@ -158,7 +190,7 @@ def fit(rows: list[tuple[int, bytes]], strength: float = 4.0, l1: float = 1.3, l
             if pull is not None:
                 change = v[pull[0]] * pull[1]
                 change = change.sum(1)
-                np.add.at(g, pull[0].ravel(), (2 * strength * change[:, None] * pull[1]).ravel())
+                g += np.bincount(pull[0].ravel(), (2 * strength * change[:, None] * pull[1]).ravel(), size)
             x = v - step * g
             x = np.sign(x) * np.maximum(np.abs(x) - step * l1, 0)
             c = u - bias_step * (p - y).sum()
@@ -167,49 +199,51 @@ def fit(rows: list[tuple[int, bytes]], strength: float = 4.0, l1: float = 1.3, l
             w, b, t = x, c, nxt
         return w, b
 
-    w, bias = descend(row, slot, len(column), bias, l1, 0.0)
+    w, bias = descend(row, slot, len(column), bias, l1, 0.0, swaps(column, seen, times))
     picked = np.abs(w) > 0
     if not picked.any():
         return Classifier(bias, np.zeros(0, int), np.zeros(0))
     keep = picked[slot]
     row, slot, column = row[keep], (np.cumsum(picked) - 1)[slot[keep]], column[picked]
-    pull = swaps(row, slot, column)
-    w, bias = descend(row, slot, len(column), bias, 0.0, l2, pull, 4 * rounds)
+    w, bias = descend(row, slot, len(column), bias, 0.0, l2, swaps(column, seen, times), 4 * rounds)
     return Classifier(bias, column, w)
 
 
-def swaps(row: np.ndarray, slot: np.ndarray, column: np.ndarray):
-    """Counterfactuals of sentences with identity terms among the words picked: (words changed, signs, curvature by word).
+def swaps(column: np.ndarray, seen: np.ndarray, times: np.ndarray):
+    """Counterfactuals of sentences by their identity terms: (pairs of places in column, signs weighted, curvature by word).
 
-    A term not picked has weight 0, so swapping it in is the same as dropping the term.
+    seen, times: slots of identity terms, and how many labelled sentences have each.  A term that isn't in column has
+    weight 0, so swapping it in is the same as dropping the term.
     """
-    left, right = [], []
-    for terms in _term_slots():
-        at = np.searchsorted(column, terms)
-        at = np.unique(at[(at < len(column)) & (column[np.minimum(at, len(column) - 1)] == terms)])
-        times = np.bincount(slot, minlength=len(column))
-        for a in at:
-            others = [b for b in at if b != a] + [-1]
-            left += [a] * (len(others) * int(times[a]))
-            right += others * int(times[a])
+    place = {int(c): i for i, c in enumerate(column) if c in set(seen.tolist())}
+    count = dict(zip(seen.tolist(), times.tolist(), strict=True))
+    left, right, weight = [], [], []
+    for terms in _KINDS.values():
+        own = [int(t) for t in np.unique((terms % U(SLOTS)).astype(np.int64)) if int(t) in place]
+        for a in own:
+            for b in [*(b for b in own if b != a), -1]:
+                left.append(place[a])
+                right.append(place[b] if b >= 0 else place[a])
+                weight.append((np.sqrt(count[a]), -np.sqrt(count[a]) if b >= 0 else 0.0))
     if not left:
         return None
-    words_ = np.stack((left, np.where(np.array(right) < 0, left, right)), 1)
-    signs = np.stack((np.ones(len(left)), np.where(np.array(right) < 0, 0.0, -1.0)), 1)
-    return words_, signs, np.bincount(words_.ravel(), (8 * np.abs(signs)).ravel() * 4, len(column))
+    pairs, signs = np.stack((left, right), 1), np.array(weight)
+    # of a square of a sum of two, at most twice the sum of both squares
+    return pairs, signs, np.bincount(pairs.ravel(), (signs**2).ravel(), len(column))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, folds: int = 5, held: int = 0, strength: float = 4.0) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, folds: int = 5, held: int = 0, strength: float = 100.0) -> Classifier:
     X.tune(docs.sparkSession)
     return fit(sample(docs, labels, most, folds, held), strength)
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int = 12_000, folds: int = 5, held: int = 0, strength: float = 4.0) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, most: int = 12_000, folds: int = 5, held: int = 0, strength: float = 100.0) -> DataFrame:
     """All columns of docs and toxicity_score: 0 to 1."""
     return with_score(docs, train(docs, labels, most, folds, held, strength), "toxicity_score")
 
 
 def with_score(docs: DataFrame, model: Classifier, name: str) -> DataFrame:
+    docs = docs.drop(name)
     holder = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
