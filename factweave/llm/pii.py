@@ -14,7 +14,9 @@ access keys that begin with AKIA).
 What looks similar but isn't valid stays as it is; where a match isn't, shorter
 ones at its start and other kinds are tried, then what begins a character later.
 
-Null texts stay null.  Every other column is kept; rows are independent.
+Null texts stay null, empty ones empty.  Every other column is kept, whatever its
+name; rows are independent, so repeated ones get equal pseudonyms.  A text is in
+memory as a whole; the time is in proportion to its length.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import datetime as dt
 import hashlib
 import hmac
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -199,7 +202,7 @@ _EACH = {k: re.compile(v) for k, v in _FORMS.items()}
 # IBAN lengths by country.
 _IBAN_LENGTHS = {c: n for n, names in {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in names.split()}
 _AT = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9])")
-_LOCAL = re.compile(r"[\w.%+-]*\Z")
+_LOCAL = frozenset(".%+-_")
 
 
 def _ends(text: str, start: int, end: int, kind: str) -> Iterator[int]:
@@ -234,22 +237,25 @@ def _valid(text: str, start: int, kind: str, free: int) -> int | None:
 
 def found(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of personal data."""
-    out = []
+    out, high = [], 0
     for m in _AT.finditer(text):
-        low = _LOCAL.search(text, max(0, m.start() - 64), m.start()).start()
-        while low < m.start() and text[low] in ".%+-_":
+        low = m.start()
+        while low > high and (text[low - 1].isalnum() or text[low - 1] in _LOCAL):
+            low -= 1
+        while low < m.start() and text[low] in _LOCAL:
             low += 1
         if low < m.start():
-            out.append((low, m.end(), "email"))
-    taken = out[:]
+            high = m.end()
+            out.append((low, high, "email"))
+    taken, lows = out[:], [x[0] for x in out]
     at = 0
     while m := _ANY.search(text, at):
         start = m.start()
-        inside = next((high for low, high, _ in taken if low <= start < high), None)
-        if inside is not None:
-            at = inside
+        i = bisect_right(lows, start)
+        if i and start < taken[i - 1][1]:
+            at = taken[i - 1][1]
             continue
-        free = min((low for low, _, _ in taken if low > start), default=len(text))
+        free = lows[i] if i < len(lows) else len(text)
         kind, end = next(((k, e) for k in _EACH if (e := _valid(text, start, k, free)) is not None), (None, start + 1))
         if kind:
             out.append((start, end, kind))
@@ -285,9 +291,15 @@ class Pseudonyms:
         return "".join([*out, text[last:]]) if spans else text, spans
 
 
-def pseudonymised(docs: DataFrame, secret: str = "factweave", kinds: tuple[str, ...] = KINDS, spans: str | None = None) -> DataFrame:
-    """docs with pseudonyms in text; where they are goes to a column named spans."""
+def pseudonymised(docs: DataFrame, secret: str, kinds: tuple[str, ...] = KINDS, spans: str | None = None) -> DataFrame:
+    """docs with pseudonyms in text; where they are goes to a column named spans, which replaces one of that name.
+
+    Who has the secret can undo them.
+    """
+    if not secret:
+        raise ValueError("pseudonyms need a secret")
     X.tune(docs.sparkSession)
+    docs = docs.drop(spans) if spans else docs
     names = docs.columns
     at = names.index("text")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
@@ -299,8 +311,8 @@ def pseudonymised(docs: DataFrame, secret: str = "factweave", kinds: tuple[str,
         tool = Pseudonyms(secret, kinds)
         for batch in batches:
             text = batch.column(at)
-            # only texts with a digit or an @ can hold any
-            some = pc.fill_null(pc.match_substring_regex(text, "[0-9@]"), False).to_pylist()
+            # what no text can hold any without: a digit, an @, or a secret of letters alone
+            some = pc.fill_null(pc.match_substring_regex(text, "[0-9@]|AKIA|[A-Fa-f]{32}"), False).to_pylist()
             new, where = [], []
             for i, may in enumerate(some):
                 value, held = tool.apply(text[i].as_py()) if may else (None, [])
