@@ -18,8 +18,11 @@ small-star steps; each state is checkpointed in the shared folder.
 With the defaults, a pair at the threshold shares no band once in 300 000 times.
 
 Nulls and texts without words have empty sets and are linked with nothing; a
-text with fewer words than a shingle is one shingle.  Rows with equal ids are
-treated one by one, and share the id.  Other columns are ignored.
+text with fewer words than a shingle is one shingle.  Rows with equal or null ids
+are treated one by one: a null id links like any other, and is the least id of a
+group only if it has no other.  An empty table gives an empty one.  Texts are in
+memory a few megabytes at a time, a longer one as a whole.  Other columns are
+ignored, or kept by distinct().
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factweave.llm import exchange as X
 from factweave.llm.textops import SPACED, U, hashed_words, mix, mix1, pieces, prefix_sums, spans, unique_per_text, windows
@@ -94,20 +98,23 @@ def _class(held: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """Per row of docs: doc_id, node (the class of its set), n_shingles, registers."""
+    """Per row of docs: doc_id, digest (of its text), node (the class of its set), n_shingles, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", 2 << 20):
                 held, first = shingle_sets(piece.column(1), k)
                 regs = registers(held, first)
-                yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(_class(held, first)), pa.array(np.diff(first)), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "node", "n_shingles", "registers"])
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0).cast(pa.int64()), piece.column(2), pa.array(_class(held, first)), pa.array(np.diff(first)), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    ["doc_id", "digest", "node", "n_shingles", "registers"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n_shingles long, registers binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, "doc_id long, digest long, node long, n_shingles long, registers binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the wanted (node, doc_id)."""
+    """(node, shingles) of the wanted (node, doc_id, digest); by id and text, since ids may be null or repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +124,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 mine = np.flatnonzero(node == piece.column(1).to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array([held[first[i] : first[i + 1]].tobytes() for i in mine], pa.binary())], ["node", "shingles"])
 
-    found = docs.select("doc_id", "text").join(wanted.withColumnRenamed("doc_id", "own"), F.col("doc_id") == F.col("own"))
+    own = wanted.select("node", F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"))
+    found = docs.select("doc_id", "text").join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("own_digest")))
     return found.select("text", "node").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
@@ -155,15 +163,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _apart(sums: DataFrame, key: str) -> DataFrame:
+    """sums by key, dealt out again before they are joined.
+
+    An aggregate that is joined where it was made keeps Spark from splitting the partition of a hub; the sum with 0 hides
+    from it that the rows are there already.  There is a row a key, and with it AQE can split the other side.
+    """
+    return sums.withColumn(key, F.col(key) + F.lit(0).cast("long"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes in links (a, b): the least node that each reaches."""
     links = X.checkpoint(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     state = None
     while True:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select("b", "a"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = _apart(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "u")
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = _apart(large.groupBy("b").agg(F.min("a").alias("m")), "b")
         small = large.join(least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").distinct()
         links = X.checkpoint(small.select(F.col("x").alias("a"), F.col("y").alias("b")))
         now = links.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
@@ -214,17 +231,19 @@ def _across(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.select(names).unionByName(right.select(names)).groupBy("zone", "row", "column").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, margin: float = 0.15) -> DataFrame:
-    """Per row of docs (doc_id, text): n_shingles and component_id, the least id of those linked to it."""
+def _found(docs: DataFrame, k: int, percent: int, margin: float) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, node, n_shingles; classes of equal sets: node, doc_id, component)."""
     X.tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = X.checkpoint(sketches(docs, k))
-    classes = X.checkpoint(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
+    least_id = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    classes = rows.where("n_shingles > 0").groupBy("node").agg(least_id.alias("x"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    classes = X.checkpoint(classes.select("node", "x.doc_id", "x.digest", "n_shingles", "registers"))
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.expr("registers").substr(i * WIDTH + 1, F.lit(WIDTH)), i))
     bands = classes.select("node", F.explode(keys).alias("key"))
     common = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
     shared = X.checkpoint(bands.join(common, "key").select("key", "node", "low"))
-    sets = X.checkpoint(_sets(docs, classes.select("node", "doc_id").join(shared.select("node").distinct(), "node"), k))
+    sets = X.checkpoint(_sets(docs, classes.select("node", "doc_id", "digest").join(shared.select("node").distinct(), "node"), k))
     # two leaders of each bucket; the other one differs by bucket
     turn = F.xxhash64(F.pmod("key", F.lit(4)))
     other = shared.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("turned")).select("key", F.col("turned").bitwiseXOR(turn).alias("other"))
@@ -241,6 +260,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, margin: floa
     if not held.isEmpty():
         found = components(links.unionByName(_across(held, sets, percent)))
     named = classes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    return rows, named
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, margin: float = 0.15) -> DataFrame:
+    """Per row of docs (doc_id, text): n_shingles and component_id, the least id of those linked to it."""
+    rows, named = _found(docs, k, percent, margin)
     least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least_id, "component").select("node", "component_id")
     return rows.select("doc_id", "node", "n_shingles").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def distinct(docs: DataFrame, k: int = 5, percent: int = 80, margin: float = 0.15) -> DataFrame:
+    """One row of docs, all columns, of each group of near copies: that with the least id (null only if all are).
+
+    Of rows of a group that share the least id, the one whose set has the least hash stays, and of equal sets the one with
+    the least text.  Rows without words all stay.  It is rows that are decided on, not ids.
+    """
+    _, named = _found(docs, k, percent, margin)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
+    node, own, own_id, rank = X.fresh(docs, "node", "own", "own_id", "rank")
+    kept = first.select(F.col("x.node").alias(own), F.col("x.doc_id").alias(own_id))
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text", 2 << 20):
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(_class(*shingle_sets(piece.column(at), k)))], [*names, node])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())]))
+    # by set and id together: a group of copies is not dealt to one task, nor are the rows without words
+    both = marked.join(kept, (F.col(node) == F.col(own)) & F.col("doc_id").eqNullSafe(F.col(own_id)), "left")
+    w = Window.partitionBy(node, "doc_id").orderBy("text")
+    ranked = both.where(f"`{node}` = 0 or `{own}` is not null").withColumn(rank, F.row_number().over(w))
+    return ranked.where(f"`{node}` = 0 or `{rank}` = 1").select(*(F.col(f"`{c}`") for c in names))
