@@ -9,6 +9,17 @@ from factweave.llm import anchors, ctw, lpf, pii, quality, raking, setsketch, ta
 from factweave.llm import exchange as X
 
 
+#: The key of the registered queries and of the pipeline where the session has none in spark.factweave.secret.  Anyone can
+#: read it here, so it protects nothing; production sets its own.
+TEST_SECRET = "open sesame"
+#: Shares by language that the queries mix to; those by source and topic are flattened.
+TARGETS = {"lang": {"en": 0.55, "de": 0.18, "fr": 0.15, "es": 0.12}}
+
+
+def secret(spark: SparkSession) -> str:
+    return spark.conf.get("spark.factweave.secret", None) or TEST_SECRET
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     X.tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,7 +46,7 @@ def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymised(_read(spark, sf_dir, "documents").select("doc_id", "text"), spans="spans")
+    found = pii.pseudonymised(_read(spark, sf_dir, "documents").select("doc_id", "text"), secret(spark), spans="spans")
     return found.select("doc_id", "text", F.size("spans").cast("long").alias("n_found"), "spans")
 
 
@@ -45,7 +56,7 @@ def op6_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = raking.mixed(_read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    found = raking.mixed(_read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), TARGETS)
     return found.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_probability").alias("probability"), F.col("mix_sampled").alias("sampled"))
 
 

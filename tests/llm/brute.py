@@ -69,7 +69,7 @@ def op8(docs, k=2):
             held[x].append(i)
     least = {}
     for i, (d, _) in enumerate(docs):
-        least[find(i)] = min(least.get(find(i), d), d)
+        least[find(i)] = min((x for x in (least.get(find(i)), d) if x is not None), default=None)
     return [(d, len(s), least[find(i)], d == least[find(i)]) for i, ((d, _), s) in enumerate(zip(docs, sets))]
 
 
@@ -109,3 +109,32 @@ def op10(docs, items, k=10):
         names = sorted(str(x) for x in found if x is not None)
         out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)))
     return out
+
+
+def path_ratios(blocks):
+    """Tag-path ratios of (path, text, characters in links) by their definition."""
+    paths = list(dict.fromkeys(p for p, _, _ in blocks))
+    own = {p: [b for b in blocks if b[0] == p] for p in paths}
+    length = [sum(len(t) for _, t, _ in own[p]) for p in paths]
+    links = [sum(n for _, _, n in own[p]) for p in paths]
+    rate = [max(a - b, 0) / len(own[p]) for a, b, p in zip(length, links, paths)]
+    marks = [sum(len(re.findall("[.,;:!?…。，！？]", t)) for _, t, _ in own[p]) / len(own[p]) for p in paths]
+    near = lambda x, i: (x[max(i - 1, 0)] + 4 * x[i] + x[min(i + 1, len(x) - 1)]) / 6
+    return {p: math.sqrt(near(rate, i) * (near(marks, i) + 1)) for i, p in enumerate(paths)}
+
+
+def raked(rows, targets, rounds=300):
+    """Probability of each (source, lang, topic, tokens)."""
+    cells = Counter()
+    for *cell, n in rows:
+        cells[tuple(cell)] += n
+    weight = {c: n / sum(cells.values()) for c, n in cells.items()}
+    for _ in range(rounds):
+        for i, m in enumerate(("source", "lang", "topic")):
+            own = Counter()
+            for c, w in weight.items():
+                own[c[i]] += w
+            whole = sum(targets[m].values())
+            weight = {c: w * targets[m].get(c[i], 0) / whole / own[c[i]] if own[c[i]] else 0 for c, w in weight.items()}
+    most = max(weight[c] / n for c, n in cells.items())
+    return [weight[tuple(c)] / cells[tuple(c)] / most if n else 0 for *c, n in rows]
