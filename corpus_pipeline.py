@@ -1,6 +1,9 @@
 """From raw documents to a training mixture: each stage is written as Parquet and read again.
 
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents.  Each decides about rows,
+not ids, so null or repeated ids neither save a row nor take another with it;
+columns of any name and type are carried along.  An empty table gives an empty
+mixture.  See the operators for null, empty and very long texts.
 """
 
 from __future__ import annotations
@@ -10,40 +13,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import exchange, pii, raking, setsketch, toxicity, winnow
+from factweave.llm import exchange, pii, queries, raking, setsketch, toxicity, winnow
+from factweave.session import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5; labels are learnt from the rows outside the held-out fold, as in op3."""
+    """Rows scored below 0.5; labels are learnt from the rows outside the held-out fold, as in op3."""
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = toxicity.train(raw, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_score(docs, model, "_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    (score,) = exchange.fresh(docs, "toxicity")
+    return toxicity.with_score(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words a shingle, 0.8 or more): that with the least id; of rows that share it, one."""
-    found = setsketch.near_duplicates(docs, k=5, percent=80)
-    marks = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"), F.count(F.lit(1)).alias("_rows")).where("_gone or _rows > 1")
-    both = docs.join(marks, F.col("doc_id") == F.col("_id"), "left")
-    repeated = both.where("_rows > 1 and not _gone").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return both.where("_rows is null").select(*docs.columns).unionByName(repeated)
+    """One row of each group of near copies (five words a shingle, 0.8 or more): that with the least id."""
+    return setsketch.distinct(docs, k=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    found = winnow.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """Rows without a benchmark window."""
+    return winnow.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms of the same format."""
-    return pii.pseudonymised(docs)
+    return pii.pseudonymised(docs, queries.secret(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents sampled, with topic, tokens and probability."""
-    return raking.mixed(docs).where("mix_sampled").drop("mix_sampled")
+    """The rows sampled, with topic, tokens and probability."""
+    return raking.mixed(docs, queries.TARGETS).where("mix_sampled").drop("mix_sampled")
 
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("personal data", pseudonymise), ("mixture", mix)]
@@ -55,8 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture made from the documents in sf_dir."""
     exchange.tune(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
