@@ -1,20 +1,90 @@
-"""Text expressions: trigrams, tokens, bridge tokens, sentences, canonical names, back references, cues, BIO decoding."""
+"""Text expressions: words, trigrams, tokens, sentences, names, back references, cues, span decoding.
+
+All are Catalyst expressions but two: causal cues and Unicode normalisation go
+through an Arrow function, and only for texts that a pattern lets through.
+"""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Legal forms that a canonical name drops at its end.
+SUFFIXES = (
+    "inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "l.l.c", "plc", "gmbh", "ag", "sa", "s.a", "nv", "n.v", "se", "spa", "s.p.a",
+    "pty", "bv", "b.v", "oyj", "ab", "as", "kk", "kgaa", "holdings", "holding", "group",
+)
+# Connectives after which the cause stands.
+CAUSE_AFTER = (
+    "because of", "because", "due to", "owing to", "as a result of", "resulted from", "caused by", "debido a", "porque", "à cause de", "en raison de", "wegen", "nedeniyle",
+    "由于", "因为", "بسبب", "из-за",
+)
+# Connectives before which the cause stands.
+CAUSE_BEFORE = (
+    "leads to", "led to", "results in", "resulted in", "causes", "caused", "so that", "therefore", "provocó", "causó", "a provoqué", "verursachten", "neden oldu", "导致",
+    "أدى", "вызвали", "causou",
+)
+# What ends a clause, what a span loses at its ends, and spans that name no cause.
+CLAUSE_ENDS = ",;:—–…،؛，；：。！？!?"
+SPAN_EDGES = " \t\n,.;:!?،。！？\"'()[]"
+PRONOUNS = frozenset("which that who this it they these those and but".split())
+# Connectives that may be nouns, and the words before them that make them so.
+NOUNS = ("causes", "cause")
+DETERMINERS = frozenset("the a an its their this that these those of his her our your my no some any".split())
+# Openings that point back and claim a cause by themselves, by language.
+POINTING_CONNECTIVES = {
+    "en": ("as a result", "consequently", "therefore", "because of this", "because of that", "following this", "as a consequence", "hence", "thus", "so"),
+    "de": ("dadurch", "daraufhin", "infolgedessen", "deshalb", "deswegen", "somit", "daher", "aus diesem grund"),
+    "nl": ("daardoor", "hierdoor", "daarom", "vandaar", "dientengevolge", "als gevolg hiervan"),
+    "es": ("por ello", "por eso", "por lo tanto", "por consiguiente", "como consecuencia", "debido a esto", "a raíz de esto"),
+    "fr": ("par conséquent", "de ce fait", "en conséquence", "ainsi", "d'où", "à cause de cela"),
+    "tr": ("bu nedenle", "bu yüzden", "bundan dolayı", "bunun sonucunda", "bu sebeple"),
+}
+# Openings that only point back, by language.
+DEICTICS = {
+    "en": ("this", "that", "these", "those", "it"),
+    "de": ("dies", "das", "diese", "dieser"),
+    "nl": ("dit", "dat", "deze"),
+    "es": ("esto", "eso", "esta", "ese"),
+    "fr": ("cela", "ceci", "ce"),
+    "tr": ("bu", "bunun", "buna", "bundan", "şu", "şunun"),
+}
+# Verbs that make a pointing opening a causal claim, by language.
+CAUSAL_VERBS = {
+    "en": ("caused", "led to", "resulted in", "broke", "triggered", "meant", "forced", "made", "prevented", "delayed", "produced", "drove", "lost"),
+    "de": ("führte", "verursachte", "löste aus", "bewirkte", "sorgte", "brachte", "verhinderte", "stieg", "fiel"),
+    "nl": ("leidde", "veroorzaakte", "zorgde", "brak", "verhinderde", "viel"),
+    "es": ("causó", "provocó", "produjo", "generó", "llevó", "impidió", "rompió", "obligó"),
+    "fr": ("a causé", "a provoqué", "a entraîné", "a conduit", "a empêché", "a cassé", "a obligé", "est tombé"),
+    "tr": ("neden oldu", "yol açtı", "sebep oldu", "bozdu", "engelledi", "kesildi", "durdu"),
+}
+# Abbreviations that end no sentence.
+ABBREVIATIONS = ("e.g", "i.e", "z.B", "d.h", "u.a", "vs", "Dr", "Mr", "Mrs", "Ms", "Prof", "St", "No", "Nr", "ca", "approx")
+# Words that bridge no facts.
+BRIDGE_STOP = tuple(
+    """the a an and or but of to in on at for with by from as is are was were be been being this that these those it its into over under than then there their they them
+    his her our your which while when where who whom whose what because since after before during also very more most such into onto about against between through above
+    below each other some any all both few many much no nor not only own same so too can will just don should now der die das und oder den dem des ein eine einer eines
+    einem einen ist sind war waren wird werden nicht auch mit von zu auf für aus bei nach über unter het een van en dat dit die deze niet ook met voor door naar bij uit
+    over el la los las un una unos unas y o de del al que en con por para sin sobre es son fue fueron le les des du un une et ou que qui dans sur avec pour par sans est
+    sont ve bir bu şu o ile için gibi da de ama veya değil""".split()
+)
+# First words of names that are contained in no other name.
+CONTAIN_STOP = tuple("the a an of and de der die das den het een el la los las le les du des del van von bir ve ile".split())
+# Openings of a question.
+QUESTION_WORDS = tuple("who what when where why which how whose whom is are was were do does did can could should would will has have had".split())
 
-# Corporate suffixes that a canonical name drops.
-SUFFIXES = ("inc", "corp", "corporation", "ltd", "llc", "gmbh", "ag", "plc", "co")
-# Words that open a sentence pointing back.
-DEICTICS = ("this", "that", "these", "those", "it", "das", "dies", "esto", "ce", "cela")
-# Connectives, with whether the cause stands before them.
-CUES = {"because": False, "due to": False, "caused by": False, "leads to": True, "led to": True, "causes": True, "results in": True, "therefore": True, "weil": False, "wegen": False, "porque": False, "parce que": False}
+WORD = "[\\p{L}\\p{M}\\p{N}_]"
 
 
 def words(text: Column, least: int = 2) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"([a-z]{{{least},}})"), 1)
+    """The words of least characters and more, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}{{{least},}})"), 1)
 
 
 def trigrams(word: Column) -> Column:
@@ -32,48 +102,163 @@ def approx_tokens(text: Column) -> Column:
 
 
 def bridge_tokens(text: Column, prefix: int = 5) -> Column:
-    """Distinct prefixes of the words of four letters and more."""
-    return F.array_distinct(F.transform(words(text, 4), lambda w: F.substring(w, 1, prefix)))
+    """Distinct beginnings of the words of four letters and more, and of acronyms of three; no stop words."""
+    own = F.regexp_extract_all(text, F.lit("(\\p{L}+)"), 1)
+    acronym = lambda w: (F.length(w) == 3) & (F.upper(w) == w) & (F.lower(w) != w)
+    kept = F.filter(own, lambda w: ((F.length(w) >= 4) | acronym(w)) & ~F.lower(w).isin(*BRIDGE_STOP))
+    return F.array_distinct(F.transform(kept, lambda w: F.substring(F.lower(w), 1, prefix)))
+
+
+_BREAK = "\u0001"
+#: Where a sentence ends within a line, and the breaks that an abbreviation undoes; for regexp_replace, in turn.
+SENTENCE_RULES = (("([.!?…])\\s+([\"'(\\[\\p{L}\\p{N}_])", f"$1{_BREAK}$2"), (f"(?i)(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(re.escape(a) for a in ABBREVIATIONS)})\\.{_BREAK}", "$1$2. "))
 
 
 def sentences(text: Column) -> Column:
-    """Lines, cut after . ! ? and a blank before a capital."""
-    marked = F.regexp_replace(text, "([.!?]) +([A-Z])", "$1\n$2")
-    return F.filter(F.transform(F.split(marked, "\n"), F.trim), lambda s: F.length(s) > 0)
+    """Lines, cut after . ! ? … and a blank before a letter, digit or opening quote; not after abbreviations."""
+    marked = F.regexp_replace(text, "\\n+", "\n")
+    for pattern, new in SENTENCE_RULES:
+        marked = F.regexp_replace(marked, pattern, new)
+    return F.filter(F.transform(F.split(marked, f"[\n{_BREAK}]"), F.trim), lambda s: F.length(s) > 0)
+
 
+_ENDING = f"([,\\s]+({'|'.join(re.escape(s) for s in SUFFIXES)})\\.?)+$"
 
-def canonical(name: Column) -> Column:
-    """One blank between words, corporate suffixes dropped, lower case; never empty."""
+
+def reduced(name: Column) -> Column:
+    """One blank between words, legal forms dropped at the end, however many; never empty."""
     plain = F.trim(F.regexp_replace(name, "\\s+", " "))
-    short = F.regexp_replace(F.lower(plain), f"([ ,.]+({'|'.join(SUFFIXES)})[.]?)+$", "")
-    return F.when(F.length(short) > 0, short).otherwise(F.lower(plain))
+    short = F.trim(F.regexp_replace(plain, f"(?i){_ENDING}", ""))
+    return F.when(F.length(short) > 0, short).otherwise(plain)
+
+
+def canonical(name: Column, aliases: dict[str, str] | None = None) -> Column:
+    """The reduced name; an alias, looked up in any case before and after, stands for its reduced target."""
+    plain, short = F.trim(F.regexp_replace(name, "\\s+", " ")), reduced(name)
+    if not aliases:
+        return short
+    keys = F.create_map(*(F.lit(x) for k, v in aliases.items() for x in (re.sub(r"\s+", " ", k.strip()).lower(), v)))
+    return F.coalesce(reduced(keys[F.lower(plain)]), reduced(keys[F.lower(short)]), short)
+
+
+def _nfkc(text: Column) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(run, T.StringType())(text)
+
+
+def normal(name: Column, aliases: dict[str, str] | None = None) -> Column:
+    """A key for all spellings of a name: NFKC, no quotes around it, no possessive, no legal form, lower case (Turkish I aware)."""
+    text = F.trim(F.regexp_replace(F.when(name.rlike("[^\\x00-\\x7F]"), _nfkc(name)).otherwise(name), "\\s+", " "))
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, "^[(\"'“„\\[]+", ""), "('s|’s|'|’|[.,;:!?\"”“)\\]])+$", ""))
+    text = canonical(text, aliases)
+    turkish = text.rlike("[çğıöşüÇĞİÖŞÜ]")
+    return F.when(turkish, F.lower(F.translate(text, "Iİ", "ıi"))).otherwise(F.lower(text))
+
+
+def canonical_list(names: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Canonical names, each once and in order, without empty ones."""
+    return F.array_distinct(F.filter(F.transform(names, lambda x: canonical(x, aliases)), lambda x: F.length(x) > 0))
+
+
+def capitalised(text: Column) -> Column:
+    """The default entities: runs of capitalised words, each once; single stop words are none."""
+    runs = F.regexp_extract_all(text, F.lit("(\\p{Lu}[\\p{L}\\p{N}'’-]+(?: \\p{Lu}[\\p{L}\\p{N}'’-]+)*)"), 1)
+    return F.array_distinct(F.filter(runs, lambda x: ~F.lower(x).isin(*BRIDGE_STOP)))
+
+
+def _any(table: dict[str, tuple[str, ...]], langs: tuple[str, ...] | None) -> str:
+    return "|".join(re.escape(p) for lang, held in table.items() if not langs or lang in langs for p in held)
+
+
+def _opens(text: Column, phrases: str) -> Column:
+    return F.lower(F.trim(text)).rlike(f"^({phrases})([^\\p{{L}}\\p{{N}}]|$)")
 
 
-def points_back(text: Column) -> Column:
-    return F.lower(text).rlike(f"^({'|'.join(DEICTICS)})([^a-z0-9]|$)")
+def points_back(text: Column, langs: tuple[str, ...] | None = None) -> Column:
+    return _opens(text, _any(POINTING_CONNECTIVES, langs) + "|" + _any(DEICTICS, langs))
+
+
+def asserts_cause(text: Column, langs: tuple[str, ...] | None = None) -> Column:
+    return F.lower(F.trim(text)).rlike(f"({_any(CAUSAL_VERBS, langs)})")
+
+
+def back_referenced_cause(text: Column, langs: tuple[str, ...] | None = None) -> Column:
+    """Whether a sentence says, by its opening alone, that the one before caused it."""
+    return _opens(text, _any(POINTING_CONNECTIVES, langs)) | (_opens(text, _any(DEICTICS, langs)) & asserts_cause(text, langs))
+
+
+def is_question(text: Column) -> Column:
+    return F.lower(F.trim(text)).rlike(f"(\\?\\s*$)|(^({'|'.join(QUESTION_WORDS)})\\b)")
+
+
+def parsed_time(text: Column) -> Column:
+    """An ISO time, with Z or an offset or none, as UTC without zone; null if it is none."""
+    return F.try_to_timestamp(F.regexp_replace(text, "[Zz]$", "+00:00")).cast("timestamp_ntz")
+
+
+def prefixed(text: Column, model: str, query: bool) -> Column:
+    """The text as embedding models of a family want it."""
+    # Prefixes of queries and of documents, by model family.
+    prefixes = {"e5": ("query: ", "passage: "), "nomic": ("search_query: ", "search_document: ")}
+    found = next((p for family, p in prefixes.items() if family in model.lower()), ("", ""))
+    return F.concat(F.lit(found[0 if query else 1]), text)
+
+
+_CUES = [(re.compile(rf"\b{re.escape(cue)}\b" if cue.isascii() else re.escape(cue)), cue, cue in CAUSE_BEFORE) for cue in CAUSE_AFTER + CAUSE_BEFORE]
+_CLAUSE = re.compile(f"[{re.escape(CLAUSE_ENDS)}]")
+_ANY_CUE = "|".join(re.escape(c) for c in CAUSE_AFTER + CAUSE_BEFORE)
+
+
+def cue_relation(text: str | None) -> tuple[str, str] | None:
+    """(cause, effect) around the first connective that has both; clauses end spans."""
+    low = (text or "").lower()
+    if len(low) != len(text or ""):  # a letter whose lower case is longer moves all places
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    found = sorted((m.start(), -len(cue), cue, before) for rx, cue, before in _CUES for m in rx.finditer(low))
+    for at, _, cue, before in found:
+        head = text[:at]
+        last = re.search(r"([^\W_]|')*[^\W_](?=[\W_]*\Z)", head)
+        if cue in NOUNS and last and last[0].lower() in DETERMINERS:
+            continue
+        left = _CLAUSE.split(head)[-1].strip(SPAN_EDGES).strip()
+        right = _CLAUSE.split(text[at + len(cue) :], maxsplit=1)[0].strip(SPAN_EDGES).strip()
+        cause, effect = (left, right) if before else (right, left)
+        if len(left) >= 2 and len(right) >= 2 and cause.lower() not in PRONOUNS:
+            return cause, effect
+    return None
 
 
 def causal_cues(text: Column) -> Column:
-    """struct<cause, effect> around the earliest connective (the longest on ties), null without one."""
-    low = F.lower(text)
-    at = lambda cue: F.regexp_instr(low, F.lit(f"\\b{cue}\\b"))
-    ordered = sorted(CUES, key=len, reverse=True)
-    first = F.array_min(F.filter(F.array(*(F.when(at(c) > 0, at(c)) for c in ordered)), lambda x: x.isNotNull()))
-    out = F.lit(None).cast("struct<cause:string,effect:string>")
-    for cue in reversed(ordered):
-        before = F.trim(F.regexp_replace(F.substring(text, F.lit(1), at(cue) - 1), "[ ,;:.]+$", ""))
-        after = F.trim(F.regexp_replace(F.substring(text, at(cue) + len(cue), F.length(text)), "[,;:.!?].*$", ""))
-        pair = (before, after) if CUES[cue] else (after, before)
-        good = (F.length(before) >= 2) & (F.length(after) >= 2)
-        out = F.when((at(cue) > 0) & (at(cue) == first) & good, F.struct(pair[0].alias("cause"), pair[1].alias("effect"))).otherwise(out)
-    return out
-
-
-def bio_decode(tags: DataFrame) -> DataFrame:
+    """struct<cause, effect> around the first usable connective, null without one."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cue_relation(x) or (None, None) for x in texts], columns=["cause", "effect"], dtype="object")
+
+    kind = T.StructType([T.StructField("cause", T.StringType()), T.StructField("effect", T.StringType())])
+    found = F.pandas_udf(run, kind)(F.when(F.lower(text).rlike(_ANY_CUE), text))
+    return F.when(found["cause"].isNotNull(), found)
+
+
+def relations(pairs: Column) -> Column:
+    """Pairs (cause, effect) without empty, self and repeated ones."""
+    clean = F.transform(pairs, lambda p: F.struct(F.trim(p["cause"]).alias("cause"), F.trim(p["effect"]).alias("effect")))
+    return F.array_distinct(F.filter(clean, lambda p: (F.length(p["cause"]) > 0) & (F.length(p["effect"]) > 0) & (F.lower(p["cause"]) != F.lower(p["effect"]))))
+
+
+def conflict_reply(reply: Column) -> Column:
+    """What a model says in JSON, {"conflict": true or false}; null for anything else."""
+    return F.from_json(reply, "conflict boolean", {"mode": "PERMISSIVE"})["conflict"]
+
+
+def bio_decode(tags: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """(text_id, kind, low, high) from (text_id, pos, tag, low, high): B- begins a span, I- of its kind goes on."""
     w = Window.partitionBy("text_id").orderBy("pos")
     kind, last = F.substring("tag", 3, 64), F.lag("tag").over(w)
     fresh = F.col("tag").startswith("B-") | (F.col("tag").startswith("I-") & ~F.coalesce(F.substring(last, 3, 64) == kind, F.lit(False)))
     df = tags.where(F.col("high") > F.col("low")).withColumns({"kind": kind, "fresh": fresh.cast("int")})
     df = df.withColumn("span", F.sum("fresh").over(w)).where("tag <> 'O'")
+    if kinds:
+        df = df.where(F.col("kind").isin(*kinds))
     return df.groupBy("text_id", "span", "kind").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("span")

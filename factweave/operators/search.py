@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.functions.text import trigrams, words
+from factweave.functions.text import jaccard, trigrams, words
 from factweave.functions.vector import cosine
+from factweave.session import checkpoint
 
 
 def knn(nodes: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
@@ -20,55 +21,132 @@ def knn(nodes: DataFrame, query: list[float], k: int, where: Column | None = Non
     return df.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "content").limit(k).select("content", "score")
 
 
-def knn_join(queries: DataFrame, nodes: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(query, content, score): for each query (query, embedding) its k nearest nodes other than itself.
+def scored(nodes: DataFrame, query: list[float]) -> DataFrame:
+    """(content, score) of all nodes."""
+    return nodes.select("content", F.round(cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in query))), 6).alias("score"))
+
+
+def knn_join(queries: DataFrame, nodes: DataFrame, k: int, block: int = 4096, by: str | None = None) -> DataFrame:
+    """(query, content, score, rank): for each query (query, embedding) its k nearest nodes other than itself.
 
     Queries and nodes are dealt into blocks; a task multiplies two blocks and keeps k per query, so pairs never become
-    rows, and the last step ranks k rows a query and block.
+    rows, and the last step ranks k rows a query and block.  With by, only blocks with the same value meet.
     """
-    def blocks(df: DataFrame, key: str, name: str) -> DataFrame:
+    key = [by] if by else []
+
+    def blocks(df: DataFrame, name: str, short: str) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                for low in range(0, len(f), block):
-                    x = f.iloc[low : low + block]
-                    yield pd.DataFrame({f"{name}_keys": [list(x[key])], f"{name}_data": [np.stack(x.embedding.to_numpy()).astype("<f8").tobytes()]})
+                for value, part in f.groupby(by, sort=False) if by else [(None, f)]:
+                    for low in range(0, len(part), block):
+                        x = part.iloc[low : low + block]
+                        row = {f"{short}_keys": [list(x[name])], f"{short}_data": [np.stack(x.embedding.to_numpy()).astype("<f8").tobytes()]}
+                        yield pd.DataFrame({by: [value]} | row if by else row)
 
-        return df.select(key, "embedding").mapInPandas(run, f"{name}_keys array<string>, {name}_data binary")
+        kind = f"{by} {dict(df.dtypes)[by]}, " if by else ""
+        return df.select(*key, name, "embedding").mapInPandas(run, f"{kind}{short}_keys array<string>, {short}_data binary")
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for x in f.itertuples():
                 a, b = (np.frombuffer(d, "<f8").reshape(len(n), -1) for d, n in ((x.q_data, x.q_keys), (x.n_data, x.n_keys)))
                 unit = lambda v: v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
-                scores = np.round(unit(a) @ unit(b).T, 6)
                 names = np.array(x.n_keys, object)
-                rank = np.argsort(np.argsort(names.astype(str)))
-                for q, row in zip(x.q_keys, scores, strict=True):
-                    row = np.where(names == q, -2, row)
-                    top = np.lexsort((rank, -row))[:k]
-                    yield pd.DataFrame({"query": q, "content": names[top], "score": row[top]})
-
-    pairs = blocks(queries, "query", "q").crossJoin(blocks(nodes, "content", "n"))
-    found = pairs.mapInPandas(best, "query string, content string, score double").where("score > -2")
+                order = np.argsort(names.astype(str), kind="stable")
+                names, b = names[order], b[order]
+                asked, place = np.array(x.q_keys, object), {name: i for i, name in enumerate(names)}
+                # millionths first, then the name: one number to sort by
+                worth = np.rint((unit(a) @ unit(b).T) * 1e6).astype(np.int64)
+                rank = -worth * (len(names) + 1) + np.arange(len(names))
+                for i, q in enumerate(asked):
+                    if q in place:
+                        rank[i, place[q]] = np.iinfo(np.int64).max
+                top = np.argsort(rank, axis=1)[:, :k] if len(names) <= 4 * k else np.argpartition(rank, k - 1, axis=1)[:, :k]
+                row = np.repeat(np.arange(len(asked)), top.shape[1])
+                col = top.ravel()
+                good = rank[row, col] < np.iinfo(np.int64).max
+                yield pd.DataFrame({"query": asked[row[good]], "content": names[col[good]], "score": worth[row[good], col[good]] / 1e6})
+
+    left, right = blocks(queries, "query", "q"), blocks(nodes, "content", "n")
+    pairs = left.join(right, by) if by else left.crossJoin(right)
+    found = pairs.drop(*key).mapInPandas(best, "query string, content string, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "content")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def keyword(docs: DataFrame, query: list[str], k: int) -> DataFrame:
-    """(content, score): sum of ln(1 + N/df) over the query's words that a document (content, text) has."""
+def cells_of(nodes: DataFrame, cells: int, sample: int = 10_000, rounds: int = 8) -> np.ndarray:
+    """Centres of so many cells, fitted on the `sample` nodes (content, embedding) with the smallest hash."""
+    rows = nodes.select("embedding").orderBy(F.xxhash64("content"), "content").limit(sample).collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    if not len(x):
+        return np.zeros((1, 1))
+    x /= np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
+    centre = x[: min(cells, len(x))].copy()
+    for _ in range(rounds):
+        own = (x @ centre.T).argmax(1)
+        for i in range(len(centre)):
+            if (own == i).any():
+                centre[i] = x[own == i].mean(0)
+        centre /= np.where((n := np.linalg.norm(centre, axis=1, keepdims=True)) == 0, 1, n)
+    return centre
+
+
+def knn_join_approximate(queries: DataFrame, nodes: DataFrame, k: int, cells: int = 32, probe: int = 16, salts: int = 4) -> DataFrame:
+    """knn_join that compares a query with the nodes of the `probe` cells nearest to it only, exactly within them.
+
+    Every node is in the cell of its nearest centre.  A cell is dealt to `salts` tasks and its queries to each of them, so
+    a cell that holds much of the table doesn't meet in one.
+    """
+    centre = cells_of(nodes, cells)
+
+    @F.pandas_udf("array<long>")
+    def near(embedding: pd.Series) -> pd.Series:
+        x = np.stack(embedding.to_numpy()).astype(float)
+        return pd.Series(list(np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :probe]))
+
+    turn = F.pmod(F.xxhash64("content"), F.lit(salts))
+    held = nodes.select("content", "embedding", (near("embedding")[0] * salts + turn).alias("cell"))
+    asked = queries.select("query", "embedding", F.explode(near("embedding")).alias("own"))
+    asked = asked.select("query", "embedding", F.explode(F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.col("own") * salts + i)).alias("cell"))
+    return knn_join(asked, held, k, by="cell")
+
+
+def ranked(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with its rows' ranks in a total order, without a task that has them all.
+
+    Ranges of the order are sorted apart; only their sizes reach the driver.
+    """
+    df = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(name, 33)
+    sizes = {r["part"]: r["n"] for r in df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = np.cumsum([0, *(sizes.get(i, 0) for i in range(max(sizes, default=0)))])
+    offset = F.element_at(F.array(*(F.lit(int(x)) for x in before)), part.cast("int") + 1)
+    return df.withColumn(name, (offset + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int"))
+
+
+def keyword(docs: DataFrame, query: list[str], k: int | None) -> DataFrame:
+    """(content, score), all without k: sum of ln(1 + N/df) over the query's words that a document (content, text) has."""
     held = docs.select("content", F.array_intersect(words(F.col("text")), F.array(*map(F.lit, query))).alias("hit"))
     n = held.agg(*(F.sum(F.array_contains("hit", w).cast("long")).alias(f"df{i}") for i, w in enumerate(query)), F.count(F.lit(1)).alias("n"))
     score = sum((F.when(F.array_contains("hit", w), F.log(1 + F.col("n") / F.col(f"df{i}"))).otherwise(0.0) for i, w in enumerate(query)), F.lit(0.0))
     found = held.crossJoin(F.broadcast(n)).where(F.size("hit") > 0)
-    return found.select("content", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "content").limit(k)
+    found = found.select("content", F.round(score, 6).alias("score"))
+    return found if k is None else found.orderBy(F.desc("score"), "content").limit(k)
 
 
-def fuse(a: DataFrame, b: DataFrame, k: int = 60, window: int | None = None) -> DataFrame:
-    """Reciprocal rank fusion of (content, score); a missing rank adds nothing, or counts as window + 1."""
-    w = Window.orderBy(F.desc("score"), "content")
-    x, y = (df.select("content", F.row_number().over(w).alias(r)) for df, r in ((a, "ra"), (b, "rb")))
+def fuse(a: DataFrame, b: DataFrame, k: int = 60, window: int | None = None, nearest: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion of (content, score).
+
+    A missing rank adds nothing.  With window, both lists end there and a missing rank counts as window + 1; with nearest,
+    only the first so many of a are candidates.
+    """
+    x, y = (ranked(df.select("content", "score"), r, F.desc("score"), F.col("content")).select("content", r) for df, r in ((a, "ra"), (b, "rb")))
+    if window is not None:
+        x, y = x.where(F.col("ra") <= window), y.where(F.col("rb") <= window)
+    if nearest is not None:
+        x = x.where(F.col("ra") <= nearest)
     part = lambda r: F.coalesce(1.0 / (k + F.col(r)), F.lit(0.0 if window is None else 1.0 / (k + window + 1)))
-    both = x.join(y, "content", "full_outer")
+    both = x.join(y, "content", "full_outer" if nearest is None else "left")
     return both.select("content", F.round(part("ra") + part("rb"), 9).alias("score"))
 
 
@@ -80,8 +158,10 @@ def blend(hits: DataFrame, weight: float) -> DataFrame:
     return df.select("content", F.round((1 - weight) * scaled("score", "s0", "s1") + weight * scaled("ts", "t0", "t1"), 6).alias("score"))
 
 
-def fuzzy_keyword(docs: DataFrame, query: list[str], k: int, least: float = 0.45) -> DataFrame:
-    """Like keyword, but a document has a query word if any of its words shares so many trigrams with it."""
+def fuzzy_keyword(docs: DataFrame, query: list[str], k: int | None, least: float = 0.45) -> DataFrame:
+    """Like keyword, but a document has a query word if any of its words shares so many trigrams with it; all hits without k."""
+    if not query:
+        return docs.sparkSession.createDataFrame([], "content string, score double")
     held = docs.select("content", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
     grams = held.select("word").distinct().withColumn("t", trigrams(F.col("word"))).select("word", F.size("t").alias("n"), F.explode("t").alias("g"))
     spelled = ((q, {f"  {q.lower()} "[i : i + 3] for i in range(len(q) + 1)}) for q in query)
@@ -92,7 +172,24 @@ def fuzzy_keyword(docs: DataFrame, query: list[str], k: int, least: float = 0.45
     weights = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))
     # as many rows as query words
     scored = hits.join(F.broadcast(weights), "q").groupBy("content").agg(F.round(F.sum(F.log(1 + F.col("n") / F.col("df"))), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "content").limit(k)
+    return scored if k is None else scored.orderBy(F.desc("score"), "content").limit(k)
+
+
+def similar_text(docs: DataFrame, query: str, k: int, least: float = 0.45) -> DataFrame:
+    """(content, score): facts by fuzzy keyword, and by trigrams of whole texts where no word of the query is in any."""
+    words_ = [w for w in docs.sparkSession.range(1).select(words(F.lit(query)).alias("w")).first()["w"]]
+    found = fuzzy_keyword(docs, list(dict.fromkeys(words_)), k, least)
+    if not found.isEmpty():
+        return found
+    score = F.round(jaccard(trigrams(F.col("text")), trigrams(F.lit(query))), 6)
+    return docs.select("content", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "content").limit(k)
+
+
+def fill(first: DataFrame, more: DataFrame, k: int) -> DataFrame:
+    """k contents: those of first (content, seq), then those of more, each once and in their order."""
+    both = first.select("content", F.lit(0).alias("part"), "seq").unionByName(more.select("content", F.lit(1).alias("part"), "seq"))
+    one = both.groupBy("content").agg(F.min(F.struct("part", "seq")).alias("at"))
+    return one.select("content", "at.part", "at.seq").orderBy("part", "seq", "content").limit(k)
 
 
 def phrase(docs: DataFrame, query: str) -> DataFrame:

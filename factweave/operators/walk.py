@@ -27,12 +27,17 @@ def nearest(adjacent: DataFrame, limit: int) -> DataFrame:
     return adjacent.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def held(edges: DataFrame) -> DataFrame:
+    """edges (src, dst), each once and written once, so that levels don't derive them again."""
+    return checkpoint(edges.select("src", "dst").distinct())
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int, allowed: Column | None = None) -> DataFrame:
     """(node, depth, parent) of what starts(node) reach along edges (src, dst); of several parents, the least.
 
     allowed: a condition on dst that every step must meet; starts aren't asked.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = edges.select("src", "dst")
     if allowed is not None:
         steps = steps.where(allowed)
     seen = checkpoint(starts.select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).dropDuplicates(["node"]))

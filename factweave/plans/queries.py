@@ -73,7 +73,9 @@ e AS (SELECT event_type AS src, 'e'||event_id AS dst, NULL AS label FROM n UNION
 
 
 def first_vector(s, d):
-    return t(s, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+    """The embedding with the smallest id; a zero of one dimension if there is none."""
+    row = t(s, d, "embeddings").orderBy("vec_id").select("embedding").first()
+    return row[0] if row else [0.0]
 
 
 COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -114,7 +116,7 @@ def recency_blend(s, d):
 
 
 WORDS = ["the", "and", "trash", "nicht"]
-KEY = f"""w AS (SELECT doc_id, list_intersect(list_distinct(regexp_extract_all(lower(text),'[a-z]{{2,}}')), {WORDS}) AS hit FROM documents),
+KEY = rf"""w AS (SELECT doc_id, list_intersect(list_distinct(regexp_extract_all(lower(text),'[\p{{L}}\p{{M}}\p{{N}}_]{{2,}}')), {WORDS}) AS hit FROM documents),
 k AS (SELECT count(*) AS n, {','.join(f"sum(list_contains(hit,'{w}')::INT) AS d{i}" for i, w in enumerate(WORDS))} FROM w),
 kw AS (SELECT 'd'||doc_id AS content, round({'+'.join(f"CASE WHEN list_contains(hit,'{w}') THEN ln(1+n/d{i}) ELSE 0 END" for i, w in enumerate(WORDS))},6) AS score FROM w, k WHERE len(hit)>0)"""
 
@@ -128,13 +130,15 @@ def keyword_idf_top(s, d):
     return search.keyword(named_docs(s, d), WORDS, 25)
 
 
-FUSE = f"""WITH {KEY}, x AS (SELECT content, row_number() OVER (ORDER BY score DESC, content) AS ra FROM (SELECT replace(content,'v','d') AS content, score FROM ({NEAR} ORDER BY score DESC, content LIMIT 30))),
-y AS (SELECT content, row_number() OVER (ORDER BY score DESC, content) AS rb FROM (SELECT * FROM kw ORDER BY score DESC, content LIMIT 30))"""
+FUSE = f"""WITH {KEY}, x AS (SELECT content, row_number() OVER (ORDER BY score DESC, content) AS ra FROM (SELECT replace(content,'v','d') AS content, score FROM ({NEAR}))),
+y AS (SELECT content, row_number() OVER (ORDER BY score DESC, content) AS rb FROM kw)"""
+WINDOWED = FUSE.replace("FROM kw)", "FROM kw QUALIFY rb<=100)").replace(f"FROM ({NEAR}))))", f"FROM ({NEAR}))) QUALIFY ra<=100)").replace(f"FROM ({NEAR})))", f"FROM ({NEAR})) QUALIFY ra<=100)")
 
 
 def both_hits(s, d):
-    near = search.knn(g_vec(s, d), first_vector(s, d), 30).withColumn("content", F.regexp_replace("content", "v", "d"))
-    return near, search.keyword(named_docs(s, d), WORDS, 30)
+    """All embeddings and all keyword hits, each with a score."""
+    near = search.scored(g_vec(s, d), first_vector(s, d)).withColumn("content", F.regexp_replace("content", "v", "d"))
+    return near, search.keyword(named_docs(s, d), WORDS, None)
 
 
 @query(FUSE + " SELECT content, round(coalesce(1.0::DOUBLE/(60+ra),0)+coalesce(1.0::DOUBLE/(60+rb),0),9) AS score FROM x FULL JOIN y USING (content)")
@@ -142,16 +146,23 @@ def hybrid_rrf(s, d):
     return search.fuse(*both_hits(s, d))
 
 
-@query(FUSE + " SELECT content, round(coalesce(1.0::DOUBLE/(60+ra),1.0::DOUBLE/91)+coalesce(1.0::DOUBLE/(60+rb),1.0::DOUBLE/91),9) AS score FROM x FULL JOIN y USING (content)")
+@query(WINDOWED + " SELECT content, round(coalesce(1.0::DOUBLE/(60+ra),1.0::DOUBLE/161)+coalesce(1.0::DOUBLE/(60+rb),1.0::DOUBLE/161),9) AS score FROM x FULL JOIN y USING (content)")
 def hybrid_rrf_window(s, d):
-    return search.fuse(*both_hits(s, d), window=30)
+    """Both channels as far as their window, for ten results: max(10 * 10, 100)."""
+    return search.fuse(*both_hits(s, d), window=100)
+
+
+@query(FUSE + " SELECT content, round(1.0::DOUBLE/(60+ra)+coalesce(1.0::DOUBLE/(60+rb),0),9) AS score FROM x LEFT JOIN y USING (content) WHERE ra<=30 ORDER BY score DESC, content LIMIT 10")
+def hybrid_rrf_left(s, d):
+    """Ten of the 30 nearest, keyword ranks added where they have one."""
+    return search.fuse(*both_hits(s, d), nearest=30).orderBy(F.desc("score"), "content").limit(10)
 
 
 FUZZY = ["trash", "nicht", "license"]
 DUCK_TRIGRAMS = "list_distinct(list_transform(range(1,len({0})+2), lambda i: substr('  '||{0}||' ', i, 3)))"
 
 
-@query(f"""WITH w AS (SELECT DISTINCT 'd'||doc_id AS content, unnest(regexp_extract_all(lower(text),'[a-z]{{2,}}')) AS word FROM documents),
+@query(rf"""WITH w AS (SELECT DISTINCT 'd'||doc_id AS content, unnest(regexp_extract_all(lower(text),'[\p{{L}}\p{{M}}\p{{N}}_]{{2,}}')) AS word FROM documents),
 v AS (SELECT word, q, {DUCK_TRIGRAMS.format("word")} AS t, {DUCK_TRIGRAMS.format("q")} AS u FROM (SELECT DISTINCT word FROM w), (SELECT unnest({FUZZY}) AS q)),
 h AS (SELECT DISTINCT content, q FROM w JOIN v USING (word) WHERE len(list_intersect(t,u))::DOUBLE/len(list_distinct(t||u))>=0.45),
 f AS (SELECT q, count(*) AS df FROM h GROUP BY q)
@@ -182,29 +193,47 @@ def approx_tokens(s, d):
     return g_doc(s, d).select("doc_id", X.approx_tokens(F.col("text")).alias("tokens"))
 
 
-@query("""SELECT conv_id, turn, len(list_filter(list_transform(string_split(regexp_replace(text,'([.!?]) +([A-Z])', '\\1' || chr(10) || '\\2','g'), chr(10)), lambda x: trim(x)), lambda x: length(x)>0))::BIGINT AS n FROM conversations""")
+SENTENCES = "regexp_replace({0}, '\\n+', chr(10), 'g')"
+for _pattern, _new in X.SENTENCE_RULES:
+    SENTENCES = "regexp_replace(" + SENTENCES + ", '" + _pattern.replace("'", "''") + "', '" + _new.replace("$", "\\") + "', 'g')"
+SENTENCES = "list_filter(list_transform(string_split(replace(" + SENTENCES.replace("{L}", "{{L}}").replace("{N}", "{{N}}") + ", chr(1), chr(10)), chr(10)), lambda x: trim(x)), lambda x: length(x)>0)"
+
+
+@query(f"SELECT conv_id, turn, len({SENTENCES.format('text')})::BIGINT AS n FROM conversations")
 def sentence_split_counts(s, d):
     return t(s, d, "conversations").select("conv_id", "turn", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query(f"""SELECT c_custkey, regexp_replace(lower(trim(regexp_replace(c_name||'  Co., Ltd.','\\s+',' ','g'))), '([ ,.]+({'|'.join(X.SUFFIXES)})[.]?)+$','') AS name FROM customer""")
+@query(f"""SELECT c_custkey, CASE WHEN length(r)>0 THEN r ELSE p END AS name FROM (SELECT c_custkey, p, trim(regexp_replace(p, '(?i)([,\\s]+({'|'.join(x.replace('.', chr(92) + '.') for x in X.SUFFIXES)})\\.?)+$', '')) AS r
+FROM (SELECT c_custkey, trim(regexp_replace(c_name||'  Group, Co., Ltd.','\\s+',' ','g')) AS p FROM customer))""")
 def canonical_names(s, d):
-    return t(s, d, "customer").select("c_custkey", X.canonical(F.concat("c_name", F.lit("  Co., Ltd."))).alias("name"))
+    return t(s, d, "customer").select("c_custkey", X.canonical(F.concat("c_name", F.lit("  Group, Co., Ltd."))).alias("name"))
+
+
+BACK = """(regexp_matches(lower(trim({0})), '^({1})([^\\p{{L}}\\p{{N}}]|$)') OR (regexp_matches(lower(trim({0})), '^({2})([^\\p{{L}}\\p{{N}}]|$)') AND regexp_matches(lower(trim({0})), '({3})')))"""
+_flat = lambda table: "|".join(p.replace("'", "''") for held in table.values() for p in held)
+BACK = BACK.replace("{1}", _flat(X.POINTING_CONNECTIVES)).replace("{2}", _flat(X.DEICTICS)).replace("{3}", _flat(X.CAUSAL_VERBS))
 
 
-@query(f"""SELECT conv_id, turn, pv AS previous FROM (SELECT conv_id, turn, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS pv FROM conversations)
-WHERE pv IS NOT NULL AND regexp_matches(lower(text), '^({'|'.join(X.DEICTICS)})([^a-z0-9]|$)')""")
+@query(f"""SELECT conv_id, turn, pv AS previous FROM (SELECT conv_id, turn, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS pv FROM conversations) WHERE pv IS NOT NULL AND {BACK.format('text')}""")
 def backref_pairs(s, d):
     c = t(s, d, "conversations").withColumn("previous", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return c.where(F.col("previous").isNotNull() & X.points_back(F.col("text"))).select("conv_id", "turn", "previous")
+    return c.where(F.col("previous").isNotNull() & X.back_referenced_cause(F.col("text"))).select("conv_id", "turn", "previous")
 
 
-@query("""WITH w AS (SELECT p_partkey, list_distinct(list_transform(regexp_extract_all(lower(p_name),'[a-z]{4,}'), lambda x: substr(x,1,5))) AS t FROM part)
-SELECT p_partkey, len(list_intersect(t, (SELECT t FROM w WHERE p_partkey=0)))::BIGINT AS shared FROM w WHERE len(list_intersect(t, (SELECT t FROM w WHERE p_partkey=0)))>0""")
+def duck_quoted(words) -> str:
+    return "[" + ",".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+BRIDGE = "list_distinct(list_transform(list_filter(regexp_extract_all({0}, '\\p{{L}}+'), lambda w: (length(w)>=4 OR (length(w)=3 AND upper(w)=w AND lower(w)<>w)) AND NOT list_contains(STOP, lower(w))), lambda w: substr(lower(w),1,5)))".replace("STOP", duck_quoted(X.BRIDGE_STOP))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {BRIDGE.format('text')} AS t FROM documents WHERE text IS NOT NULL), q AS (SELECT t AS u FROM w WHERE doc_id=(SELECT min(doc_id) FROM w))
+SELECT doc_id, len(list_intersect(t, u))::BIGINT AS shared FROM w, q WHERE len(list_intersect(t, u))>0""")
 def bridge_tokens_overlap(s, d):
-    w = t(s, d, "part").select("p_partkey", X.bridge_tokens(F.col("p_name")).alias("t"))
-    one = w.where("p_partkey = 0").select(F.col("t").alias("q"))
-    return w.crossJoin(F.broadcast(one)).select("p_partkey", F.size(F.array_intersect("t", "q")).cast("long").alias("shared")).where("shared > 0")
+    w = t(s, d, "documents").where("text is not null").select("doc_id", X.bridge_tokens(F.col("text")).alias("t"))
+    one = w.orderBy("doc_id").limit(1).select(F.col("t").alias("u"))
+    return w.crossJoin(F.broadcast(one)).select("doc_id", F.size(F.array_intersect("t", "u")).cast("long").alias("shared")).where("shared > 0")
 
 
 @query("""SELECT * FROM (VALUES ('The dam failed because rain fell.','rain fell','The dam failed'),('Heat leads to drought.','Heat','drought'),('Nothing here.',NULL,NULL)) v(text,cause,effect)""")
@@ -241,6 +270,13 @@ def delete_cascade(s, d):
     return store.delete_nodes(gone, g_sup(s, d), gone)[1]
 
 
+@query("SELECT 'p'||p_partkey AS content, 'part' AS kind FROM part WHERE p_size<=25 UNION ALL SELECT 's'||s_suppkey, 'supplier' FROM supplier")
+def delete_nodes_left(s, d):
+    parts = t(s, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("content"), F.lit("part").alias("kind"), "p_size")
+    nodes = parts.drop("p_size").unionAll(t(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey"), F.lit("supplier")))
+    return store.delete_nodes(nodes, g_sup(s, d), parts.where("p_size > 25"))[0]
+
+
 @query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey=p_partkey AND l_quantity>=45)")
 def orphan_purge(s, d):
     line = t(s, d, "lineitem").where("l_quantity >= 45")
@@ -301,14 +337,14 @@ def start(s, name="s0"):
 
 @query(f"WITH RECURSIVE {SUP}, {REACH} SELECT node, min(depth)::INT AS depth FROM r GROUP BY node")
 def discover_bfs(s, d):
-    return walk.reach(g_sup(s, d), start(s), 4).select("node", "depth")
+    return walk.reach(walk.held(g_sup(s, d)), start(s), 4).select("node", "depth")
 
 
 @query(f"""WITH RECURSIVE {SUP}, r AS (SELECT 's0' AS node, 0 AS depth UNION SELECT e.dst, r.depth+1 FROM r JOIN e ON e.src=r.node WHERE r.depth<2),
 p1 AS (SELECT e.dst AS node, min(e.src) AS parent FROM r JOIN e ON e.src=r.node WHERE r.depth=0 GROUP BY 1), p2 AS (SELECT e.dst AS node, min(e.src) AS parent FROM r JOIN e ON e.src=r.node WHERE r.depth=1 GROUP BY 1)
 SELECT 's0' AS node, 0 AS depth, 's0' AS path UNION ALL SELECT node, 1, 's0>'||node FROM p1 UNION ALL SELECT node, 2, 's0>'||parent||'>'||node FROM p2""")
 def discover_paths(s, d):
-    return walk.paths(walk.reach(g_sup(s, d), start(s), 2), 2).select("node", "depth", F.concat_ws(">", "path").alias("path"))
+    return walk.paths(walk.reach(walk.held(g_sup(s, d)), start(s), 2), 2).select("node", "depth", F.concat_ws(">", "path").alias("path"))
 
 
 @query(f"""WITH RECURSIVE {SUP}, r AS (SELECT 's0' AS node, 0 AS depth UNION SELECT e.dst, r.depth+1 FROM r JOIN e ON e.src=r.node WHERE r.depth<4 AND (e.dst[1]<>'o' OR right(e.dst,1)='0')) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""")
@@ -318,19 +354,19 @@ def walk_isolated(s, d):
 
 @query(f"WITH RECURSIVE {SUP}, {REACH} SELECT DISTINCT e.src AS cause, e.dst AS effect, (r.depth+1)::INT AS depth FROM r JOIN e ON e.src=r.node WHERE r.depth<4")
 def trace_effects(s, d):
-    edges = g_sup(s, d)
+    edges = walk.held(g_sup(s, d))
     return walk.hops(edges, walk.reach(edges, start(s), 4), 4)
 
 
 @query(f"""WITH RECURSIVE {SUP}, r AS (SELECT 'c1' AS node, 0 AS depth UNION SELECT e.src, r.depth+1 FROM r JOIN e ON e.dst=r.node WHERE r.depth<3) SELECT node, min(depth)::INT AS depth FROM r WHERE depth>0 AND node NOT IN (SELECT dst FROM e) GROUP BY node""")
 def root_causes(s, d):
-    back = walk.reverse(g_sup(s, d))
+    back = walk.held(walk.reverse(g_sup(s, d)))
     return walk.terminals(back, walk.reach(back, start(s, "c1"), 3))
 
 
 @query(f"WITH RECURSIVE {SUP}, {REACH} SELECT DISTINCT e.src AS cause, e.dst AS effect FROM r JOIN e ON e.src=r.node WHERE r.depth<3 AND e.dst='c1'")
 def causal_chain_last_hops(s, d):
-    edges = g_sup(s, d)
+    edges = walk.held(g_sup(s, d))
     return walk.hops(edges, walk.reach(edges, start(s), 3), 3).where("effect = 'c1'").select("cause", "effect")
 
 
@@ -339,14 +375,14 @@ st AS (SELECT src, dst, 1 AS cost FROM e UNION ALL SELECT a, b, 0 FROM t), r AS
 SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""")
 def walk_same_as(s, d):
     ties = t(s, d, "part").where("p_partkey % 10 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("a"), F.concat(F.lit("p"), F.col("p_partkey") + 1).alias("b"))
-    return walk.reach_with_aliases(g_sup(s, d), ties, start(s), 2).select("node", "depth")
+    return walk.reach_with_aliases(walk.held(g_sup(s, d)), ties, start(s), 2).select("node", "depth")
 
 
 @query(f"""WITH RECURSIVE {SUP}, m AS (SELECT src, dst, 1 AS f, 0 AS b FROM e UNION ALL SELECT dst, src, 0, 1 FROM e),
 r AS (SELECT 's0' AS node, 0 AS forward, 0 AS backward UNION SELECT m.dst, r.forward+m.f, r.backward+m.b FROM r JOIN m ON m.src=r.node WHERE r.forward+m.f<=1 AND r.backward+m.b<=1)
 SELECT node, forward, backward FROM r WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.node=r.node AND y.forward<=r.forward AND y.backward<=r.backward AND y.forward+y.backward<r.forward+r.backward)""")
 def walk_step_budgets(s, d):
-    return walk.budgeted(g_sup(s, d), start(s), 1, 1)
+    return walk.budgeted(walk.held(g_sup(s, d)), start(s), 1, 1)
 
 
 @query(f"""WITH {SUP}, m AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), z AS (SELECT 's0' AS node),
@@ -354,7 +390,7 @@ a AS (SELECT node FROM (SELECT DISTINCT m.dst AS node FROM z JOIN m ON m.src=z.n
 b AS (SELECT node FROM (SELECT DISTINCT m.dst AS node FROM a JOIN m ON m.src=a.node) WHERE node NOT IN (SELECT node FROM z UNION SELECT node FROM a) ORDER BY substr(node,2)::DOUBLE DESC, node LIMIT 5)
 SELECT node, 0 AS round FROM z UNION ALL SELECT node, 1 FROM a UNION ALL SELECT node, 2 FROM b""")
 def walk_reranked(s, d):
-    edges = g_sup(s, d)
+    edges = walk.held(g_sup(s, d))
     scores = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct().withColumn("score", F.substring("node", 2, 20).cast("double"))
     return walk.reranked(edges, scores, start(s), 3, 5)
 
@@ -365,7 +401,7 @@ z AS (SELECT 's0' AS node, 0 AS depth UNION SELECT k.dst, z.depth+1 FROM z JOIN
 def what_if_collapse(s, d):
     line = t(s, d, "lineitem")
     support = line.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_returnflag").alias("fact")).distinct()
-    return walk.collapsed(g_sup(s, d), support, s.createDataFrame([("N",)], "fact string"), start(s), 2)
+    return walk.collapsed(walk.held(g_sup(s, d)), support, s.createDataFrame([("N",)], "fact string"), start(s), 2)
 
 
 # time

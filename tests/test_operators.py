@@ -1,10 +1,16 @@
 """Operators on small graphs written out here."""
 
+import datetime as dt
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions import text, vector
+from factweave.operators import ingest as plans
 from factweave.operators import search, store, walk
 from factweave.sources import graph
+from factweave.streaming import ingest
 
 
 def pairs(df):
@@ -52,7 +58,7 @@ def test_blend_of_flat_scores(spark):
 
 def test_canonical_is_never_empty(spark):
     df = spark.createDataFrame([("Acme  Corp, Inc.",), ("Inc",)], "n string")
-    assert [r[0] for r in df.select(text.canonical(F.col("n"))).collect()] == ["acme", "inc"]
+    assert [r[0] for r in df.select(text.canonical(F.col("n"))).collect()] == ["Acme", "Inc"]
 
 
 def test_graph_documents(spark, tmp_path):
@@ -61,3 +67,101 @@ def test_graph_documents(spark, tmp_path):
     assert nodes.count() == 1 and pairs(edges) == [("a", "b", None)]
     nodes, edges = graph.read_json(spark, str(tmp_path / "none.json"))
     assert nodes.count() == 0 and edges.count() == 0
+
+
+def test_graph_documents_are_written_and_read(spark, tmp_path):
+    nodes = spark.createDataFrame([("b", "text", [1.0], None, None, ["t", "s"], None), ("a", "entity", [0.5], None, None, [], None)], graph.NODES)
+    edges = spark.createDataFrame([("a", "b", "causes")], "src string, dst string, label string")
+    graph.write_json(nodes, edges, str(tmp_path / "g"))
+    back, lines = graph.read_json(spark, str(tmp_path / "g"))
+    assert sorted((r["content"], r["type"], list(r["scopes"])) for r in back.collect()) == [("a", "entity", []), ("b", "text", ["s", "t"])] and pairs(lines) == [("a", "b", "causes")]
+    graph.write_parquet(nodes, edges, str(tmp_path / "p"))
+    inside, _ = graph.read_parquet(spark, str(tmp_path / "p"), ["s"])
+    assert [r["content"] for r in inside.collect()] == ["b"]
+
+
+def test_data_sets(spark):
+    assert len(graph.datasets()) == 6
+    for name in graph.datasets():
+        nodes, edges = graph.load_dataset(spark, name)
+        known = {r["content"] for r in nodes.collect()}
+        assert all(r["src"] in known and r["dst"] in known for r in edges.collect())
+    with pytest.raises(ValueError):
+        graph.load_dataset(spark, "none")
+
+
+def test_causal_cues():
+    cases = {
+        "The dam failed because rain fell.": ("rain fell", "The dam failed"),
+        "Heat leads to drought.": ("Heat", "drought"),
+        "Because of rain, the match stopped": None,  # nothing stands before it in its clause
+        "On Monday, the pump broke due to ice; nobody saw it": ("ice", "the pump broke"),
+        "They studied the causes of decay": None,
+        "Smoking causes cancer, doctors say": ("Smoking", "cancer"),
+        "which led to losses": None,
+        "Der Zug hielt wegen eines Signals": ("eines Signals", "Der Zug hielt"),
+        "停电导致停工": ("停电", "停工"),
+        "Sales fell as a result of the strike": ("the strike", "Sales fell"),
+        "Nothing here.": None,
+        None: None,
+    }
+    for sentence, want in cases.items():
+        assert text.cue_relation(sentence) == want, sentence
+
+
+def test_names_and_back_references(spark):
+    df = spark.createDataFrame([("Foo Group Holdings",), ("The  Fed",), ("AAPL",), ("  ",)], "n string")
+    aliases = {"the fed": "Federal Reserve", "aapl": "Apple Inc."}
+    assert [r[0] for r in df.select(text.canonical(F.col("n"), aliases)).collect()] == ["Foo", "Federal Reserve", "Apple", ""]
+    df = spark.createDataFrame([("“Bulk Export’s”",), ("Apple Inc.",), ("Işık",), ("ＡＢＣ",)], "n string")
+    assert [r[0] for r in df.select(text.normal(F.col("n"))).collect()] == ["bulk export", "apple", "ışık", "abc"]
+    df = spark.createDataFrame([("This broke the invoice run.",), ("This is fine.",), ("Dadurch fiel er aus.",), ("So, they left",), ("Sofas are sold",), ("Bu nedenle durdu",)], "t string")
+    assert [r[0] for r in df.select(text.back_referenced_cause(F.col("t"))).collect()] == [True, False, True, True, False, True]
+    df = spark.createDataFrame([("Dr. Who came. He left, e.g. by bus. Then\nA new line",)], "t string")
+    assert df.select(text.sentences(F.col("t"))).first()[0] == ["Dr. Who came.", "He left, e.g. by bus.", "Then", "A new line"]
+    df = spark.createDataFrame([('{"conflict": true}',), ("yes",)], "t string")
+    assert [r[0] for r in df.select(text.conflict_reply(F.col("t"))).collect()] == [True, None]
+
+
+def test_approximate_neighbours_are_nearly_exact(spark):
+    rng = np.random.default_rng(0)
+    centre = rng.normal(size=(12, 16))
+    rows = [(f"n{i}", (centre[i % 12] * (1 if i % 3 else 2) + rng.normal(size=16) * 0.7).tolist()) for i in range(1500)]
+    nodes = spark.createDataFrame(rows, "content string, embedding array<float>")
+    asked = nodes.where("substr(content, -2) = '00'").withColumnRenamed("content", "query")
+    exact = {(r["query"], r["content"]) for r in search.knn_join(asked, nodes, 10).collect()}
+    found = {(r["query"], r["content"]) for r in search.knn_join_approximate(asked, nodes, 10, cells=24, probe=8).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_ranks_are_global(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("content"), (F.col("id") * 37 % 101).alias("score")).repartition(5)
+    got = [(r["r"], r["content"]) for r in search.ranked(df, "r", F.desc("score"), F.col("content")).orderBy("r").collect()]
+    want = sorted(((-(i * 37 % 101), str(i)) for i in range(1000)))
+    assert got == [(i + 1, c) for i, (_, c) in enumerate(want)]
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    kind = "k string, at timestamp, v int"
+    src = str(tmp_path / "in")
+    put = lambda *rows: spark.createDataFrame([(k, dt.datetime(2024, 1, d), v) for k, d, v in rows], kind).coalesce(1).write.mode("append").parquet(src)
+    read = lambda: spark.readStream.schema(kind).parquet(src)
+    put(("a", 1, 1), ("b", 2, 2))
+    first = ingest.upsert(read(), "k", "at", str(tmp_path / "state"))
+    assert sorted((r["k"], r["v"]) for r in first.collect()) == [("a", 1), ("b", 2)]
+    put(("a", 3, 3), ("b", 1, 9))
+    again = ingest.upsert(read(), "k", "at", str(tmp_path / "state"))
+    assert sorted((r["k"], r["v"]) for r in again.collect()) == [("a", 3), ("b", 2)]
+    over = ingest.retired(read(), "k", "at", str(tmp_path / "versions"))
+    assert sorted((r["k"], r["v"]) for r in over.collect()) == [("a", 1), ("b", 9)]
+    none = spark.readStream.schema(kind).parquet(str(tmp_path / "in"), pathGlobFilter="*.nothing")
+    assert ingest.upsert(none, "k", "at", str(tmp_path / "empty")).count() == 0
+
+
+def test_streams_enrich_facts(spark, tmp_path):
+    kind = "seq long, text string, scopes array<string>"
+    spark.createDataFrame([(1, "Rain led to floods in Genoa.", ["s"])], kind).write.parquet(str(tmp_path / "in"))
+    nodes, edges = ingest.enriched(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "out"), plans.plan)
+    assert {"Rain", "floods in Genoa", "Genoa"} <= {r["content"] for r in nodes.collect()}
+    assert ("Rain", "floods in Genoa", "causes") in {(r["src"], r["dst"], r["label"]) for r in edges.collect()}
+    assert ingest.pending(spark, str(tmp_path / "out")) == 0
