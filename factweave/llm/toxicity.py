@@ -153,7 +153,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.bias + total[first[1:]] - total[first[:-1]], -500, 500)))
 
 
-def fit(rows: list[tuple[int, bytes, bytes]], strength: float = 100.0, l1: float = 1.3, l2: float = 0.02, rounds: int = 400) -> Classifier:
+def fit(rows: list[tuple[int, bytes, bytes]], strength: float = 100.0, l1: float = 0.3, l2: float = 0.1, rounds: int = 400) -> Classifier:
     """The classifier; strength weighs the counterfactual penalty."""
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():

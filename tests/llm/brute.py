@@ -138,3 +138,58 @@ def raked(rows, targets, rounds=300):
             weight = {c: w * targets[m].get(c[i], 0) / whole / own[c[i]] if own[c[i]] else 0 for c, w in weight.items()}
     most = max(weight[c] / n for c, n in cells.items())
     return [weight[tuple(c)] / cells[tuple(c)] / most if n else 0 for *c, n in rows]
+
+
+def op1_score(docs, depth):
+    """log10 probability of each text by context-tree weighting, node by node."""
+    stream = lambda t: bytes(depth) + lower(t).encode() + b"\0"
+    seen = defaultdict(lambda: [0, 0])
+
+    def decisions(raw, i):
+        node = 1
+        for k in range(7, -1, -1):
+            bit = raw[i] >> k & 1
+            yield node, bit
+            node = node << 1 | bit
+
+    for d, t in docs:
+        if d is None or zlib.crc32(str(d).encode()) % 5 != 1:
+            raw = stream(t)
+            for i in range(depth, len(raw)):
+                for node, bit in decisions(raw, i):
+                    for n in range(depth + 1):
+                        seen[raw[i - n : i], node][bit] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    children = defaultdict(list)
+    for context, node in list(seen):
+        if context:
+            children[context[1:], node].append((context, node))
+    weighted, own = {}, {}
+    for key in sorted(seen, key=lambda k: -len(k[0])):
+        a = kt(*seen[key])
+        if len(key[0]) == depth:
+            weighted[key], own[key] = a, 1.0
+        else:
+            b = sum(weighted[c] for c in children[key])
+            most = max(a, b)
+            weighted[key] = most + math.log(math.exp(a - most) + math.exp(b - most)) - math.log(2)
+            own[key] = math.exp(a - math.log(2) - weighted[key])
+    out = []
+    for _, t in docs:
+        raw, total = stream(t), 0.0
+        for i in range(depth, len(raw)):
+            for node, bit in decisions(raw, i):
+                path = []
+                for n in range(depth + 1):
+                    if (raw[i - n : i], node) not in seen:
+                        break
+                    path.append((raw[i - n : i], node))
+                p, left = (0.0, 1.0) if path else (0.5, 0.0)
+                for j, key in enumerate(path):
+                    share = 1.0 if j == len(path) - 1 else own[key]
+                    zeros, ones = seen[key]
+                    p += left * share * (ones + 0.5) / (zeros + ones + 1)
+                    left *= 1 - share
+                total += math.log10(p if bit else 1 - p)
+        out.append(total)
+    return out

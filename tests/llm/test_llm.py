@@ -78,6 +78,14 @@ def test_context_tree_weighting(docs, none, rows):
     assert ctw.score(none).count() == 0
 
 
+def test_scores_by_context_trees(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("abAB \u00e9") for _ in range(rng.randint(0, 30)))) for i in range(40)] + [(None, "abab"), (100, None), (101, "zzz"), (3, "repeated id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = [r["score"] for r in ctw.score(docs).collect()]
+    assert found == pytest.approx(brute.op1_score(rows, ctw.DEPTH), rel=1e-5, abs=1e-4)
+
+
 def test_code_lengths_are_a_distribution():
     table = pa.table({"text": pa.array(["the cat sat on the mat", "the dog ran"])})
     grams, _, _ = ctw._grams(table)
