@@ -236,16 +236,19 @@ def bridge_tokens_overlap(s, d):
     return w.crossJoin(F.broadcast(one)).select("doc_id", F.size(F.array_intersect("t", "u")).cast("long").alias("shared")).where("shared > 0")
 
 
-@query("""SELECT * FROM (VALUES ('The dam failed because rain fell.','rain fell','The dam failed'),('Heat leads to drought.','Heat','drought'),('Nothing here.',NULL,NULL)) v(text,cause,effect)""")
-def cues_literal(s, d):
-    rows = s.createDataFrame([("The dam failed because rain fell.",), ("Heat leads to drought.",), ("Nothing here.",)], "text string")
-    return rows.withColumn("c", X.causal_cues(F.col("text"))).select("text", "c.cause", "c.effect")
+TAGS = {"view": "B-LOOK", "click": "I-LOOK", "purchase": "B-BUY"}
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT,'ORG',0::BIGINT,9::BIGINT),(1::BIGINT,'LOC',14::BIGINT,20::BIGINT),(2::BIGINT,'ORG',0::BIGINT,4::BIGINT),(2::BIGINT,'ORG',5::BIGINT,9::BIGINT)) v(text_id,kind,low,high)")
+@query("""WITH x AS (SELECT user_id AS text_id, event_id AS pos, event_id*10 AS low, event_id*10+9 AS high, CASE event_type WHEN 'view' THEN 'B-LOOK' WHEN 'click' THEN 'I-LOOK' WHEN 'purchase' THEN 'B-BUY' ELSE 'O' END AS tag FROM events),
+y AS (SELECT *, substr(tag,3) AS kind, (starts_with(tag,'B-') OR (starts_with(tag,'I-') AND NOT coalesce(substr(lag(tag) OVER w,3)=substr(tag,3), false)))::INT AS fresh FROM x WINDOW w AS (PARTITION BY text_id ORDER BY pos)),
+z AS (SELECT *, sum(fresh) OVER (PARTITION BY text_id ORDER BY pos) AS span FROM y) SELECT text_id, kind, min(low) AS low, max(high) AS high FROM z WHERE tag<>'O' GROUP BY text_id, span, kind""")
 def bio_decode(s, d):
-    rows = [(1, 0, "O", 0, 0), (1, 1, "B-ORG", 0, 4), (1, 2, "I-ORG", 5, 9), (1, 3, "O", 10, 13), (1, 4, "B-LOC", 14, 20), (2, 1, "B-ORG", 0, 4), (2, 2, "B-ORG", 5, 9)]
-    return X.bio_decode(s.createDataFrame(rows, "text_id long, pos int, tag string, low long, high long"))
+    """Spans of users' events, whose types stand for token tags."""
+    ev = t(s, d, "events")
+    tag = F.lit("O")
+    for kind, name in TAGS.items():
+        tag = F.when(F.col("event_type") == kind, name).otherwise(tag)
+    return X.bio_decode(ev.select(F.col("user_id").alias("text_id"), F.col("event_id").alias("pos"), tag.alias("tag"), (F.col("event_id") * 10).alias("low"), (F.col("event_id") * 10 + 9).alias("high")))
 
 
 # store
