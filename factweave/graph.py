@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,8 +64,37 @@ class FactGraph:
         self.clock = clock or (lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None))
         self.nodes, self.edges = spark.createDataFrame([], store.NODES), spark.createDataFrame([], store.EDGES)
 
+        self.held: dict | None = None
+
     # tables
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **how) -> FactGraph:
+        """The graph saved in a folder."""
+        from factweave.sources.graph import read_parquet
+
+        return cls(spark, **how).load(*read_parquet(spark, path))
+
+    def save(self, path: str) -> None:
+        from factweave.sources.graph import write_parquet
+
+        write_parquet(self.nodes, self.edges, path)
+
+    def __enter__(self) -> FactGraph:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.nodes, self.edges = self.nodes.limit(0), self.edges.limit(0)
+
+    @contextmanager
+    def request_cache(self):
+        """Within it, what was looked up of a content, or not found, is not looked up again; writes empty it."""
+        outer, self.held = self.held, self.held if self.held is not None else {}
+        try:
+            yield self
+        finally:
+            self.held = outer
+
     def load_dataset(self, name: str, scopes=None) -> None:
         """Adds a built-in data set; ValueError for a name that there is none of."""
         from factweave.sources.graph import load_dataset
@@ -82,6 +112,8 @@ class FactGraph:
 
     def _commit(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
         nodes, edges = (None if x is None else checkpoint(x) for x in (nodes, edges))
+        if self.held is not None:
+            self.held.clear()
         self.nodes, self.edges = nodes if nodes is not None else self.nodes, edges if edges is not None else self.edges
 
     def _now(self) -> Column:
@@ -315,7 +347,13 @@ class FactGraph:
 
     def lookup(self, contents, column: str) -> dict:
         """content -> created_at, invalid_at, type or scopes of those that exist."""
-        return {r["content"]: r[1] for r in store.lookup(self.nodes, self._rows(contents), column).collect()}
+        contents = list(dict.fromkeys(contents))
+        memo = self.held.setdefault(column, {}) if self.held is not None else {}
+        asked = [c for c in contents if c not in memo]
+        if asked:
+            found = {r["content"]: r[1] for r in store.lookup(self.nodes, self._rows(asked), column).collect()}
+            memo.update({c: (c in found, found.get(c)) for c in asked})
+        return {c: memo[c][1] for c in contents if memo[c][0]}
 
     def relations(self, facts: DataFrame) -> DataFrame:
         """(fact, cause, effect) of facts(content): only their own edges are joined."""

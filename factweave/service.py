@@ -1,4 +1,4 @@
-"""The verbs that an application offers over a fact graph; transports such as HTTP are not part of the library."""
+"""The verbs that an application offers over a fact graph; see transport for HTTP and agent tools."""
 
 from __future__ import annotations
 

@@ -1,11 +1,14 @@
 """The fact graph, its service and its conversation loop on small stories."""
 
 import datetime as dt
+import json
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factweave import transport
+from factweave.functions import extract
 from factweave.functions.models import Embedder, Reranker, RuleResolver, chat_resolver, entailment_resolver, prompt, summary_words, template_answer
 from factweave.graph import FactGraph
 from factweave.loop import HEADER, MemoryLoop, rendered, summariser
@@ -231,3 +234,52 @@ def test_models(spark):
     assert list(entailment_resolver(lambda pairs: [[3.0, 0.0, 0.0]])(one, two)) == [True]
     assert [bool(chat_resolver(lambda q: r)(one, two)[0]) for r in ("yes", '{"conflict": true}', '{"conflict": false}', "no", "{")] == [True, True, False, False, False]
     assert "(from s2)" in prompt("q", [{"content": "a", "cross_session": True, "scopes": ["s2"]}]) and template_answer("q", []) == "No facts were found."
+
+
+def test_http_and_client(spark):
+    s = MemoryService(FactGraph(spark))
+    server = transport.serve(s, keys=["k"])
+    url = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        client = transport.MemoryClient(url, "k")
+        assert client.remember("one", RAIN)["entities"] == ["Heavy", "Genoa"] and len(client.remember_many("two", [MARIA])) == 1
+        assert client.recall(MARIA, "two", hops=1)[0]["content"] == MARIA and client.stats()["facts"] == 2
+        assert client.trace(RAIN)["terminals"] == ["the flood of Genoa"] and client.facts([MARIA])[MARIA]["sessions"] == ["two"]
+        assert client.forget_session("two")["deleted"] > 0
+        with pytest.raises(transport.BadRequest):
+            transport.MemoryClient(url, "other").stats()
+        with pytest.raises(transport.BadRequest):
+            client._call("POST", "/query", text="no query")
+        assert transport.MemoryClient(url)._call("GET", "/health") == {"status": "ok"}
+    finally:
+        server.shutdown()
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "list_sessions"}}, {"id": 4, "method": "tools/call", "params": {"name": "none"}}, {"id": 5, "method": "x"}]
+    out = []
+    transport.serve_tools(s, [json.dumps(x) for x in asked], lambda line: out.append(json.loads(line)))
+    assert [o["id"] for o in out] == [1, 2, 3, 4, 5] and len(out[1]["result"]["tools"]) == 13
+    assert out[2]["result"]["content"][0]["text"] == '["one"]' and out[3]["result"]["isError"] and "error" in out[4]
+
+
+def test_extraction_seams(spark):
+    df = spark.createDataFrame([("Anna met Bob.",)], "t string")
+    one = lambda f: df.select(f(F.col("t"))).first()[0]
+    assert one(extract.token_classifier(lambda ts: [[{"word": "Anna"}, {"word": "##na"}, {"word": "B"}, {"word": "Anna"}]] * len(ts))) == ["Anna"]
+    assert one(extract.labelled(lambda ts, kinds, least: [[{"text": "Bob", "label": "person", "score": 0.9}, {"text": "met", "label": "verb"}]] * len(ts))) == ["Bob"]
+    assert one(extract.offsets(lambda ts: [[("B-PER", 0, 2), ("I-PER", 2, 4), ("O", 5, 8), ("B-PER", 9, 12), ("B-PER", 3, 3)]] * len(ts))) == ["Anna", "Bob"]
+    assert [tuple(p) for p in one(extract.relation_model(lambda ts: [[{"head": "a", "tail": "b", "score": 1}, {"head": "A", "tail": "B", "score": 2}, {"head": "a", "tail": "A"}]] * len(ts)))] == [("A", "B")]
+    point = lambda ts: [((0, 4), (9, 12), 0.9)] * len(ts)
+    assert [tuple(p) for p in one(extract.span_pointer(point))] == [("Anna", "Bob")] and one(extract.span_pointer(point, lambda ts: [0.1] * len(ts))) == []
+    assert one(extract.splitter(lambda t: t.split(" "))) == ["Anna", "met", "Bob."]
+
+
+def test_saving_and_caching(spark, tmp_path):
+    with FactGraph(spark) as g:
+        g.load_dataset("kitchen", scopes={"k"})
+        g.save(str(tmp_path / "g"))
+    back = FactGraph.open(spark, str(tmp_path / "g"))
+    assert back.nodes.count() == 7 and g.nodes.count() == 0
+    with back.request_cache():
+        assert back.lookup(["menu", "none"], "type") == {"menu": "entity"} and set(back.held["type"]) == {"menu", "none"}
+        back.delete("menu")
+        assert back.lookup(["menu"], "type") == {}
+    assert back.held is None
