@@ -56,7 +56,7 @@ def op6_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = raking.mixed(_read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), TARGETS)
+    found = raking.mixed(_read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), TARGETS, keep_text=False)
     return found.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_probability").alias("probability"), F.col("mix_sampled").alias("sampled"))
 
 
