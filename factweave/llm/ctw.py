@@ -18,8 +18,9 @@ grams.
 Next to it stands the base, an add-half unigram model of words.
 
 Nulls and empty texts consist of the end alone.  A null id counts as training.
-Repeated rows are separate texts.  With no training text every decision is a
-coin toss.  Other columns are ignored.
+Repeated rows and ids are separate texts, equal texts get equal scores.  With no
+training text every decision is a coin toss.  A text is in memory as a whole, with
+some 60 bytes a byte.  An empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations

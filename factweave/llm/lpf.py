@@ -21,7 +21,7 @@ doesn't grow with its length.
 With keep_first, the first copy of each window (by id, nulls last, then
 position) stays.  Nulls are empty texts; texts shorter than a window lose
 nothing; rows with equal ids are separate documents, in the order of the table.
-Other columns are ignored.
+An empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,10 @@ shuffle, splitting skewed groups, if not.
 
 Nulls and texts without words have no words, fail the base rule and aren't
 counted in sketches.  Null languages and sources are groups of their own.  Rows
-are judged one by one; other columns are ignored.
+are judged one by one, so null and repeated ids change nothing, and equal texts of
+a group get equal verdicts.  Where no row passes the base rule none is kept.  A
+text is in memory as a whole, with some 20 bytes a word for its runs.  An empty
+table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

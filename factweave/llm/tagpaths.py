@@ -16,7 +16,9 @@ Nulls, empty pages and pages without text give an empty text.  Broken markup is
 read as browsers do: unclosed elements end with their parent, a paragraph ends
 at the next block, scripts and styles end at their own end tag alone, and a tag
 that never ends is text.  Time and memory are in proportion to the page.
-Repeated rows are treated one by one; other columns are ignored.
+Repeated rows and ids are treated one by one; of paths with equal ratios the first
+in page order comes first.  An empty table gives an empty one; other columns are
+ignored.
 """
 
 from __future__ import annotations
