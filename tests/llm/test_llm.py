@@ -110,6 +110,26 @@ def test_near_duplicates(docs, none, rows):
     assert setsketch.near_duplicates(none).count() == 0
 
 
+def test_components_with_hubs(spark):
+    rng = random.Random(9)
+    links = [(0, i) for i in range(1, 30)] + [(100, i) for i in range(101, 120)] + [(29, 110), (200, 201), (201, 202), (5, 5)] + [(300 + i, 301 + i) for i in range(12)]
+    rng.shuffle(links)
+    found = dict(got(setsketch.components(spark.createDataFrame(links, "a long, b long")), "node", "component"))
+    want = {i: 0 for i in range(30)} | {i: 0 for i in range(100, 120)} | {200: 200, 201: 200, 202: 200} | {i: 300 for i in range(300, 313)}
+    assert found == want
+
+
+def test_boilerplate_joins_no_texts(spark):
+    """Texts that share most bands with a leader by their common half, but are like few others."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(70)]
+    rows = [(i, " ".join(common + [f"u{i}-{j}" for j in range(30)])) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 40, 3)] + [(200, " ".join(common[:60] + [f"u7-{j}" for j in range(30)]))]
+    rng.shuffle(rows)
+    found = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80)
+    assert got(found, "doc_id", "n_shingles", "component_id", F.expr("doc_id = component_id")) == sorted(brute.op8(rows, 2))
+
+
 ODD = "doc_id long, text string, lang string, source string, node string, toxicity string"
 
 
