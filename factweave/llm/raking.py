@@ -12,12 +12,11 @@ Targets not given are the observed shares to the power `flatten`, normalised:
 0 is uniform, 1 as observed.  Given ones are weights, normalised too.
 
 A document's topic is one of `TOPICS` clusters of words: that of the rarest topic
-word that it has.  Topic words are fitted on a bounded sample, the `most` rows
-with the smallest hash of id: of each language the `WORDS` most frequent words of
-five letters and more that a share of its texts between `least` and `usual` has,
-at most `ALL_WORDS` together.  A word's cluster is a hash, so clusters cut across
-languages and targets by topic don't exclude those by language.  Any expression
-can be given instead.
+word that it has.  Topic words are counted on all rows: of each language the
+`WORDS` most frequent words of five letters and more that a share of its texts
+between `least` and `usual` has, at most `ALL_WORDS` together.  A word's cluster
+is a hash, so clusters cut across languages and targets by topic don't exclude
+those by language.  Any expression can be given instead.
 
 DataFrame functions only; cells are aggregated before anything is shuffled by
 key, and are broadcast only if there are at most `CELLS`.  Nulls are values of
@@ -45,17 +44,13 @@ TOPICS, WORDS, ALL_WORDS, CELLS = 8, 48, 512, 100_000
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def topic_words(docs: DataFrame, most: int = 20_000, least: float = 0.004, usual: float = 0.1) -> list[str]:
-    """The corpus' topic words, the rarest first."""
-    order = F.xxhash64("doc_id")
-    last = docs.select(order.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    if last is None:
-        return []
-    chosen = X.checkpoint(docs.where(order <= last).select("lang", F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+")).alias("words")))
-    texts = chosen.groupBy(F.col("lang").alias("own")).agg(F.count(F.lit(1)).alias("texts"))
-    held = chosen.select("lang", F.explode("words").alias("word")).where("length(word) >= 5").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    # the sample is bounded, so there are few languages in it
-    held = held.join(F.broadcast(texts), F.col("lang").eqNullSafe(F.col("own"))).where((F.col("n") >= least * F.col("texts")) & (F.col("n") <= usual * F.col("texts")))
+def topic_words(docs: DataFrame, least: float = 0.004, usual: float = 0.1) -> list[str]:
+    """The corpus' topic words, the rarest first; all rows are counted."""
+    texts = X.checkpoint(docs.groupBy(F.col("lang").alias("own")).agg(F.count(F.lit(1)).alias("texts")))
+    texts = F.broadcast(texts) if texts.count() <= CELLS else texts
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{5,}"), F.lit(0)))
+    held = docs.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    held = held.join(texts, F.col("lang").eqNullSafe(F.col("own"))).where((F.col("n") >= least * F.col("texts")) & (F.col("n") <= usual * F.col("texts")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     found = held.withColumn("rank", rank).where(F.col("rank") <= WORDS).groupBy("word").agg(F.sum("n").alias("n"), F.min("rank").alias("rank"))
     found = found.orderBy("rank", "word").limit(ALL_WORDS).collect()
@@ -107,8 +102,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, f
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: float = 0.7, topic: Column | None = None, seed: int = 0, rounds: int = 96, keep_text: bool = True) -> DataFrame:
     """docs with mix_topic, mix_tokens, mix_probability and mix_sampled.
 
-    Without the text in the result, texts are looked at once; with it, once for the cells and once for the result, which is
-    cheaper than to write them.
+    Texts are looked at once for the topic words.  Without the text in the result, they are looked at once more; with it, once
+    for the cells and once for the result, which is cheaper than to write them.
     """
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), _SPACE), lambda w: w != "")).cast("long")
     subject = F.coalesce(_of(topic_words(docs), F.col("text")) if topic is None else topic, F.lit("none"))

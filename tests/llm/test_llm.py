@@ -6,6 +6,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.llm import anchors, ctw, lpf, pii, quality, queries, raking, setsketch, tagpaths, toxicity, winnow
@@ -437,6 +438,14 @@ def test_raking_against_a_plain_version(spark):
     assert sorted(raking.topic_words(texts)) == [f"number{chr(97 + i)}" for i in range(26)]
 
 
+def test_topic_words_are_counted_on_all_rows(spark):
+    # the word is in none of the 20 000 rows with the least hashes of id
+    rank = F.row_number().over(Window.orderBy(F.xxhash64("id")))
+    text = F.when(rank > 20_000, "common outside").otherwise("common")
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    assert raking.topic_words(docs) == ["outside"]
+
+
 def test_raking_meets_its_targets(spark, docs, none):
     targets = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}, "lang": {"en": 0.6, "de": 0.4}}
     rows = [(i, "w " * (1 + i % 7) + ("| x | y" if i % 2 else ""), f"s{i % 3}", "en" if i % 5 else "de") for i in range(300)]
