@@ -45,7 +45,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return raking.mixed(docs, queries.TARGETS).where("mix_sampled").drop("mix_sampled")
 
 
-STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("personal data", pseudonymise), ("mixture", mix)]
+def _alone(stage):
+    """stage, begun after executors have given back the heap that the stages before it left full of garbage."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        exchange.collect_garbage(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _alone(stage)) for name, stage in (("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("personal data", pseudonymise), ("mixture", mix))]
 
 #: Classifier, sketches and keyed permutation can't be said in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None

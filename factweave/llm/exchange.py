@@ -52,6 +52,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """A full collection on every idle executor: G1 gives a heap's free part back to the system then, and not before."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of df has."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -101,13 +101,13 @@ def _bitmap(prints: DataFrame, bits: int) -> np.ndarray:
     return np.packbits(out)
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int, gram: int, bits: int):
-    """The exchange between documents and items: (chunks with answers, a function that gives each row's hits)."""
+def _marked(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int, gram: int, bits: int, size: int = 4 << 20):
+    """The exchange between documents, in chunks of so many bytes, and items: (chunks with answers, a function that gives each row's hits)."""
     X.tune(docs.sparkSession)
     items = X.checkpoint(item_windows(benchmark, window, gram))
     holder = docs.sparkSession.sparkContext.broadcast((_bitmap(items, bits), [r["words"] for r in items.select("words").distinct().collect()]))
     n = max(X.buckets(docs), X.buckets(items))
-    chunked = X.chunks(docs, columns)
+    chunked = X.chunks(docs, columns, size=size)
 
     def probes(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(words, fingerprints, where windows begin, hashes of words, first words) of windows that the bitmap lets through."""
@@ -201,7 +201,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, bits: int = 1 << 24) -> DataFrame:
     """The rows of docs without a benchmark window, all columns; each row is judged by its own text."""
-    joined, hits = _marked(docs, benchmark, docs.columns, window, gram, bits)
+    # whole rows are carried along, and four Python workers of an executor hold a chunk each
+    joined, hits = _marked(docs, benchmark, docs.columns, window, gram, bits, size=2 << 20)
 
     def finish(table: pa.Table, got: dict[int, bytes]) -> pa.Table:
         first, hit, _ = hits(table, got)
