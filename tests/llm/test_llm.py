@@ -479,3 +479,16 @@ def test_pipeline_on_the_smallest_tables(spark):
     held = dict(texts)
     found = out.collect()
     assert found and all(r["text"] == tool.apply(held[r["doc_id"]])[0] for r in found)
+
+
+def test_pipeline_takes_topic_words_from_all_rows(spark):
+    import corpus_pipeline
+
+    # the word is in none of the 20 000 rows with the least hashes of id
+    rank = F.row_number().over(Window.orderBy(F.xxhash64("id")))
+    text = F.when(rank > 20_000, "common outside").otherwise("common")
+    lang = F.get(F.array(*map(F.lit, queries.TARGETS["lang"])), (F.col("id") % len(queries.TARGETS["lang"])).cast("int"))
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), text.alias("text"), lang.alias("lang"), F.lit("s").alias("source"))
+    out = dict(corpus_pipeline.STAGES)["mixture"](spark, docs, "")
+    found = {(r["text"], r["mix_topic"] != "none") for r in out.select("text", "mix_topic").distinct().collect()}
+    assert found == {("common", False), ("common outside", True)}
