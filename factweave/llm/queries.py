@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import anchors, ctw, lpf, pii, quality, raking, setsketch, tagpaths, toxicity, winnow
+from factweave.llm import anchors, ctw, lpf, pii, quality, raking, setsketch, tagpaths, toxicity, turns, winnow
 from factweave.llm import exchange as X
 
 
@@ -74,13 +74,19 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
 
 
+def op13_min_plus_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    found = turns.repair(turns.damaged(rows), rows)
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree_weighting, op2_tag_path_ratios, op3_counterfactual_toxicity, op4_adaptive_quality, op5_feistel_pseudonyms, op6_fixed_block_anchors, op7_raked_mixture, op8_setsketch_near_duplicates, op9_longest_previous_factor, op10_winnowing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_context_tree_weighting, op2_tag_path_ratios, op3_counterfactual_toxicity, op4_adaptive_quality, op5_feistel_pseudonyms, op6_fixed_block_anchors, op7_raked_mixture, op8_setsketch_near_duplicates, op9_longest_previous_factor, op10_winnowing, op13_min_plus_repair, pipeline)}
 
 #: For what SQL says without too much work; tests hold the others against plain versions.
 ORACLE_SQL: dict[str, str] = {

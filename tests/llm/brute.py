@@ -193,3 +193,77 @@ def op1_score(docs, depth):
                 total += math.log10(p if bit else 1 - p)
         out.append(total)
     return out
+
+
+def op13(rows, ids=()):
+    """Reports of conversations: every cheapest sequence of edits is kept, and the least taken at the end."""
+    convs = {i: [] for i in ids}
+    for conv, turn, role, text in rows:
+        convs.setdefault(conv, []).append((turn, " " if role is None else role, " " if text is None else text))
+    out = []
+    for conv, own in convs.items():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        seen, faults = set(), []
+        for _, role, text in own:
+            bare = text.rstrip(" \t\n\x0b\x0c\r")
+            faults.append("b" if not bare else "d" if (role, text) in seen else "t" if bare[-1] not in ".!?" else "")
+            seen.add((role, text))
+        initials = [r[:1] for _, r, _ in own]
+        after = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
+
+        def inserted(at):
+            for _ in range(3):
+                for state, (cost, ways) in list(at.items()):
+                    for arcs in (after["u"], after["a"]):
+                        if state in arcs:
+                            add(at, arcs[state], cost + 2, {w + "I" for w in ways})
+            return at
+
+        def add(at, state, cost, ways):
+            if state not in at or cost < at[state][0]:
+                at[state] = (cost, set(ways))
+            elif cost == at[state][0]:
+                at[state][1].update(ways)
+
+        at = inserted({0: (0, {""})})
+        for initial, fault in zip(initials, faults):
+            now = {}
+            for state, (cost, ways) in at.items():
+                add(now, state, cost + 3, {w + "D" for w in ways})
+                if fault not in ("b", "d"):
+                    more = cost + (fault == "t")
+                    if state in after.get(initial, {}):
+                        add(now, after[initial][state], more, {w + "K" for w in ways})
+                    for arcs in (after["u"], after["a"]):
+                        if state in arcs:
+                            add(now, arcs[state], more + 2, {w + "R" for w in ways})
+            at = inserted(now)
+        cost = min(at[s][0] for s in (0, 3) if s in at)
+        audit = min(w for s in (0, 3) if s in at and at[s][0] == cost for w in at[s][1])
+        lines, left, n = [], iter(own), 0
+        first_system = (len(audit) - audit.count("D")) % 2
+        for edit in audit:
+            role, text = next(left)[1:] if edit != "I" else ("", "")
+            if edit == "D":
+                continue
+            if edit != "K":
+                role = ("user", "assistant")[(n - first_system) % 2]
+            lines.append(f"{role}:{text}")
+            n += 1
+        known = [t for t, _, _ in own if t is not None]
+        gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+        illegal = sum(a + b not in ("su", "ua", "au") or not a or not b for a, b in zip(initials, initials[1:]))
+        out.append((conv, gaps, *(faults.count(f) for f in "bdt"), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return out
+
+
+def op13_damaged(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        key = ":".join(" " if x is None else str(x) for x in (conv, turn))
+        kind = zlib.crc32(key.encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if kind:
+            row = (conv, turn, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)
+            out += [row] * (2 if kind == 3 else 1)
+    return out
