@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import anchors, ctw, lpf, pii, quality, raking, setsketch, tagpaths, toxicity, turns, winnow
+from factweave.llm import anchors, ctw, lpf, pii, quality, raking, ranked, setsketch, tagpaths, toxicity, turns, winnow
 from factweave.llm import exchange as X
 
 
@@ -74,6 +74,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
 
 
+def op12_windowed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
+
+
 def op13_min_plus_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations")
     found = turns.repair(turns.damaged(rows), rows)
@@ -86,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree_weighting, op2_tag_path_ratios, op3_counterfactual_toxicity, op4_adaptive_quality, op5_feistel_pseudonyms, op6_fixed_block_anchors, op7_raked_mixture, op8_setsketch_near_duplicates, op9_longest_previous_factor, op10_winnowing, op13_min_plus_repair, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_context_tree_weighting, op2_tag_path_ratios, op3_counterfactual_toxicity, op4_adaptive_quality, op5_feistel_pseudonyms, op6_fixed_block_anchors, op7_raked_mixture, op8_setsketch_near_duplicates, op9_longest_previous_factor, op10_winnowing, op12_windowed_search, op13_min_plus_repair, pipeline)}
 
 #: For what SQL says without too much work; tests hold the others against plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -105,4 +109,11 @@ h AS (SELECT doc_id, i, dw.k, item_id FROM dw JOIN bw ON bw.k=dw.k AND bw.g=dw.g
 n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i+k)) AS j FROM h) GROUP BY doc_id),
 m AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0)::BIGINT AS n_hit, coalesce(n_items,0)::BIGINT AS n_items, sha256(coalesce(ids,'')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op12_windowed_search": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w)>0)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, floor(1000*ln((2*n_docs+2)::DOUBLE/(2*count(*)+1)))::BIGINT AS weight FROM t, s GROUP BY term, n_docs),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, sum(times*weight*((1000000000*tf)//(1000*tf+8*(100-75+((75*n*n_docs)//n_terms)))))::BIGINT AS score FROM q JOIN f USING (term) JOIN t USING (term), s GROUP BY ALL)
+SELECT item_id, k::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM r WHERE score>0) WHERE k<=10""",
 }

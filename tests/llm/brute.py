@@ -267,3 +267,22 @@ def op13_damaged(rows):
             row = (conv, turn, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)
             out += [row] * (2 if kind == 3 else 1)
     return out
+
+
+TERMS = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def op12(docs, items, k=10):
+    held = [(d, Counter(TERMS.findall(lower(t)))) for d, t in docs]
+    n_docs, n_terms = sum(bool(c) for _, c in held), sum(c.total() for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for d, c in held:
+            m = 25 + 75 * c.total() * n_docs // n_terms if n_terms else 0
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in TERMS.findall(lower(text)) if c[t])
+            if score > 0:
+                found.append((-score, d is None, d or 0, d))
+        out += [(item, i + 1, d, -s) for i, (s, _, _, d) in enumerate(sorted(found)[:k])]
+    return out
