@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import anchors, ctw, lpf, pii, quality, raking, ranked, setsketch, tagpaths, toxicity, turns, winnow
+from factweave.llm import anchors, ctw, lpf, ngrams, pii, quality, raking, ranked, setsketch, tagpaths, toxicity, turns, winnow
 from factweave.llm import exchange as X
 
 
@@ -74,6 +74,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
 
 
+def op11_multiple_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.similar(_read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op12_windowed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
 
@@ -90,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree_weighting, op2_tag_path_ratios, op3_counterfactual_toxicity, op4_adaptive_quality, op5_feistel_pseudonyms, op6_fixed_block_anchors, op7_raked_mixture, op8_setsketch_near_duplicates, op9_longest_previous_factor, op10_winnowing, op12_windowed_search, op13_min_plus_repair, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_context_tree_weighting, op2_tag_path_ratios, op3_counterfactual_toxicity, op4_adaptive_quality, op5_feistel_pseudonyms, op6_fixed_block_anchors, op7_raked_mixture, op8_setsketch_near_duplicates, op9_longest_previous_factor, op10_winnowing, op11_multiple_order_join, op12_windowed_search, op13_min_plus_repair, pipeline)}
 
 #: For what SQL says without too much work; tests hold the others against plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -109,6 +113,13 @@ h AS (SELECT doc_id, i, dw.k, item_id FROM dw JOIN bw ON bw.k=dw.k AND bw.g=dw.g
 n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i+k)) AS j FROM h) GROUP BY doc_id),
 m AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0)::BIGINT AS n_hit, coalesce(n_items,0)::BIGINT AS n_items, sha256(coalesce(ids,'')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op11_multiple_order_join": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w)=0 THEN [] WHEN len(w)<4 THEN [array_to_string(w,' ')] ELSE list_distinct(list_transform(range(1, len(w)-2), lambda i: array_to_string(w[i:i+3],' '))) END AS g FROM d),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g=b.g AND a.doc_id<b.doc_id AND 100*least(a.n,b.n)>=85*greatest(a.n,b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100*count(*)>=85*(a.n+b.n-count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a=r.b)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(b), s.doc_id)) AS component_id FROM s LEFT JOIN r ON r.a=s.doc_id GROUP BY s.doc_id, g""",
     "op12_windowed_search": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 s AS (SELECT count(*) FILTER (len(w)>0)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
 t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY ALL),

@@ -46,7 +46,7 @@ def op6(docs, k=20):
     return [out[i] for i in range(len(docs))]
 
 
-def op8(docs, k=2):
+def op8(docs, k=2, percent=80):
     sets = []
     for _, t in docs:
         w = SPACED.findall(lower(t))
@@ -62,7 +62,7 @@ def op8(docs, k=2):
     for i, s in enumerate(sets):
         both = Counter(j for x in s for j in held[x])
         for j, n in both.items():
-            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
         for x in s:
