@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import jaccard, trigrams, words
 from factweave.functions.vector import cosine
-from factweave.session import checkpoint
+from factweave.session import checkpoint, shared_folder
 
 
 def knn(nodes: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
@@ -74,41 +75,15 @@ def knn_join(queries: DataFrame, nodes: DataFrame, k: int, block: int = 4096, by
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cells_of(nodes: DataFrame, cells: int, sample: int = 10_000, rounds: int = 8) -> np.ndarray:
-    """Centres of so many cells, fitted on the `sample` nodes (content, embedding) with the smallest hash."""
-    rows = nodes.select("embedding").orderBy(F.xxhash64("content"), "content").limit(sample).collect()
-    x = np.array([r["embedding"] for r in rows], float)
-    if not len(x):
-        return np.zeros((1, 1))
-    x /= np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
-    centre = x[: min(cells, len(x))].copy()
-    for _ in range(rounds):
-        own = (x @ centre.T).argmax(1)
-        for i in range(len(centre)):
-            if (own == i).any():
-                centre[i] = x[own == i].mean(0)
-        centre /= np.where((n := np.linalg.norm(centre, axis=1, keepdims=True)) == 0, 1, n)
-    return centre
-
-
-def knn_join_approximate(queries: DataFrame, nodes: DataFrame, k: int, cells: int = 32, probe: int = 16, salts: int = 4) -> DataFrame:
-    """knn_join that compares a query with the nodes of the `probe` cells nearest to it only, exactly within them.
-
-    Every node is in the cell of its nearest centre.  A cell is dealt to `salts` tasks and its queries to each of them, so
-    a cell that holds much of the table doesn't meet in one.
+def knn_join_approximate(queries: DataFrame, nodes: DataFrame, k: int, cells: int | None = None, probe: int | None = None, factor: int = 8) -> DataFrame:
+    """knn_join by a vector index made for it in the shared folder: `factor` times k nodes a query are compared exactly.
+
+    With cells and probe, the index has so many lists and a query looks into so many; both are measured on a sample without.
     """
-    centre = cells_of(nodes, cells)
-
-    @F.pandas_udf("array<long>")
-    def near(embedding: pd.Series) -> pd.Series:
-        x = np.stack(embedding.to_numpy()).astype(float)
-        return pd.Series(list(np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :probe]))
-
-    turn = F.pmod(F.xxhash64("content"), F.lit(salts))
-    held = nodes.select("content", "embedding", (near("embedding")[0] * salts + turn).alias("cell"))
-    asked = queries.select("query", "embedding", F.explode(near("embedding")).alias("own"))
-    asked = asked.select("query", "embedding", F.explode(F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.col("own") * salts + i)).alias("cell"))
-    return knn_join(asked, held, k, by="cell")
+    from factweave.operators.vector_index import VectorIndex
+
+    folder = f"{shared_folder(nodes.sparkSession)}/vectors-{uuid.uuid4()}"
+    return checkpoint(VectorIndex.fit(nodes, folder, cells, k=k).search(queries, k, factor, probe))
 
 
 def ranked(df: DataFrame, name: str, *order) -> DataFrame:

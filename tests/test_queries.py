@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from factweave.plans.graph_queries import ORACLE, QUERIES
+from factweave.plans.stored_queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
