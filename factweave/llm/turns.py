@@ -228,8 +228,8 @@ def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]
         yield held
 
 
-def _scan(rows: DataFrame, key: T.DataType) -> DataFrame:
-    """Pieces in order of `at`: with the turns' data; `whole` if they are a conversation.
+def _scan(rows: DataFrame, key: T.DataType, digest: bool) -> DataFrame:
+    """Pieces in order of `at`, with the turns' data; `whole` if they are a conversation, then with the digest instead where that is wanted.
 
     The first and the last conversation of a task may go on in others, so they are never whole.
     """
@@ -239,43 +239,55 @@ def _scan(rows: DataFrame, key: T.DataType) -> DataFrame:
     ranged = faults(rows).repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, began, conv, held, own, size = TaskContext.get().partitionId() << 32, 0, None, [], [], 0
+        at, began, conv, held, waiting, own, size = TaskContext.get().partitionId() << 32, 0, None, [], 0, [], 0
 
-        def cut() -> None:
-            nonlocal at, own, size
+        def cut(whole: bool = False) -> None:
+            nonlocal at, own, size, waiting
             turns, roles, texts, found = (list(x) for x in zip(*own))
-            codes = "".join(f"{r[:1] if r[:1] in MOVES else '-'}{f}" for r, f in zip(roles, found))
-            data = X.pack(pa.table({"role": pa.array(roles, pa.string()), "text": pa.array(texts, pa.string())}))
-            held.append({"at": at, "stats": json.dumps(_stats(turns, roles, found)), "matrix": json.dumps(scanned(codes)), "data": data})
+            matrix = scanned("".join(f"{r[:1] if r[:1] in MOVES else '-'}{f}" for r, f in zip(roles, found)))
+            made = {"conv_id": conv, "whole": whole, "at": at, "stats": json.dumps(_stats(turns, roles, found)), "matrix": json.dumps(matrix)}
+            if whole and digest:
+                edits = cheapest(matrix)[1]
+                lines = (f"{role}:{text}" for _, role, text in repaired(edits, zip(roles, texts), 0, _system(edits)))
+                made["sha256"] = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+            else:
+                made["data"] = X.pack(pa.table({"role": pa.array(roles, pa.string()), "text": pa.array(texts, pa.string())}))
+            held.append(made)
+            waiting += len(made.get("data", b"")) + 4096
             at, own, size = at + 1, [], 0
 
-        def out(whole: bool) -> pa.RecordBatch:
-            if own:
-                cut()
-            part = [{"conv_id": conv, "whole": whole and len(held) == 1} | x for x in held]
+        def out() -> pa.RecordBatch:
+            nonlocal waiting
+            part, waiting = pa.RecordBatch.from_pylist(held, schema), 0
             held.clear()
-            return pa.RecordBatch.from_pylist(part, schema)
+            return part
 
-        schema = None
+        schema, pieces = None, 0
         for batch in batches:
-            schema = schema or pa.schema([pa.field("conv_id", batch.schema.field("conv_id").type), ("whole", pa.bool_()), ("at", pa.int64()), ("stats", pa.string()), ("matrix", pa.string()), ("data", pa.binary())])
+            schema = schema or pa.schema([pa.field("conv_id", batch.schema.field("conv_id").type), ("whole", pa.bool_()), ("at", pa.int64()), ("stats", pa.string()), ("matrix", pa.string()), ("data", pa.binary()), ("sha256", pa.string())])
             convs, *columns = (batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text", "fault"))
             for now, row in zip(convs, zip(*columns)):
-                if began and now != conv:
-                    yield out(began > 1)
                 if not began or now != conv:
-                    began, conv = began + 1, now
+                    if own:
+                        cut(whole=began > 1 and not pieces)
+                    began, pieces, conv = began + 1, 0, now
                 own.append(row)
                 size += len(row[2])
                 if len(own) >= PIECE or size >= PIECE_BYTES:
                     cut()
-                if len(held) >= 8:  # a long conversation leaves before its end
-                    yield out(False)
-                    began = 1
-        if began:
-            yield out(False)
+                    pieces += 1
+                if waiting >= PIECE_BYTES:
+                    yield out()
+        if own:
+            cut()
+        if held:
+            yield out()
 
-    return ranged.mapInArrow(run, _typed(key, "whole boolean, at long, stats string, matrix string, data binary"))
+    return ranged.mapInArrow(run, _typed(key, "whole boolean, at long, stats string, matrix string, data binary, sha256 string"))
+
+
+def _matrix(said: str) -> Matrix:
+    return [[x and tuple(x) for x in row] for row in json.loads(said)]
 
 
 def _levels(pieces: DataFrame, key: T.DataType, tasks: int) -> DataFrame:
@@ -287,7 +299,7 @@ def _levels(pieces: DataFrame, key: T.DataType, tasks: int) -> DataFrame:
             stats = json.loads(run[0]["stats"])
             for more in run[1:]:
                 stats = _joined_stats(stats, json.loads(more["stats"]))
-            matrix = product([[[x and tuple(x) for x in row] for row in json.loads(r["matrix"])] for r in run])
+            matrix = product([_matrix(r["matrix"]) for r in run])
             made = {"conv_id": run[0]["conv_id"], "at": run[0]["at"], "stats": json.dumps(stats), "matrix": json.dumps(matrix)}
             yield pa.RecordBatch.from_pylist([made], pa.schema([out_key, ("at", pa.int64()), ("stats", pa.string()), ("matrix", pa.string())]))
 
@@ -327,24 +339,19 @@ def _data(packed: bytes) -> Iterator[tuple[str, str]]:
     return zip(table["role"].to_pylist(), table["text"].to_pylist())
 
 
-def _total(df: DataFrame, key: T.DataType, digest: bool) -> DataFrame:
-    """The report of each whole conversation; with the digest of its repaired turns where its data is there."""
+def _total(df: DataFrame, key: T.DataType) -> DataFrame:
+    """The report of each whole conversation (conv_id, stats, matrix, sha256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column(0), []
-            for row in batch.to_pylist():
-                cost, edits = cheapest([[x and tuple(x) for x in r] for r in json.loads(row["matrix"])])
-                made = _report(json.loads(row["stats"]), cost, edits)
-                if digest:
-                    lines = (f"{role}:{text}" for _, role, text in repaired(edits, _data(row["data"]), 0, _system(edits)))
-                    made["repaired_sha256"] = hashlib.sha256("\n".join(lines).encode()).hexdigest()
-                out.append(made)
+            for row in batch.select(["stats", "matrix", "sha256"]).to_pylist():
+                out.append(_report(json.loads(row["stats"]), *cheapest(_matrix(row["matrix"]))) | {"repaired_sha256": row["sha256"]})
             rest = pa.RecordBatch.from_pylist(out, pa.schema([(f.name, pa.string() if f.dataType.typeName() == "string" else pa.int64()) for f in fields]))
             yield pa.RecordBatch.from_arrays([ids, *rest.columns], ["conv_id", *rest.schema.names])
 
     fields = T._parse_datatype_string(REPORT).fields
-    return df.select("conv_id", "stats", "matrix", *(["data"] if digest else [])).mapInArrow(run, _typed(key, REPORT))
+    return df.select("conv_id", "stats", "matrix", "sha256").mapInArrow(run, _typed(key, REPORT))
 
 
 def _digests(slices: DataFrame, key: T.DataType) -> DataFrame:
@@ -375,14 +382,14 @@ def _digests(slices: DataFrame, key: T.DataType) -> DataFrame:
     return made.repartition("conv_id").sortWithinPartitions("conv_id", "at").mapInArrow(hashed, schema)
 
 
-def _found(rows: DataFrame) -> tuple[T.DataType, DataFrame, DataFrame, DataFrame]:
+def _found(rows: DataFrame, digest: bool) -> tuple[T.DataType, DataFrame, DataFrame, DataFrame]:
     """(type of conv_id, whole conversations, pieces of the others, reports of those)."""
     X.tune(rows.sparkSession)
     key = rows.schema["conv_id"].dataType
-    scanned_ = X.checkpoint(_scan(rows, key))
+    scanned_ = X.checkpoint(_scan(rows, key, digest))
     tasks = scanned_.rdd.getNumPartitions()
     whole, pieces = scanned_.where("whole"), scanned_.where("not whole")
-    return key, whole, pieces, X.checkpoint(_total(_levels(pieces, key, tasks), key, False))
+    return key, whole, pieces, X.checkpoint(_total(_levels(pieces, key, tasks).withColumn("sha256", F.lit(None).cast("string")), key))
 
 
 def repair(rows: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
@@ -392,10 +399,10 @@ def repair(rows: DataFrame, conversations: DataFrame | None = None) -> DataFrame
     empty turn; of repairs at equal cost the one with the least edits is taken.  The digest is the SHA-256 of the repaired
     `role:text`, joined by newlines.  Ids in conversations (conv_id) that have no rows get a report of nothing.
     """
-    key, whole, pieces, totals = _found(rows)
+    key, whole, pieces, totals = _found(rows, True)
     digests = _digests(_slices(pieces, totals, key), key)
     long = totals.drop("repaired_sha256").join(digests, F.col("conv_id").eqNullSafe(F.col("own_id"))).drop("own_id").withColumnRenamed("own_sha256", "repaired_sha256")
-    found = _total(whole, key, True).unionByName(long)
+    found = _total(whole, key).unionByName(long)
     if conversations is None:
         return found
     ids = conversations.select(F.col("conv_id").alias("own_id")).distinct()
@@ -407,12 +414,12 @@ def repair(rows: DataFrame, conversations: DataFrame | None = None) -> DataFrame
 
 def repaired_turns(rows: DataFrame) -> DataFrame:
     """The repaired conversations: (conv_id, place, role, text, edit), place from 0 in each."""
-    key, whole, pieces, totals = _found(rows)
+    key, whole, pieces, totals = _found(rows, False)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, row in enumerate(batch.to_pylist()):
-                edits = row["edits"] if "edits" in row else cheapest([[x and tuple(x) for x in r] for r in json.loads(row["matrix"])])[1]
+                edits = row["edits"] if "edits" in row else cheapest(_matrix(row["matrix"]))[1]
                 place, system = (row["place"], row["system"]) if "edits" in row else (0, _system(edits))
                 made = list(repaired(edits, _data(row["data"]), place, system))
                 if made:
