@@ -2,18 +2,23 @@
 
 With suffixes in order, the longest string at a position that also starts
 earlier is shared with the previous or with the next smaller position, whichever
-has the longer common prefix.  `lpf_arrays` gives those lengths; `reaching` says
-only whether they reach a given one, for which suffixes need to be in order only
-so far.  Suffixes are ordered by doubling.
+has the longer common prefix; likewise the longest one that also starts later with
+the previous or next larger one.  A byte is removed only where one of these factors
+says so.
 
 A suffix array of a whole corpus fits no machine.  So each text is first cut at
 the minimum of its 100-byte hashes in every 200-byte window: equal windows have
-it at the same place, and all windows with the same minimum make one region.
-Whole regions that occur twice are settled by hash.  What remains are the ends
-of repeats: regions whose minimum occurs elsewhere, but in other company.  Their
-previous factors, by suffix order over some megabyte of them at a time, find the
-windows that occur earlier there, and of each distinct window one is compared
-across chunks, by 64 bits of its hash and 32 of its minimum's.
+it at the same place, and all windows with the same minimum make one region.  A
+first exchange of hashes leaves out regions whose minimum occurs once, and says
+which regions occur twice as a whole.  Their bytes, of two copies each, and those of
+the regions whose minimum has other company, are sent to the bucket of their
+group, and all that may share a window meet there.  Whole regions are put in order
+and must share their whole length with a neighbour; of the others each window is a
+suffix, ordered by doubling, whose factor must reach the window's length.
+
+A group is a minimum.  One that more than HOT different regions have, as those at
+the ends of a passage that is quoted everywhere, is split: windows with 2**i bytes
+and more before the minimum and 2**j and more behind it are grouped by these bytes.
 
 Texts are looked at a megabyte at a time, so memory beyond a text's own bytes
 doesn't grow with its length.
@@ -30,15 +35,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from factweave.llm import exchange as X
 from factweave.llm.anchors import _order, _slice, isin_pairs, pack48, unpack48
-from factweave.llm.textops import U, covered, flat, mix, per_text, prefix_sums, sliding, spans
+from factweave.llm.textops import U, flat, mix, per_text, prefix_sums, sliding, spans
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
-#: Bytes of a text that are looked at together.
+#: Bytes of a text that are looked at together, and of regions whose suffixes are put in order together.
 SEGMENT = 1 << 20
+#: Different regions of one minimum that are one group.
+HOT = 4096
+#: What an exchange says of a region: it occurs twice; its minimum has other company; this chunk is one of the first two
+#: that have it; it is the first; its minimum is hot.
+TWICE, COMPANY, OWNER, FIRST, SPLIT = 1, 2, 4, 8, 16
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -49,34 +60,6 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _ranks(values: np.ndarray, reach: int) -> list[tuple[int, np.ndarray]]:
-    """(length, rank of each position's prefix of that length), for doubling lengths up to reach; the end ranks lowest."""
-    rank, size, out = _dense(values.astype(np.int64) + 1) + 1, 1, []
-    out.append((1, rank))
-    while size < reach:
-        step = min(size, reach - size)
-        beyond = np.zeros(len(rank), np.int64)
-        if step < len(rank):
-            beyond[:-step] = rank[step:]
-        rank, size = _dense((rank.astype(U) << U(32)) | beyond.astype(U)) + 1, size + step
-        out.append((size, rank))
-    return out
-
-
-def _common(ranks: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray, reach: int) -> np.ndarray:
-    """Length of the common prefix of the suffixes at i and j, up to reach; -1 stands for none."""
-    n = len(ranks[0][1])
-    none = (i < 0) | (j < 0)
-    done = np.zeros(len(i), np.int64)
-    for size, rank in reversed(ranks):
-        a, b = i + done, j + done
-        ok = ~none & (done + size <= reach) & (a + size <= n) & (b + size <= n)
-        same = ok.copy()
-        same[ok] = rank[a[ok]] == rank[b[ok]]
-        done[same] += size
-    return done
-
-
 def _smaller(sa: np.ndarray) -> np.ndarray:
     """For each place in suffix order, the last one before it with a smaller position (-1: none)."""
     cand = np.arange(len(sa)) - 1
@@ -88,24 +71,6 @@ def _smaller(sa: np.ndarray) -> np.ndarray:
     return cand
 
 
-def lpf_arrays(values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """(earlier, later): length of the longest string at each position that also starts before, or after; up to reach."""
-    n = len(values)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ranks = _ranks(values, reach)
-    sa = np.lexsort((np.arange(n), ranks[-1][1]))
-    out = []
-    for flip in (1, -1):
-        best = np.zeros(n, np.int64)
-        for order in (sa, sa[::-1]):
-            held = _smaller(order * flip)
-            other = np.where(held >= 0, order[np.maximum(held, 0)], -1)
-            best[order] = np.maximum(best[order], _common(ranks, order, other, reach))
-        out.append(best)
-    return out[0], out[1]
-
-
 def reaching(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether the longest previous factor at each of the positions at (ascending) reaches length, and the longest later one.
 
@@ -137,14 +102,35 @@ def reaching(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
+def whole(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the stretches of data that begin there share all their bytes with an earlier or a later one.
+
+    They are put in order, ties by position, so the previous and the next smaller and larger ones are neighbours.
+    """
+    width = int(size.max(initial=0)) + 1
+    held = np.zeros((len(begin), width), np.uint8)
+    row = np.repeat(np.arange(len(begin)), size)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    held[row, column] = data[np.repeat(begin, size) + column]
+    held[np.arange(len(begin)), size] = 1  # an end, so that closing zeros count
+    text = held.reshape(-1).view(f"S{width}")
+    order = np.argsort(text, kind="stable")
+    same = text[order[1:]] == text[order[:-1]]
+    out = np.zeros(len(begin), bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return out
+
+
 class Regions:
-    """The regions of a chunk's texts: windows [low, high], their minimum's hash and their bytes' hash."""
+    """The regions of a chunk's texts: windows [low, high], where their minimum is, its hash and their bytes' hash."""
 
     def __init__(self, table: pa.Table, window: int):
         self.window = window
         self.data, self.off = flat(table["text"])
         found = [self._segment(a) for a in range(0, len(self.data), SEGMENT)]
-        self.low, self.high, self.anchor, self.region = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))
+        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2
+        self.low, self.high, self.at, self.anchor, self.region = (np.concatenate(x) for x in zip(none, *found))
         order = np.lexsort((self.region, self.anchor))
         a, r = self.anchor[order], self.region[order]
         first = np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])))[: len(a)]
@@ -162,7 +148,7 @@ class Regions:
         count = np.maximum(np.minimum(self.off[1:] - window + 1, end) - low, 0)
         at = np.arange(count.sum()) + np.repeat(low - begin - np.cumsum(count) + count, count)
         if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2
         grams = sliding(sums, gram)
         least = (grams >> U(32) << U(32)) | np.arange(len(grams), dtype=U)
         done, wide = 1, window - gram + 1
@@ -177,14 +163,14 @@ class Regions:
         turn[start[start < len(at)]] = True
         new = np.flatnonzero(turn)
         low, high = at[new], at[np.append(new[1:], len(at)) - 1]
-        return low + begin, high + begin, grams[where[new]], spans(sums, low, high + window)
+        return low + begin, high + begin, where[new] + begin, grams[where[new]], spans(sums, low, high + window)
 
     def split(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, kinds) by anchor."""
         return X.by_bucket(self.anchor[self.first], n)
 
     def codes(self, got: dict[int, bytes], n: int) -> np.ndarray:
-        """Of each kind: 1 if it occurs twice, 2 more if its minimum has other company too."""
+        """What companies() says of each kind."""
         out = np.zeros(len(self.first), np.uint8)
         for b, s in self.split(n):
             if b in got:
@@ -196,19 +182,82 @@ class Regions:
         size = self.high[regions] - self.low[regions] + 1
         return np.repeat(self.low[regions] - np.cumsum(size) + size, size) + np.arange(size.sum())
 
-    def keys(self, regions: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(where they begin, hashes, bits of their minimum) of the windows of regions (ascending), some at a time."""
-        for part in self.parts(regions):
-            begin = self.starts(part)
+    def keys(self, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(where they begin, hashes, 32 more bits) of windows (ascending), some at a time."""
+        for begin in self.parts(begins, begins):
             low = begin[0]
-            sums = prefix_sums(self.data[low : begin[-1] + self.window].astype(U) + U(1))
-            more = (mix(self.anchor[part]) >> U(32)).astype("<u4")
-            yield begin, spans(sums, begin - low, begin - low + self.window), np.repeat(more, self.high[part] - self.low[part] + 1)
-
-    def parts(self, regions: np.ndarray) -> Iterator[np.ndarray]:
-        """Regions (ascending) within some bytes of each other."""
-        turn = self.low[regions] // SEGMENT
-        yield from (x for x in np.split(regions, np.flatnonzero(np.diff(turn)) + 1) if len(x))
+            values = self.data[low : begin[-1] + self.window].astype(U) + U(1)
+            first, second = (spans(prefix_sums(v), begin - low, begin - low + self.window) for v in (values, mix(values)))
+            yield begin, first, (second >> U(32)).astype("<u4")
+
+    def parts(self, items: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+        """Items whose places (ascending) are in one segment."""
+        yield from (x for x in np.split(items, np.flatnonzero(np.diff(place // SEGMENT)) + 1) if len(x))
+
+    def stretches(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the chunk sends: (group, first window, last window, kind of region, what for).
+
+        A stretch is sent to be judged window by window (1), as one of two copies of a whole region (2), or only to be met
+        by others' windows (3); with 4 no bytes are sent, and the region is judged by its owners' copies.
+        """
+        own = mix(self.anchor[self.first] ^ mix(self.region[self.first]))
+        kinds = np.arange(len(code))
+        twice = (code & TWICE) > 0
+        rows = []
+        owned = kinds[twice & ((code & OWNER) > 0)]
+        rows.append((own[owned], self.low[self.first[owned]], self.high[self.first[owned]], owned, 2))
+        again = owned[self.count[owned] > 1]
+        order = np.argsort(self.kind, kind="stable")
+        second = order[np.searchsorted(self.kind[order], again) + 1]
+        second = np.where(second == self.first[again], order[np.searchsorted(self.kind[order], again)], second)
+        rows.append((own[again], self.low[second], self.high[second], again, 2))
+        rest = kinds[twice & ((code & OWNER) == 0)]
+        rows.append((own[rest], self.low[self.first[rest]], self.high[self.first[rest]], rest, 4))
+        for some, what in ((~twice & ((code & COMPANY) > 0), 1), (twice & ((code & COMPANY) > 0) & ((code & FIRST) > 0), 3)):
+            plain = kinds[some & ((code & SPLIT) == 0)]
+            rows.append((self.anchor[self.first[plain]], self.low[self.first[plain]], self.high[self.first[plain]], plain, what))
+            hot = kinds[some & ((code & SPLIT) > 0)]
+            rows += [(*r, what) for r in self._split_stretches(hot)]
+        group, begin, end, kind = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        return group, begin, end, kind, np.concatenate([np.full(len(r[0]), r[4], np.uint8) for r in rows])
+
+    def _split_stretches(self, kinds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The windows of hot regions by how many bytes they have on both sides of the minimum, in powers of two."""
+        gram = self.window // 2
+        rest = self.window - gram
+        least = lambda x: 1 << (x.bit_length() - 1) if x else 0
+        sides = [(least(left), least(rest - left)) for left in range(rest + 1)]
+        cut = [i for i in range(rest + 1) if not i or sides[i] != sides[i - 1]] + [rest + 1]
+        r = self.first[kinds]
+        order = np.argsort(self.at[r], kind="stable")
+        r, kinds = r[order], kinds[order]
+        for few, more in zip(cut[:-1], cut[1:]):
+            left, right = sides[few]
+            begin, end = np.maximum(self.low[r], self.at[r] - more + 1), np.minimum(self.high[r], self.at[r] - few)
+            some = np.flatnonzero(begin <= end)
+            for part in self.parts(some, self.at[r[some]]):
+                at = self.at[r[part]]
+                low = at[0] - left
+                sums = prefix_sums(self.data[low : at[-1] + gram + right].astype(U) + U(1))
+                group = mix(spans(sums, at - left - low, at + gram + right - low) + U(few + 1))
+                yield group, begin[part], end[part], kinds[part]
+
+
+def _groups(group: np.ndarray, some: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Some stretches in order of group, about SEGMENT bytes of whole groups at a time."""
+    some = some[np.argsort(group[some], kind="stable")]
+    if len(some):
+        new = np.flatnonzero(np.append(True, group[some][1:] != group[some][:-1]))
+        turn = (np.cumsum(size[some]) - size[some])[new] // SEGMENT
+        yield from np.split(some, new[1:][turn[1:] != turn[:-1]])
+
+
+def _bytes(column: pa.ChunkedArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of these rows one after the other, and where each begins (one more at the end)."""
+    own = column.take(pa.array(rows)).combine_chunks()
+    _, offsets, data = own.buffers()
+    off = np.frombuffer(offsets, np.int64, len(own) + 1, own.offset * 8)
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool = False) -> DataFrame:
@@ -232,84 +281,104 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool =
             again.append(np.unpackbits(np.frombuffer(p, np.uint8, -(-k // 8)), count=k).astype(bool))
             kinds.append(np.frombuffer(p[-(-k // 8) : len(p) - 6 * k], "<u8"))
             keys.append(unpack48(p[len(p) - 6 * k :]))
-        whole, part = X.joined_keys(keys)
-        kind = np.concatenate(kinds)
-        order = np.lexsort((kind, whole))
-        a, r = whole[order], kind[order]
+        every, part = X.joined_keys(keys)
+        kind, more = np.concatenate(kinds), np.concatenate(again)
+        order = np.lexsort((part, kind, every))
+        a, r = every[order], kind[order]
         new_a = np.concatenate(([True], a[1:] != a[:-1]))
-        new = np.flatnonzero(new_a | np.concatenate(([True], r[1:] != r[:-1])))
+        first = new_a | np.concatenate(([True], r[1:] != r[:-1]))
+        new = np.flatnonzero(first)
         size = np.diff(np.append(new, len(a)))
-        twice = (size > 1) | np.logical_or.reduceat(np.concatenate(again)[order], new)
+        twice = (size > 1) | np.logical_or.reduceat(more[order], new)
         group = np.cumsum(new_a)[new] - 1
-        many = np.bincount(group)[group] > 1
+        kinds_of = np.bincount(group)[group]
+        said = np.repeat(TWICE * twice + COMPANY * (kinds_of > 1) + SPLIT * (kinds_of > HOT), size).astype(np.uint8)
+        said[first] |= FIRST | OWNER
+        # the second chunk is an owner too, where the first has but one copy
+        after = new[(size > 1) & ~more[order][new]] + 1
+        said[after] |= OWNER
         code = np.empty(len(a), np.uint8)
-        code[order] = np.repeat(twice + 2 * many, size)
+        code[order] = said
         for i in range(len(rows)):
             yield code[_slice(part, i)].tobytes()
 
+    def sent(x: Regions, got: dict[int, bytes]):
+        """(the stretches of a chunk, by bucket: their numbers)."""
+        code = x.codes({b: p for b, p in got.items() if b < X.NEXT}, n)
+        found = x.stretches(code)
+        return found, list(X.by_bucket(found[0], n))
+
     def ends(table: pa.Table, got):
         x = Regions(table, length)
-        code = x.codes(got, n)
-        if not (code & 2).any():
-            return
-        # one region of each kind that has company; windows in page order
-        send = np.sort(np.concatenate((x.first[code == 3], np.flatnonzero(code[x.kind] == 2))))
-        keys, seconds, agains = [], [], []
-        for begin, key, second in x.keys(send):
-            low = begin[0]
-            mark = covered(begin - low, length, begin[-1] - low + length)
-            place = np.cumsum(mark) - 1
-            earlier, later = reaching(x.data[low : low + len(mark)][mark], place[begin - low], length)
-            keys.append(key[~earlier])
-            seconds.append(second[~earlier])
-            agains.append(later[~earlier])
-        keys, seconds, agains = np.concatenate(keys), np.concatenate(seconds), np.concatenate(agains)
-        for b, s in X.by_bucket(keys, n):
-            yield b, np.packbits(agains[s]).tobytes() + seconds[s].tobytes() + keys[s].tobytes()
-
-    def repeated(rows):
-        keys, seconds, agains = [], [], []
-        for _, p in rows:
-            k = len(p) * 8 // 97
-            while -(-k // 8) + 12 * k < len(p):
-                k += 1
-            bits = -(-k // 8)
-            agains.append(np.unpackbits(np.frombuffer(p, np.uint8, bits), count=k).astype(bool))
-            seconds.append(np.frombuffer(p, "<u4", k, bits))
-            keys.append(np.frombuffer(p, "<u8", k, bits + 4 * k))
-        whole, part = X.joined_keys(keys)
-        second = np.concatenate(seconds)
-        order = np.lexsort((second, whole))
-        new = np.flatnonzero(np.concatenate(([True], (whole[order][1:] != whole[order][:-1]) | (second[order][1:] != second[order][:-1]))))
-        size = np.diff(np.append(new, len(whole)))
-        hit = np.empty(len(whole), bool)
-        hit[order] = np.repeat((size > 1) | np.logical_or.reduceat(np.concatenate(agains)[order], new), size)
-        for i, k in enumerate(keys):
-            own = hit[_slice(part, i)]
-            yield seconds[i][own].tobytes() + k[own].tobytes()
-
-    def repeats(x: Regions, got: dict[int, bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(begin, key, second) of all repeated windows of a chunk, some at a time; without keys where a region is settled."""
-        code = x.codes({b: p for b, p in got.items() if b < X.NEXT}, n)[x.kind] if len(x.kind) else np.zeros(0, np.uint8)
-        held = [p for b, p in got.items() if X.NEXT <= b < 2 * X.NEXT]
-        for begin, key, second in x.keys(np.flatnonzero(code & 1)) if keep_first else ((x.starts(r), None, None) for r in x.parts(np.flatnonzero(code & 1))):
-            yield begin, key, second
-        for begin, key, second in x.keys(np.flatnonzero(code == 2)):
-            good = isin_pairs(key, second, held)
-            yield begin[good], key[good], second[good]
+        (group, begin, end, _, what), by = sent(x, got)
+        raw = x.data.tobytes()
+        for b, s in by:
+            own = [raw[i : j + length] if w != 4 else None for i, j, w in zip(begin[s].tolist(), end[s].tolist(), what[s].tolist())]
+            yield b, X.pack(pa.table({"group": group[s], "what": what[s], "bytes": pa.array(own, pa.large_binary())}))
+
+    def factors(rows):
+        tables = [X.unpack(p) for _, p in rows]
+        every = pa.concat_tables(tables)
+        group, what = every["group"].to_numpy(), every["what"].to_numpy()
+        size = pc.fill_null(pc.binary_length(every["bytes"]), 0).to_numpy().astype(np.int64)
+        bits = np.where(what == 1, size - length + 1, what != 3)  # of the answer
+        at = np.cumsum(bits) - bits
+        good = np.zeros(bits.sum(), bool)
+        # copies of whole regions
+        for some in _groups(group, np.flatnonzero(what == 2), size):
+            data, off = _bytes(every["bytes"], some)
+            good[at[some]] = whole(data, off[:-1], size[some])
+        owned = np.flatnonzero(what == 2)
+        owned = owned[np.argsort(group[owned], kind="stable")]
+        asked = np.flatnonzero(what == 4)
+        if len(owned) and len(asked):
+            held = np.minimum(np.searchsorted(group[owned], group[asked]), len(owned) - 1)
+            good[at[asked]] = (group[owned[held]] == group[asked]) & good[at[owned[held]]]
+        # windows of the others
+        for some in _groups(group, np.flatnonzero((what == 1) | (what == 3)), size):
+            data, off = _bytes(every["bytes"], some)
+            count = size[some] - length + 1
+            begin = np.repeat(off[:-1] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            earlier, later = reaching(data, begin, length)
+            mine = np.repeat(what[some] == 1, count)
+            to = np.repeat(at[some] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            good[to[mine]] = (earlier | later)[mine]
+        low = 0
+        for t in tables:
+            high = low + t.num_rows
+            first, last = (at[low], at[high - 1] + bits[high - 1]) if t.num_rows else (0, 0)
+            yield np.packbits(good[first:last]).tobytes()
+            low = high
+
+    def repeats(x: Regions, got: dict[int, bytes]) -> np.ndarray:
+        """Where all windows of a chunk begin that a factor says are repeated."""
+        (_, begin, end, kind, what), by = sent(x, got)
+        verified, out = np.zeros(len(x.first), bool), []
+        for b, s in by:
+            bits = np.where(what[s] == 1, end[s] - begin[s] + 1, what[s] != 3)
+            at = np.cumsum(bits) - bits
+            good = np.unpackbits(np.frombuffer(got[b + X.NEXT], np.uint8), count=bits.sum()).astype(bool)
+            one = (what[s] == 2) | (what[s] == 4)
+            verified[kind[s[one]]] |= good[at[one]]
+            some = what[s] == 1
+            count = bits[some]
+            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            out.append((np.repeat(begin[s[some]], count) + inside)[good[np.repeat(at[some], count) + inside]])
+        out.append(x.starts(np.flatnonzero(verified[x.kind])))
+        return np.sort(np.concatenate(out))
 
     def gone(table: pa.Table, got) -> pa.Table:
         x = Regions(table, length)
-        return _result(table, x.data, x.off, [begin for begin, _, _ in repeats(x, got)], length)
+        return _result(table, x.data, x.off, [repeats(x, got)], length)
 
     first = X.answered(X.asked(chunked, regions, n), companies)
-    second = X.answered(X.asked(X.rejoined(chunked, first), ends, n), repeated, X.NEXT)
+    second = X.answered(X.asked(X.rejoined(chunked, first), ends, n), factors, X.NEXT)
     if not keep_first:
         return X.finished(X.rejoined(chunked, first, second), gone, SCHEMA)
 
     def all_repeats(x: Regions, got: dict[int, bytes], ids: np.ndarray):
         """begin, key, second and id of all repeated windows, by key, then id and place."""
-        found = list(repeats(x, got))
+        found = list(x.keys(repeats(x, got)))
         begin, keys, second = (np.concatenate(y) for y in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, "<u4"))
         own = ids[np.searchsorted(x.off, begin, "right") - 1]
         order = np.lexsort((begin, own, second, keys))

@@ -200,16 +200,42 @@ def test_longest_previous_factors():
     rng = np.random.default_rng(0)
     for text in (rng.integers(97, 99, 60), np.full(20, 97), np.arange(5), np.zeros(0, int)):
         raw = bytes(text.astype(np.uint8))
-        earlier, later = lpf.lpf_arrays(text, 16)
         n = len(raw)
         fit = lambda i, j: next((k for k in range(16) if i + k >= n or j + k >= n or raw[i + k] != raw[j + k]), 16)
-        assert earlier.tolist() == [max((fit(i, j) for j in range(i)), default=0) for i in range(n)]
-        assert later.tolist() == [max((fit(i, j) for j in range(i + 1, n)), default=0) for i in range(n)]
         for length in (3, 8, 11):
-            at = np.arange(max(n - length + 1, 0))
+            at = range(max(n - length + 1, 0))
             if len(at):
-                a, b = lpf.reaching(text.astype(np.uint8), at, length)
-                assert a.tolist() == (earlier[at] >= length).tolist() and b.tolist() == (later[at] >= length).tolist()
+                a, b = lpf.reaching(text.astype(np.uint8), np.array(at), length)
+                assert a.tolist() == [any(fit(i, j) >= length for j in range(i)) for i in at]
+                assert b.tolist() == [any(fit(i, j) >= length for j in range(i + 1, n)) for i in at]
+
+
+def test_whole_stretches():
+    parts = [b"abc", b"abc\0", b"abd", b"abc", b"\0\0", b"\0", b"abc\0", b"", b"\0\0\0"]
+    size = np.array([len(p) for p in parts])
+    found = lpf.whole(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size)
+    assert found.tolist() == [parts.count(p) > 1 for p in parts]
+
+
+@pytest.mark.parametrize("name,said", [("reaching", lambda data, at, length: (np.zeros(len(at), bool),) * 2), ("whole", lambda data, begin, size: np.zeros(len(begin), bool))])
+def test_nothing_is_removed_unless_a_factor_says_so(docs, rows, monkeypatch, name, said):
+    monkeypatch.setattr(lpf, name, said)
+    found = got(lpf.remove_repeated_bytes(docs, 200), "doc_id", "n_removed")
+    want = sorted((r[0], r[2]) for r in brute.op9(rows, 200))
+    assert found != want and all(a[1] <= b[1] for a, b in zip(found, want))
+
+
+def test_hot_minima_are_split(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(lpf, "HOT", 1)
+    for first in (False, True):
+        found = lpf.remove_repeated_bytes(docs, 200, first)
+        assert got(found, "doc_id", "n_bytes", "n_removed", "n_spans", sha("kept")) == sorted(brute.op9(rows, 200, first))
+    rng = random.Random(2)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(450)
+    quoted = [(i, say(rng.randint(0, 150)) + passage[: rng.choice((450, 380, 300))] + rng.choice("xyz") * (i % 3) + say(rng.randint(0, 90))) for i in range(150)]
+    found = lpf.remove_repeated_bytes(spark.createDataFrame(quoted, "doc_id long, text string").repartition(5), 200)
+    assert got(found, "doc_id", "n_bytes", "n_removed", "n_spans", sha("kept")) == sorted(brute.op9(quoted, 200))
 
 
 def test_decontamination(spark, docs, none, rows):
