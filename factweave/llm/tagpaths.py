@@ -1,29 +1,32 @@
 """Main text of web pages by tag-path ratios.
 
 A page is a sequence of blocks, each with its path of block-level tags from the
-root.  For every distinct path the length of text, its punctuation and the share
-inside links are added up; length and punctuation per block are smoothed over
-neighbouring paths in page order and fused by their geometric mean.  A path is
-content if its ratio reaches a threshold, half the page's mean, and less than
-half of its text is in links; so is what else stands inside the content's own
-container, such as headings and short paragraphs.  <article> and <main> decide
-nothing alone: each such element has paths of its own, which count with `PRIOR`
-times their ratio, and the container of content in one of them is that element.
-Elements whose tag, role or class says that they are no article (menus, adverts,
-forms, comments, scripts) have no blocks.
+root.  For every distinct path the length of text outside links and its punctuation
+are added up; logarithms of both, per block, are smoothed over neighbouring paths in
+page order and fused by their geometric mean.  A path is content if its ratio is at
+least SHARE of the mean ratio of the page's text and less than half of its text is
+in links; a heading has the ratio of the path that follows it.
+
+Names only weigh: in <article> and <main>, unless a <div> inside wraps the block,
+ratios count PRIOR times more, by the share of the page's text that the element has,
+and MARKED times where a tag, role, class or id says that it is no article (menus,
+adverts, forms, comments).  Such an element has a path of its
+own, and so has each <article> and <main>.  The mean is that of the unmarked text; a
+page without any has an empty text.  Scripts, styles and hidden elements show no
+text and have no blocks.
 
 Nulls, empty pages and pages without text give an empty text.  Broken markup is
 read as browsers do: unclosed elements end with their parent, a paragraph ends
 at the next block, scripts and styles end at their own end tag alone, and a tag
 that never ends is text.  Time and memory are in proportion to the page.
-Repeated rows and ids are treated one by one; of paths with equal ratios the first
-in page order comes first.  An empty table gives an empty one; other columns are
-ignored.
+Repeated rows and ids are treated one by one; paths with equal ratios are kept or
+dropped together.  An empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,14 +40,16 @@ from factweave.llm import exchange as X
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
-OUTSIDE = frozenset("nav aside footer form script style noscript iframe noembed noframes template svg math title textarea button select menu dialog head object canvas audio video".split())
+SILENT = frozenset("script style noscript iframe noembed noframes template svg math title textarea button select head object canvas audio video".split())
+OUTSIDE = frozenset("nav aside footer form menu dialog".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 # Words in class or id that mark what is no article.
 NO_ARTICLE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr menu nav navbar navigation newsletter notice notices popup modal promo promotion related share sharing shares sidebar social sponsor sponsored subscribe toolbar widget".split())
 
-#: How much more the ratio of a path inside <article> or <main> counts.
-PRIOR = 2.0
+#: How much more the ratio of a path counts in an <article> or <main> with all the text; how much where its elements are
+#: marked; least share of the mean.
+PRIOR, MARKED, SHARE = 1.0, 0.1, 0.35
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile("[>\"']")
@@ -53,16 +58,15 @@ _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"
 _PUNCT = re.compile(r"[.,;:!?…。，！？]")
 
 
-def _outside(name: str, attributes: str, in_article: bool) -> bool:
-    if name in OUTSIDE or name == "header" and not in_article:
-        return True
+def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """(whether the element shows no text, whether its name, role, class or id says that it is no article)."""
+    silent, marked = name in SILENT, name in OUTSIDE or name == "header" and not in_article
     for key, value in _MARK.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in NO_ARTICLE_ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and any(w in NO_ARTICLE for w in re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+        silent |= key == "hidden" or key == "aria-hidden" and value == "true"
+        marked |= key == "role" and value in NO_ARTICLE_ROLES
+        marked |= key in ("class", "id") and name not in ("html", "body", "article", "main") and any(w in NO_ARTICLE for w in re.split(r"[^a-z0-9]+", value))
+    return silent, marked
 
 
 class Tags:
@@ -92,25 +96,20 @@ class Paths:
     """Distinct paths from the root as numbers; a parent's is smaller than its children's."""
 
     def __init__(self):
-        self.parent, self.name, self.inside = [-1], [""], [False]
-        self.number: dict[tuple[int, str], int] = {}
+        self.parent, self.name, self.inside, self.marked = [-1], [""], [False], [False]
+        self.number: dict[tuple[int, str, bool], int] = {}
 
-    def child(self, path: int, name: str) -> int:
-        key = path, name
+    def child(self, path: int, name: str, marked: bool) -> int:
+        """An element's path; one that is marked has another than its plain siblings."""
+        key = path, name, marked
         if key not in self.number:
             self.number[key] = len(self.parent)
             self.parent.append(path)
             self.name.append(name)
             self.inside.append(self.inside[path] or _article(name))
+            self.marked.append(self.marked[path] or marked)
         return self.number[key]
 
-    def under(self, top: int) -> list[bool]:
-        """Of each path, whether it is top or goes through it."""
-        out = [False] * len(self.parent)
-        for i in range(top, len(out)):
-            out[i] = i == top or i > 0 and out[self.parent[i]]
-        return out
-
 
 def _article(name: str) -> bool:
     return name.split("#")[0] in ("article", "main")
@@ -124,7 +123,7 @@ def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
     """(path, text, characters in links) of each block that may be content, in page order."""
     paths, tags = Paths(), Tags(page)
     out: list[tuple[int, str, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # element, whether it is outside, path
+    stack: list[tuple[str, bool, int]] = []  # element, whether it is silent, path
     opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = articles = 0
@@ -215,14 +214,14 @@ def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
             continue
-        outside, path = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        outside = outside or _outside(name, attributes, opened["article"] + opened["main"] > 0)
+        quiet, path = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        silent, marked = _kind(name, attributes, opened["article"] + opened["main"] > 0)
         if name in ("article", "main"):
             articles += 1
-            path = paths.child(path, f"{name}#{articles}")
-        elif name not in INLINE:
-            path = paths.child(path, name)
-        stack.append((name, outside, path))
+            path = paths.child(path, f"{name}#{articles}", marked)
+        elif name not in INLINE or marked:
+            path = paths.child(path, name, marked)
+        stack.append((name, quiet or silent, path))
         opened[name] += 1
     say(page[at:])
     leave(0)
@@ -230,7 +229,7 @@ def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
     return paths, out
 
 
-def ratios(found: list[tuple[int, str, int]], inside: list[bool]) -> dict[int, tuple[float, int, int]]:
+def ratios(found: list[tuple[int, str, int]]) -> dict[int, tuple[float, int, int]]:
     """(ratio, characters, characters in links) of each path, in page order."""
     stats: dict[int, list[int]] = {}
     for path, text, linked in found:
@@ -239,46 +238,58 @@ def ratios(found: list[tuple[int, str, int]], inside: list[bool]) -> dict[int, t
         x[1] += len(_PUNCT.findall(text))
         x[2] += linked
         x[3] += 1
-    length = [(n - min(linked, n)) / times for n, _, linked, times in stats.values()]
-    points = [marks / times for _, marks, _, times in stats.values()]
+    length = [math.log1p((n - min(linked, n)) / times) for n, _, linked, times in stats.values()]
+    points = [math.log1p(marks / times) for _, marks, _, times in stats.values()]
 
     def smooth(x: list[float]) -> list[float]:
-        return [(x[max(i - 1, 0)] + 4 * x[i] + x[min(i + 1, len(x) - 1)]) / 6 for i in range(len(x))]
+        x = [0.0, *x, 0.0]
+        return [math.expm1((x[i - 1] + 4 * x[i] + x[i + 1]) / 6) for i in range(1, len(x) - 1)]
 
     fused = [(a * (b + 1)) ** 0.5 for a, b in zip(smooth(length), smooth(points), strict=True)]
-    return {p: (x * (PRIOR if inside[p] else 1), s[0], s[2]) for (p, s), x in zip(stats.items(), fused, strict=True)}
+    return {p: (x, s[0], s[2]) for (p, s), x in zip(stats.items(), fused, strict=True)}
+
+
+def weights(paths: Paths, rated: dict[int, tuple[float, int, int]]) -> list[float]:
+    """How much the names on a path make its ratio count: more by the share of the page's text that its article has."""
+    held = [0] * len(paths.name)
+    for p, (_, n, linked) in rated.items():
+        held[p] = 0 if paths.marked[p] else n - min(linked, n)
+    for i in range(len(held) - 1, 0, -1):
+        held[paths.parent[i]] += held[i]
+    prior = [1.0] * len(paths.name)
+    for i in range(1, len(prior)):
+        if _article(paths.name[i]):
+            prior[i] = 1 + PRIOR * held[i] / max(held[0], 1)
+        elif paths.name[i] != "div":
+            prior[i] = prior[paths.parent[i]]
+    return [x * (MARKED if marked else 1.0) for x, marked in zip(prior, paths.marked)]
+
+
+def chosen(paths: Paths, found: list[tuple[int, str, int]]) -> set[int]:
+    """The paths that are content."""
+    rated = ratios(found)
+    weight = weights(paths, rated)
+    ratio = {p: r * weight[p] for p, (r, _, _) in rated.items()}
+    last = None
+    for p in reversed(list(ratio)):
+        if re.fullmatch("h[1-6]", paths.name[p]) and last is not None and not paths.marked[p] and not paths.marked[last]:
+            ratio[p] = max(ratio[p], ratio[last])
+        last = p
+    plain = [p for p in rated if not paths.marked[p]]
+    text = sum(rated[p][1] for p in plain)
+    if not text:
+        return set()
+    mean = sum(ratio[p] * rated[p][1] for p in plain) / text
+    return {p for p, (_, n, linked) in rated.items() if ratio[p] >= SHARE * mean and 2 * linked < n}
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the page's article, joined by an empty line."""
     paths, found = blocks(page or "")
-    if not found:
-        return ""
-    rated = ratios(found, paths.inside)
-    mean = sum(r * n for r, n, _ in rated.values()) / sum(n for _, n, _ in rated.values())
-    plain = {p for p, (_, n, linked) in rated.items() if linked < 0.5 * n}
-    content = {p for p in plain if rated[p][0] >= 0.5 * mean} or {max(rated, key=lambda p: rated[p][0])}
-    best = most = max(content, key=lambda p: rated[p][1])
-    if paths.inside[most]:
-        while not _article(paths.name[best]):
-            best = paths.parent[best]
-    else:
-        best = max(paths.parent[most], 0)
-    deep = _depth(paths, best) > 2
-    under = paths.under(best)
-    if deep or paths.inside[most]:
-        content |= {p for p in plain if under[p] and paths.inside[p] == paths.inside[most]}
-    content |= {p for p in rated if paths.parent[p] == best and re.fullmatch("h[1-6]", paths.name[p])}
+    content = chosen(paths, found)
     return "\n\n".join(text for path, text, _ in found if path in content)
 
 
-def _depth(paths: Paths, path: int) -> int:
-    n = 0
-    while path > 0:
-        path, n = paths.parent[path], n + 1
-    return n
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text."""
     X.tune(pages.sparkSession)

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 UPPER = {c: c + 32 for c in range(65, 91)}
 SPACED = re.compile("[^\x20\x09-\x0d]+")
@@ -119,10 +120,87 @@ def path_ratios(blocks):
     links = [sum(n for _, _, n in own[p]) for p in paths]
     rate = [max(a - b, 0) / len(own[p]) for a, b, p in zip(length, links, paths)]
     marks = [sum(len(re.findall("[.,;:!?…。，！？]", t)) for _, t, _ in own[p]) / len(own[p]) for p in paths]
-    near = lambda x, i: (x[max(i - 1, 0)] + 4 * x[i] + x[min(i + 1, len(x) - 1)]) / 6
+    at = lambda x, i: math.log1p(x[i]) if 0 <= i < len(x) else 0.0
+    near = lambda x, i: math.exp((at(x, i - 1) + 4 * at(x, i) + at(x, i + 1)) / 6) - 1
     return {p: math.sqrt(near(rate, i) * (near(marks, i) + 1)) for i, p in enumerate(paths)}
 
 
+class Blocks(HTMLParser):
+    """(path, text, characters in links) of the blocks of a well-formed page; names of marked elements end with !."""
+
+    RAW, MARKED = {"head", "script", "style", "title"}, {"nav", "footer", "aside", "form"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.parts, self.links, self.found, self.articles = [], [], 0, [], 0
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            self.found.append((tuple(n for n in self.stack if n not in ("a", "b", "i", "em", "strong", "span", "code")), text, self.links))
+        self.parts, self.links = [], 0
+
+    def handle_starttag(self, name, attributes):
+        if name == "br":
+            self.parts.append(" ")
+        if name in ("br", "meta", "img", "link", "hr", "input"):
+            return
+        if name not in ("a", "b", "i", "em", "strong", "span", "code"):
+            self.flush()
+            if "p" in self.stack and name in ("p", "div", "ul", "h2"):
+                while self.stack.pop() != "p":
+                    pass
+        self.articles += name == "article"
+        marked = name in self.MARKED or any(k == "class" and "ad" in (v or "").split("-") for k, v in attributes)
+        self.stack.append(f"article{self.articles}" if name == "article" else name + "!" * marked)
+
+    def handle_endtag(self, name):
+        plain = [re.sub(r"[0-9!]+$", "", n) if not re.fullmatch("h[1-6]", n) else n for n in self.stack]
+        if name in plain:
+            if name not in ("a", "b", "i", "em", "strong", "span", "code"):
+                self.flush()
+            elif any(n not in ("a", "b", "i", "em", "strong", "span", "code") for n in plain[len(plain) - plain[::-1].index(name) :]):
+                return
+            del self.stack[len(plain) - 1 - plain[::-1].index(name) :]
+
+    def handle_data(self, text):
+        if not self.RAW & set(self.stack):
+            self.parts.append(text)
+            self.links += len(text) * ("a" in self.stack)
+
+
+def op2(page):
+    """The texts of the paths whose weighted ratio is large enough."""
+    found = Blocks(page or "").found
+    if not found:
+        return ""
+    rated = path_ratios(found)
+    paths = list(rated)
+    marked = {p: any(n.endswith("!") for n in p) for p in paths}
+    size = {p: sum(len(t) for q, t, _ in found if q == p) for p in paths}
+    links = {p: sum(n for q, _, n in found if q == p) for p in paths}
+    held = {p: 0 if marked[p] else max(size[p] - links[p], 0) for p in paths}
+    for p in paths:
+        for i in range(len(p) - 1, -1, -1):
+            if p[i] == "div":
+                break
+            if p[i].startswith("article"):
+                rated[p] *= 1 + sum(n for q, n in held.items() if q[: i + 1] == p[: i + 1]) / max(sum(held.values()), 1)
+                break
+        rated[p] *= 0.1 if marked[p] else 1
+    for p, after in list(zip(paths, paths[1:]))[::-1]:
+        if re.fullmatch("h[1-6]", p[-1]) and not marked[p] and not marked[after]:
+            rated[p] = max(rated[p], rated[after])
+    text = sum(size[p] for p in paths if not marked[p])
+    if not text:
+        return ""
+    least = 0.35 * sum(rated[p] * size[p] for p in paths if not marked[p]) / text
+    return "\n\n".join(t for p, t, _ in found if rated[p] >= least and 2 * links[p] < size[p])
+
+
 def raked(rows, targets, rounds=300):
     """Probability of each (source, lang, topic, tokens)."""
     cells = Counter()

@@ -440,13 +440,48 @@ def test_path_ratios_choose(spark):
     for _ in range(30):
         page = "".join(f"<div><span><section>{say(rng.randint(1, 40))}</section></span></div>" if rng.random() < 0.3 else f"<section><h2>{say(3)}</h2><p>{say(rng.randint(1, 60))} <a href=x>{say(rng.randint(0, 6))}</a></p></section>" for _ in range(rng.randint(1, 12)))
         paths, found = tagpaths.blocks(page)
-        assert {p: pytest.approx(r) for p, r in brute.path_ratios(found).items()} == {p: x[0] for p, x in tagpaths.ratios(found, paths.inside).items()}
+        assert {p: pytest.approx(r) for p, r in brute.path_ratios(found).items()} == {p: x[0] for p, x in tagpaths.ratios(found).items()}
     text = "".join(f"<p>A sentence of the text, number {i}, with commas, and with an end. Another one follows it.</p>" for i in range(6))
     page = f"<body><div><ul>{'<li>Home</li><li>About us</li>' * 3}</ul></div><div><div><div>{text}</div></div></div><div><span>Call now</span></div></body>"
     assert tagpaths.main_text(page) == "\n\n".join(f"A sentence of the text, number {i}, with commas, and with an end. Another one follows it." for i in range(6))
     assert tagpaths.extract(spark.createDataFrame([], "page_id long, url string, html string, x int")).count() == 0
 
 
+def test_main_text_of_the_table_against_brute_force(spark):
+    """All pages of sf0.01; a ratio drops blocks of each, and names alone none."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").collect()
+    got_ = {r["page_id"]: r["text"] for r in queries.op2_tag_path_ratios(spark, "/root/testdata/sf0.01").collect()}
+    assert got_ == {r["page_id"]: brute.op2(r["html"]) for r in rows}
+    dropped = 0
+    for r in rows:
+        paths, found = tagpaths.blocks(r["html"])
+        dropped += any(p not in tagpaths.chosen(paths, found) for p, _, _ in found)
+    assert dropped == len(rows)
+
+
+def test_marks_only_weigh(monkeypatch):
+    """With marks that weigh nothing, menus of links still go and an advert as rich as the text stays."""
+    say = "A sentence of the text, number {}, with commas, and with an end. Another one follows it, which is longer, too."
+    text = "".join(f"<p>{say.format(i)}</p>" for i in range(5))
+    menu = "<nav><ul>" + "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(9)) + "</ul></nav>"
+    page = f"<body>{menu}<article>{text}</article><div class=ad><p>{say.format(9)}</p></div></body>"
+    want = [say.format(i) for i in range(5)]
+    assert tagpaths.main_text(page).split("\n\n") == want
+    monkeypatch.setattr(tagpaths, "MARKED", 1.0)
+    assert tagpaths.main_text(page).split("\n\n") == want + [say.format(9)]
+    assert tagpaths.main_text(menu) == ""
+
+
+def test_an_unmarked_notice_in_the_article_goes():
+    say = "A sentence of the text, number {}, with commas, and with an end. Another one follows it, which is longer, too. And a third."
+    text = "".join(f"<p>{say.format(i)}</p>" for i in range(4))
+    notice = '<div class="x1"><p>Subscribe to our letter today.</p></div>'
+    want = "Head\n\n" + "\n\n".join(say.format(i) for i in range(4))
+    assert tagpaths.main_text(f"<html><body><article><h1>Head</h1>{text}{notice}</article></body></html>") == want
+    items = "<ul><li>First thing, short.</li><li>Second thing, short too.</li></ul>"
+    assert tagpaths.main_text(f"<html><body><article>{text}{items}</article></body></html>").endswith("First thing, short.\n\nSecond thing, short too.")
+
+
 def test_raking_against_a_plain_version(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(1, 9) + rng.choice(["alpha1", "beta2", ""]), rng.choice("abc"), rng.choice(["en", "de"]), "p", "q") for i in range(200)]
