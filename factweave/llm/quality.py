@@ -1,16 +1,21 @@
 """Quality rules with thresholds from mergeable quantile sketches.
 
 Each document has rates: symbols per word character, lines that repeat earlier
-ones, words in repeated 8-word runs, characters per word.  KLL sketches of each
-rate, and of the sizes that rates are shares of, are aggregated by language and
-source, and merged to languages and to the corpus.  A group's quantiles are drawn
-to its language's, and those to the corpus', as if `weight` documents more had
-been seen there, so verdicts do not jump at any number of rows.  A document is
-rejected if a rate is beyond its group's upper quartile by `reach` times the
-distance between quartiles, or below the lower one for word lengths.  In groups
-where nearly all rates are equal the distance is what one occurrence (a symbol,
-a line, a run and its copy) makes in a document of the group's median size, which
-comes from sketches too.  A document below that size has wider limits, since one occurrence weighs more there and means vary more.
+ones, words in repeated 8-word runs, characters per word.  KLL sketches of rates are
+aggregated by language and source, and merged to languages and to the corpus.  A
+group's quantiles are drawn to its language's, and those to the corpus', as if
+`weight` documents more had been seen there, so verdicts do not jump at any number
+of rows.
+
+Characters per word are judged by the quartiles of the rows that pass the base rule:
+a document is rejected if it is more than `reach` distances between quartiles beyond
+one of them.  Below the group's median size, which is a quantile too, the distance
+grows with the root, since means of few words vary more.  The other rates are mostly
+zero, and what is odd in them may be no odder than what all of a source have.  So
+their limits come from the group's core, the documents whose characters per word are
+within `core` distances of the quartiles: the quantile `tail` of their rates, and
+`beyond` times its distance from their median on top.  No limit is fixed, nor is any
+unit of one.
 
 DataFrame functions only.  The table of thresholds has a row for each language
 and source; Spark broadcasts it if it is small when measured, and joins by
@@ -31,10 +36,8 @@ from pyspark.sql import functions as F
 
 from factweave.llm import exchange as X
 
-#: Rate: (size that it is a share of, how much of it one occurrence is, whether small values are rejected too).
-RATES = {"symbol_rate": ("word_chars", 1, False), "dup_line_rate": ("n_lines", 1, False), "repeat_rate": ("n_words", 16, False), "word_length": ("n_words", 1, True)}
-SIZES = ("word_chars", "n_lines", "n_words")
-
+#: Rates whose limit is the tail of the core's.
+TAILED = ("symbol_rate", "dup_line_rate", "repeat_rate")
 
 
 def measures(docs: DataFrame, keep: list[str], run: int = 8) -> DataFrame:
@@ -72,16 +75,14 @@ def _with_rates(df: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rated: DataFrame, weight: float = 25.0) -> DataFrame:
-    """(lang, source, q25_<rate>, q75_<rate>, typical_<size>) from the rated rows that pass the base rule."""
-    base = rated.where(~F.col("base_failed"))
-    kept = (*RATES, *SIZES)
-    own = base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(r).cast("double")).alias(r) for r in kept))
-    merged = lambda: [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in kept)]
+def quantiles(rows: DataFrame, groups: DataFrame, wanted: dict[str, tuple[str, float]], weight: float) -> DataFrame:
+    """(lang, source, name...) for each of groups: quantiles (column, share) of rows by their sketches, null if there are no rows."""
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    own = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(c).cast("double")).alias(c) for c in columns))
+    merged = lambda: [F.sum("n").alias("n"), *(F.kll_merge_agg_double(c).alias(c) for c in columns)]
     by_lang = own.groupBy("lang").agg(*merged())
     whole = own.agg(*merged())
-    named = lambda df, tag, *keys: df.select(*(F.col(k).alias(f"{k}_{tag}") for k in keys), *(F.col(c).alias(f"{c}_{tag}") for c in ("n", *kept)))
-    groups = rated.select("lang", "source").distinct()
+    named = lambda df, tag, *keys: df.select(*(F.col(k).alias(f"{k}_{tag}") for k in keys), *(F.col(c).alias(f"{c}_{tag}") for c in ("n", *columns)))
     held = groups.join(named(own, "own", "lang", "source"), F.col("lang").eqNullSafe(F.col("lang_own")) & F.col("source").eqNullSafe(F.col("source_own")), "left")
     held = held.join(named(by_lang, "lang", "lang"), F.col("lang").eqNullSafe(F.col("lang_lang")), "left").join(F.broadcast(named(whole, "all")))
 
@@ -92,28 +93,39 @@ def thresholds(rated: DataFrame, weight: float = 25.0) -> DataFrame:
             out = F.when(n > 0, (n * F.kll_sketch_get_quantile_double(f"{x}_{tag}", F.lit(q)) + weight * out) / (n + weight)).otherwise(out)
         return out
 
-    quartiles = [quantile(r, q).alias(f"q{100 * q:.0f}_{r}") for r in RATES for q in (0.25, 0.75)]
-    return held.select("lang", "source", *quartiles, *(quantile(s, 0.5).alias(f"typical_{s}") for s in SIZES))
+    return held.select("lang", "source", *(quantile(*w).alias(name) for name, w in wanted.items()))
+
+
+def _beside(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """rows with the limits of their language and source."""
+    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    return rows.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
+
+
+def _within(distances: float) -> Column:
+    """Whether a document's characters per word are within so many distances of the quartiles."""
+    between = (F.col("q75_word_length") - F.col("q25_word_length")) * F.sqrt(F.greatest(F.col("typical_words") / F.greatest(F.col("n_words"), F.lit(1)), F.lit(1.0)))
+    return F.col("word_length").between(F.col("q25_word_length") - distances * between, F.col("q75_word_length") + distances * between)
+
+
+LENGTHS = {"q25_word_length": ("word_length", 0.25), "q75_word_length": ("word_length", 0.75), "typical_words": ("n_words", 0.5)}
 
 
-def _distance(rate: str) -> Column:
-    """Between quartiles, for a document of this size."""
-    of, unit, both = RATES[rate]
-    between, typical, size = F.col(f"q75_{rate}") - F.col(f"q25_{rate}"), F.col(f"typical_{of}"), F.greatest(F.col(of), F.lit(1))
-    if both:  # means: their deviation falls with the root of the size; a single one deviates by a unit at least
-        return F.greatest(between, unit / F.sqrt(typical)) * F.sqrt(F.greatest(typical / size, F.lit(1.0)))
-    return F.greatest(between, unit / F.least(typical, size))
+def thresholds(rated: DataFrame, weight: float = 25.0, core: float = 0.75, tail: float = 0.99, beyond: float = 2.0) -> DataFrame:
+    """(lang, source, quartiles of word length, typical size, limit_<rate>) from the rated rows that pass the base rule."""
+    base, groups = rated.where(~F.col("base_failed")), rated.select("lang", "source").distinct()
+    lengths = X.checkpoint(quantiles(base, groups, LENGTHS, weight))
+    inner = _beside(base, lengths).where(_within(core))
+    tails = quantiles(inner, groups, {f"{kind}_{r}": (r, q) for r in TAILED for kind, q in (("high", tail), ("mid", 0.5))}, weight)
+    limit = lambda r: (F.col(f"high_{r}") + beyond * (F.col(f"high_{r}") - F.col(f"mid_{r}"))).alias(f"limit_{r}")
+    return _beside(lengths, tails.select("lang", "source", *(limit(r) for r in TAILED)))
 
 
-def judged(docs: DataFrame, weight: float = 25.0, reach: float = 3.0) -> DataFrame:
-    """Per row of docs (doc_id, text, lang, source): its counts and rates, base_failed and kept."""
+def judged(docs: DataFrame, weight: float = 25.0, reach: float = 3.0, core: float = 0.75, tail: float = 0.99, beyond: float = 2.0) -> DataFrame:
+    """Per row of docs (doc_id, text, lang, source): its counts and rates, the limits of its group, base_failed and kept."""
     rated = X.checkpoint(_with_rates(measures(docs, ["doc_id", "lang", "source"])))
-    limits = thresholds(rated, weight).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    both = rated.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
-    good: Column = ~F.col("base_failed")
-    for rate, (_, _, low) in RATES.items():
-        far = reach * _distance(rate)
-        good &= F.coalesce(F.col(rate) <= F.col(f"q75_{rate}") + far, F.lit(True))
-        if low:
-            good &= F.coalesce(F.col(rate) >= F.col(f"q25_{rate}") - far, F.lit(True))
+    both = _beside(rated, X.checkpoint(thresholds(rated, weight, core, tail, beyond)))
+    good = ~F.col("base_failed") & F.coalesce(_within(reach), F.lit(True))
+    for rate in TAILED:
+        good &= F.coalesce(F.col(rate) <= F.col(f"limit_{rate}"), F.lit(True))
     return both.withColumn("kept", good)

@@ -33,6 +33,38 @@ def op4(text):
     return len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
 
 
+def op4_kept(rows, weight=25.0, reach=3.0, core=0.75, tail=0.99, beyond=2.0):
+    """Verdicts of (text, lang, source), with quantiles of sorted lists."""
+    rated = []
+    for text, lang, source in rows:
+        n, chars, symbols, dup, repeat = op4(text)
+        lines = sum(bool(SPACED.search(x)) for x in (text or "").split("\n"))
+        failed = n < 20 or 100 * repeat > 30 * n
+        rated.append(((lang, source), failed, n, chars / max(n, 1), (symbols / max(chars, 1), dup / max(lines, 1), repeat / max(n, 1))))
+
+    def quantile(group, rows, value, q):
+        out = None
+        for own in (rows, [r for r in rows if r[0][0] == group[0]], [r for r in rows if r[0] == group]):
+            if own:
+                x = sorted(map(value, own))[max(math.ceil(q * len(own)) - 1, 0)]
+                out = x if out is None else (len(own) * x + weight * out) / (len(own) + weight)
+        return out
+
+    base = [r for r in rated if not r[1]]
+    length, words = (lambda r: r[3]), (lambda r: r[2])
+    groups = {r[0] for r in rated}
+    quartiles = {g: [quantile(g, base, length, 0.25), quantile(g, base, length, 0.75), quantile(g, base, words, 0.5)] for g in groups} if base else {}
+
+    def within(r, distances):
+        low, high, typical = quartiles[r[0]]
+        between = (high - low) * math.sqrt(max(typical / max(r[2], 1), 1))
+        return low - distances * between <= r[3] <= high + distances * between
+
+    inner = [r for r in base if within(r, core)]
+    limits = {g: [(1 + beyond) * quantile(g, inner, lambda r: r[4][i], tail) - beyond * quantile(g, inner, lambda r: r[4][i], 0.5) if inner else math.inf for i in range(3)] for g in groups}
+    return [not r[1] and within(r, reach) and all(x <= limit + 1e-12 for x, limit in zip(r[4], limits[r[0]])) for r in rated]
+
+
 def op6(docs, k=20):
     first, words = {}, [SPACED.findall(t or "") for _, t in docs]
     order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0))

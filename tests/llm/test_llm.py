@@ -280,12 +280,43 @@ def test_quality_limits_do_not_jump(spark):
     rated = lambda n: [("en", "big", 5.0)] * 500 + [("en", "new", 9.0)] * n
     held = []
     for n in (10, 98, 99, 100, 101, 5000):
-        df = spark.createDataFrame(rated(n), "lang string, source string, word_length double").select("*", F.lit(False).alias("base_failed"), *(F.lit(0.0).alias(r) for r in quality.RATES if r != "word_length"), *(F.lit(100).alias(x) for x in quality.SIZES))
+        df = spark.createDataFrame(rated(n), "lang string, source string, word_length double").select("*", F.lit(False).alias("base_failed"), *(F.lit(0.0).alias(r) for r in quality.TAILED), F.lit(100).alias("n_words"))
         held.append(quality.thresholds(df).where("source = 'new'").first()["q25_word_length"])
     assert held == sorted(held) and 5 < held[0] < 7 and held[-1] > 8.9
     assert max(b - a for a, b in zip(held[1:4], held[2:5], strict=True)) < 0.05
 
 
+def test_quality_verdicts_against_a_plain_version(spark):
+    """Groups of few rows, so that sketches hold all values; symbols, repeated lines and runs in some sources."""
+    rng = random.Random(6)
+    say = lambda k: [rng.choice("abcdefghij") * rng.randint(2, 7) for _ in range(k)]
+    rows = [(None, "en", "s0"), ("", None, "s1"), ("few words", "en", None)]
+    for i in range(170):
+        w = say(rng.randint(15, 120))
+        if i % 3 == 0 or i % 17 == 0:
+            w += ["#$" * rng.randint(1, 9 if i % 17 else 60)]
+        if i % 5 == 1:
+            w[3:3] = w[:10] * rng.randint(1, 2)
+        lines = [" ".join(w[j : j + 9]) for j in range(0, len(w), 9)]
+        if i % 7 == 2:
+            lines += lines[: rng.randint(1, 4)]
+        if i % 19 == 4:
+            lines = [x.replace(" ", "") for x in lines] + lines[:3]
+        rows.append(("\n".join(lines), rng.choice(["en", "de", None]), f"s{i % 3}"))
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(3)
+    found = quality.judged(docs).orderBy("doc_id").collect()
+    want = brute.op4_kept(rows)
+    assert [r["kept"] for r in found] == want and 20 < sum(want) < 165
+
+
+def test_quality_limits_differ_between_groups_of_the_table(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    rated = quality.X.checkpoint(quality._with_rates(quality.measures(spark.read.parquet(path), ["doc_id", "lang", "source"])))
+    held = quality.thresholds(rated).toPandas()
+    assert held.limit_repeat_rate.nunique() > 40 and held.limit_dup_line_rate.nunique() > 40 and held.q75_word_length.nunique() > 40
+    assert held.limit_symbol_rate.nunique() > 1
+
+
 def test_toxicity(spark, none):
     rng = random.Random(0)
     calm, rude, groups = [f"w{i}" for i in range(60)], ["moron", "scum", "idiot"], ["muslim", "christian", "jewish"]
