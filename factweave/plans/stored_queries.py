@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.operators import search
+from factweave.operators.word_index import WordIndex
 from factweave.plans.graph_queries import ORACLE, QUERIES
-from factweave.plans.queries import g_vec, query
+from factweave.plans.queries import FUZZY, KEY, WORDS, first_vector, g_vec, named_docs, query
+from factweave.session import stored
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -22,3 +25,43 @@ def knn_index_recalled(s, d):
     found = exact.join(search.knn_join_approximate(asked, v, 10).select("query", "content", "score"), ["query", "content"], "left")
     right = F.min(F.col("score").isNull() | (F.abs(F.col("score") - F.col("exact")) < 1.5e-6))
     return found.groupBy("query").agg((F.count("score") >= F.least(F.lit(9), F.count("exact"))).alias("recalled"), right.alias("right"))
+
+
+# words
+
+def word_index(s, d) -> WordIndex:
+    """The index of all documents, made by the first query that needs it."""
+    return WordIndex(s, stored(s, "words", [f"{d}/documents.parquet"], lambda folder: WordIndex.build(named_docs(s, d), folder)))
+
+
+@query(ORACLE["keyword_idf_top"])
+def keyword_index_top(s, d):
+    return word_index(s, d).keyword(WORDS, 25)
+
+
+@query(f"WITH {KEY} SELECT * FROM kw")
+def keyword_index_all(s, d):
+    return word_index(s, d).keyword(WORDS, None)
+
+
+@query(ORACLE["keyword_fuzzy_top"])
+def keyword_index_fuzzy(s, d):
+    return word_index(s, d).fuzzy(FUZZY, 25)
+
+
+@query(ORACLE["hybrid_rrf_window"])
+def hybrid_index_window(s, d):
+    """Both channels as far as their window; the index ends its own early."""
+    near = search.scored(g_vec(s, d), first_vector(s, d)).withColumn("content", F.regexp_replace("content", "v", "d"))
+    return search.fuse(near, word_index(s, d).keyword(WORDS, 100), window=100)
+
+
+@query(rf"""WITH w AS (SELECT 'd'||doc_id AS content, unnest(list_distinct(regexp_extract_all(lower(text),'[\p{{L}}\p{{M}}\p{{N}}_]{{2,}}'))) AS word FROM documents),
+f AS (SELECT word, ln(1+(SELECT count(*) FROM documents)/count(*)) AS weight FROM w WHERE word IN ('of','the') GROUP BY word),
+kw AS (SELECT content, round(sum(weight),6) AS score FROM w JOIN f USING (word) GROUP BY content)
+SELECT content, score, row_number() OVER (ORDER BY score DESC, content)::INT AS rank FROM
+(SELECT 'd'||doc_id AS content, coalesce(score, 0) AS score FROM documents LEFT JOIN kw ON kw.content='d'||doc_id WHERE contains(lower(text), 'of the') ORDER BY score DESC, content LIMIT 25)""")
+def keyword_phrase_ranked(s, d):
+    """The best 25 of the contents with a phrase, in order."""
+    found = word_index(s, d).phrase(named_docs(s, d), "of the", 25)
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "content")))

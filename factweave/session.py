@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 
@@ -26,3 +27,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(spark: SparkSession, name: str, inputs: list[str], make) -> str:
+    """A folder that make(folder) has filled, once for each application and state of the inputs, which are paths."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    state = []
+    for path in inputs:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        state.append((path, fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()))
+    key = hashlib.sha256(repr(state).encode()).hexdigest()[:24]
+    folder = f"{shared_folder(spark)}/stored-{spark.sparkContext.applicationId}/{name}-{key}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{folder}/_done")
+    fs = done.getFileSystem(conf)
+    if not fs.exists(done):
+        fs.delete(done.getParent(), True)  # what an attempt that failed has left
+        make(folder)
+        fs.create(done).close()
+    return folder
