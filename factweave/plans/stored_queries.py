@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.operators import search
+from factweave.operators.adjacency import Adjacency
 from factweave.operators.word_index import WordIndex
 from factweave.plans.graph_queries import ORACLE, QUERIES
-from factweave.plans.queries import FUZZY, KEY, WORDS, first_vector, g_vec, named_docs, query
-from factweave.session import stored
+from factweave.plans.queries import FUZZY, KEY, SUP, WORDS, first_vector, g_sup, g_vec, named_docs, query
+from factweave.session import checkpoint, stored
+from factweave.session import table as t
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -65,3 +67,77 @@ def keyword_phrase_ranked(s, d):
     """The best 25 of the contents with a phrase, in order."""
     found = word_index(s, d).phrase(named_docs(s, d), "of the", 25)
     return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "content")))
+
+
+# adjacency and walks of many questions
+
+TIES = "q AS (SELECT 'p'||p_partkey AS a, 'p'||(p_partkey+1) AS b FROM part WHERE p_partkey%10=0), t AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q)"
+ASKED = "z AS (SELECT 'p'||p_partkey AS question FROM part WHERE p_partkey%50=0)"
+OUT = "direction = 'out' and label is null"
+
+
+def supply(s, d) -> Adjacency:
+    """Suppliers, parts, orders, customers and nations, and ties between parts, made by the first query that needs it."""
+
+    def make(folder):
+        ties = t(s, d, "part").where("p_partkey % 10 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("src"), F.concat(F.lit("p"), F.col("p_partkey") + 1).alias("dst"), F.lit("same_as").alias("label"))
+        Adjacency.build(g_sup(s, d).withColumn("label", F.lit(None).cast("string")).unionByName(ties), folder)
+
+    return Adjacency(s, stored(s, "supply", [f"{d}/{x}.parquet" for x in ("lineitem", "orders", "customer", "part")], make))
+
+
+def asked(s, d):
+    """Every part whose key is divisible by 50 asks from itself."""
+    name = F.concat(F.lit("p"), "p_partkey")
+    return t(s, d, "part").where("p_partkey % 50 = 0").select(name.alias("question"), name.alias("node"))
+
+
+@query(f"""WITH {SUP}, {TIES}, {ASKED}, m AS (SELECT src, dst AS nbr, NULL AS label, 'out' AS direction FROM e UNION ALL SELECT dst, src, NULL, 'in' FROM e
+UNION ALL SELECT a, b, 'same_as', 'out' FROM q UNION ALL SELECT b, a, 'same_as', 'in' FROM q)
+SELECT question, nbr, label, direction FROM z JOIN m ON m.src=question""")
+def stored_neighbours(s, d):
+    return supply(s, d).step(asked(s, d)).select("question", "nbr", "label", "direction")
+
+
+@query(f"""WITH RECURSIVE {SUP}, {ASKED}, m AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+r AS (SELECT question, question AS node, 0 AS depth FROM z UNION SELECT r.question, m.dst, r.depth+1 FROM r JOIN m ON m.src=r.node WHERE r.depth<2)
+SELECT question, node, min(depth)::INT AS depth FROM r GROUP BY ALL""")
+def discover_many(s, d):
+    """Both directions, two levels, all questions in one walk."""
+    return supply(s, d).reach(asked(s, d), 2, "label is null").select("question", "node", "depth")
+
+
+CAUSAL = f"""{SUP}, {TIES}, {ASKED}, st AS (SELECT src, dst, 1 AS cost FROM e UNION ALL SELECT a, b, 0 FROM t),
+r AS (SELECT question, question AS node, 0 AS depth FROM z UNION SELECT r.question, st.dst, r.depth+st.cost FROM r JOIN st ON st.src=r.node WHERE r.depth+st.cost<=3),
+l AS (SELECT question, node, min(depth) AS depth FROM r GROUP BY ALL), h AS (SELECT question, e.src AS cause, e.dst AS effect, l.depth+1 AS depth FROM l JOIN e ON e.src=l.node WHERE l.depth<3)"""
+
+
+@query(f"WITH RECURSIVE {CAUSAL} SELECT question, cause, effect, depth::INT AS depth FROM h")
+def trace_many(s, d):
+    """The effects of all questions' parts, three levels, with parts of one name passed at no cost."""
+    g = supply(s, d)
+    return g.hops(g.reach(asked(s, d), 3, OUT, ties=True), 3, OUT)
+
+
+@query(f"""WITH RECURSIVE {CAUSAL.replace('l.depth<3', 'l.depth<1')} SELECT DISTINCT question, effect AS node FROM h WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.question=h.question AND x.cause=h.effect)
+AND NOT EXISTS (SELECT 1 FROM t JOIN h x ON x.cause=t.b WHERE t.a=h.effect AND x.question=h.question)""")
+def terminals_many(s, d):
+    g = supply(s, d)
+    reached = checkpoint(g.reach(asked(s, d), 3, OUT, ties=True))
+    return g.terminals(reached, g.hops(reached, 1, OUT))
+
+
+@query(f"""WITH RECURSIVE {SUP}, f AS (SELECT DISTINCT 's'||l_suppkey AS src, 'p'||l_partkey AS dst, l_returnflag AS fact FROM lineitem),
+z AS (SELECT 's'||s_suppkey||':'||fact AS question, 's'||s_suppkey AS node, fact FROM supplier, (SELECT DISTINCT fact FROM f) WHERE s_suppkey%50=0),
+cut AS (SELECT question, src, dst FROM z JOIN f ON f.src=z.node GROUP BY question, src, dst, z.fact HAVING bool_and(f.fact=z.fact)),
+r AS (SELECT question, node, 0 AS depth FROM z UNION SELECT r.question, e.dst, r.depth+1 FROM r JOIN e ON e.src=r.node WHERE r.depth<2),
+k AS (SELECT question, node, 0 AS depth FROM z UNION SELECT k.question, e.dst, k.depth+1 FROM k JOIN e ON e.src=k.node WHERE k.depth<2 AND NOT EXISTS (SELECT 1 FROM cut WHERE cut.question=k.question AND cut.src=e.src AND cut.dst=e.dst))
+SELECT question, node, min(depth)::INT AS depth FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.question=r.question AND k.node=r.node) GROUP BY ALL""")
+def what_if_many(s, d):
+    """For each supplier divisible by 50 and each return flag: what it reaches only by supplies that this flag alone asserts."""
+    line = t(s, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("node"), F.concat(F.lit("p"), "l_partkey").alias("nbr"), F.col("l_returnflag").alias("fact")).distinct()
+    own = t(s, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    asked_ = own.join(line.select("fact").distinct()).withColumn("question", F.concat_ws(":", "node", "fact"))  # three flags
+    sole = line.groupBy("node", "nbr").agg(F.count(F.lit(1)).alias("n"), F.min("fact").alias("fact")).where("n = 1")
+    blocked = asked_.join(sole, ["node", "fact"]).select("question", "node", "nbr")
+    return supply(s, d).collapsed(asked_.select("question", "node"), 2, blocked, OUT)
