@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from factweave.operators import search
 from factweave.operators.adjacency import Adjacency
 from factweave.operators.word_index import WordIndex
 from factweave.plans.graph_queries import ORACLE, QUERIES
-from factweave.plans.queries import FUZZY, KEY, SUP, WORDS, first_vector, g_sup, g_vec, named_docs, query
-from factweave.session import checkpoint, stored
+from factweave.plans.queries import FUZZY, KEY, SUP, WORDS, first_vector, g_doc, g_sup, g_vec, named_docs, query
+from factweave.session import checkpoint, shared_folder, stored
 from factweave.session import table as t
+from factweave.sources import versions
+from factweave.sources.versions import VersionedTable
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -141,3 +145,56 @@ def what_if_many(s, d):
     sole = line.groupBy("node", "nbr").agg(F.count(F.lit(1)).alias("n"), F.min("fact").alias("fact")).where("n = 1")
     blocked = asked_.join(sole, ["node", "fact"]).select("question", "node", "nbr")
     return supply(s, d).collapsed(asked_.select("question", "node"), 2, blocked, OUT)
+
+
+# versioned tables
+
+def versioned(s, name, keys, columns, merges) -> VersionedTable:
+    return VersionedTable(s, f"{shared_folder(s)}/versioned-{name}-{uuid.uuid4()}", keys, columns, merges)
+
+
+@query(ORACLE["upsert_union_scopes"])
+def versioned_scopes(s, d):
+    """Two commits that share contents, then a compaction: scopes united, the least id kept."""
+    rows = g_doc(s, d).select(F.col("text").alias("content"), "doc_id", F.array("source").alias("scopes"))
+    table = versioned(s, "scopes", "content string", "doc_id long, scopes array<string>", {"doc_id": versions.least, "scopes": versions.union})
+    for part in (rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")):
+        table.commit(part)
+    table.compact()
+    return table.read().select("content", "doc_id", F.concat_ws(",", "scopes").alias("scopes"))
+
+
+@query(ORACLE["edge_label_merge"])
+def versioned_labels(s, d):
+    """Edges committed in three parts; the last label that isn't null stays."""
+    label = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("l"), F.col("event_id") % 7))
+    e = t(s, d, "events").select(F.concat(F.lit("u"), "user_id").alias("src"), F.col("event_type").alias("dst"), label.alias("label"), F.col("event_id").alias("seq"))
+    table = versioned(s, "labels", "src string, dst string", "label string", {"label": versions.latest_known})
+    third = e.agg(F.max("seq")).first()[0] // 3 + 1
+    for i in range(3):
+        table.commit(e.where(F.floor(F.col("seq") / third) == i))
+    return table.read()
+
+
+@query(ORACLE["delete_nodes_left"])
+def versioned_deletes(s, d):
+    """Parts and suppliers, then large parts and all suppliers deleted, and the suppliers inserted again."""
+    name = lambda letter, c: F.concat(F.lit(letter), c).alias("content")
+    parts, suppliers = t(s, d, "part"), t(s, d, "supplier").select(name("s", "s_suppkey"), F.lit("supplier").alias("kind"))
+    table = versioned(s, "nodes", "content string", "kind string", {})
+    table.commit(parts.select(name("p", "p_partkey"), F.lit("part").alias("kind")).unionByName(suppliers.withColumn("kind", F.lit("old"))))
+    gone = parts.where("p_size > 25").select(name("p", "p_partkey")).unionByName(suppliers.select("content"))
+    table.update(lambda held: (suppliers, held.join(gone, "content", "left_semi")))
+    return table.read()
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events WHERE event_id <= (SELECT max(event_id)//2 FROM events) GROUP BY user_id")
+def versioned_snapshot(s, d):
+    """What a table was before its second commit and its compaction."""
+    events = t(s, d, "events")
+    half = events.agg(F.max("event_id")).first()[0] // 2
+    table = versioned(s, "users", "user_id long", "n long, last long", {"n": lambda c, order: F.sum(c), "last": lambda c, order: F.max(c)})
+    for part in (events.where(F.col("event_id") <= half), events.where(F.col("event_id") > half)):
+        table.commit(part.select("user_id", F.lit(1).cast("long").alias("n"), F.col("event_id").cast("long").alias("last")))
+    table.compact()
+    return table.read(1)
