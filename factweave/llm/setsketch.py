@@ -20,7 +20,7 @@ With the defaults, a pair at the threshold shares no band once in 300 000 times.
 Nulls and texts without words have empty sets and are linked with nothing; a
 text with fewer words than a shingle is one shingle.  Rows with equal or null ids
 are treated one by one: a null id links like any other, and is the least id of a
-group only if it has no other.  An empty table gives an empty one.  Texts are in
+group only if it has no other.  Ids may be of any type that has an order.  An empty table gives an empty one.  Texts are in
 memory a few megabytes at a time, a longer one as a whole.  Other columns are
 ignored, or kept by distinct().
 """
@@ -106,11 +106,12 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 held, first = shingle_sets(piece.column(1), k)
                 regs = registers(held, first)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).cast(pa.int64()), piece.column(2), pa.array(_class(held, first)), pa.array(np.diff(first)), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    [piece.column(0), piece.column(2), pa.array(_class(held, first)), pa.array(np.diff(first)), pa.array([r.tobytes() for r in regs], pa.binary())],
                     ["doc_id", "digest", "node", "n_shingles", "registers"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, "doc_id long, digest long, node long, n_shingles long, registers binary")
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("digest long, node long, n_shingles long, registers binary").fields])
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -129,8 +130,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.select("text", "node").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose sizes and registers allow so much similarity."""
+def _estimated(pairs: DataFrame, classes: DataFrame, percent: int, least: float) -> DataFrame:
+    """Pairs (a, b) whose sizes allow the similarity, and whose registers allow so much."""
     a = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("size_a"), F.col("registers").alias("regs_a"))
     b = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("size_b"), F.col("registers").alias("regs_b"))
 
@@ -142,7 +143,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 good = likeliest(*regs, *(x.column(c).to_numpy().astype(float) for c in ("size_a", "size_b"))) >= least
                 yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(good)), x.column("b").filter(pa.array(good))], ["a", "b"])
 
-    near = pairs.join(a, "a").join(b, "b").where("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
+    near = pairs.join(a, "a").join(b, "b").where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
     return near.select("a", "b", "size_a", "size_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
@@ -250,7 +251,7 @@ def _found(docs: DataFrame, k: int, percent: int, margin: float) -> tuple[DataFr
     pairs = shared.select("node", F.col("low").alias("leader")).distinct().unionAll(shared.join(other, "key").select("node", F.col("other").alias("leader"))).where("node <> leader")
     pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     least = percent / 100 - margin
-    pairs = X.checkpoint(_estimated(pairs, classes, least))
+    pairs = X.checkpoint(_estimated(pairs, classes, percent, least))
     links = X.checkpoint(_confirmed(pairs, sets, percent))
     found = components(links)
     # members of one bucket that are still apart

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factweave.llm import anchors, ctw, lpf, pii, quality, queries, raking, setsketch, tagpaths, toxicity, winnow
 from factweave.llm.textops import SPACED, flat, words
 
+SPACED_WORD = brute.SPACED
 DOCS = "doc_id long, text string, lang string, source string, score string, chunk string"
 
 
@@ -573,6 +574,27 @@ def test_pipeline_on_the_smallest_tables(spark):
     assert found and all(r["text"] == tool.apply(held[r["doc_id"]])[0] for r in found)
 
 
+def test_stages_take_ids_of_text_and_columns_of_any_name(spark, rows):
+    """Each stage by itself: text ids, null and repeated ones, names with dots, blanks and quotes, an empty table."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    made = [(None if d == 3 else f"id {d % 40}", t, "en", f"s{d % 3}", len(t or ""), i, "x") for i, (d, t) in enumerate(rows)]
+    docs = spark.createDataFrame(made, "doc_id string, text string, lang string, source string, n_chars long, `a.b` int, `odd ``name` string").repartition(3)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        kept[name] = {r["a.b"] for r in out.select("`a.b`").collect()}
+        assert out.columns[: len(docs.columns)] == docs.columns or name == "mixture", name
+        assert {"a.b", "odd `name"} <= set(out.columns)
+        assert stage(spark, docs.limit(0), sf).collect() == [], name
+    assert kept["toxicity"] == kept["decontamination"] == kept["personal data"] == set(range(len(rows)))
+    groups = brute.op8([(i, t) for i, (_, t) in enumerate(rows)], 5)
+    words = {i for i, (_, t) in enumerate(rows) if SPACED_WORD.search(t or "")}
+    held = {g[2] for g in groups if g[0] in words}
+    assert len(kept["near duplicates"]) == len(held) + len(rows) - len(words)
+
+
 def test_pipeline_takes_topic_words_from_all_rows(spark):
     import corpus_pipeline
 
