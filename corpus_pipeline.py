@@ -8,6 +8,7 @@ mixture.  See the operators for null, empty and very long texts.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,11 +47,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _alone(stage):
-    """stage, begun after executors have given back the heap that the stages before it left full of garbage."""
+    """stage, begun after executors have given back the heap that the stages before it left full of garbage.
+
+    Columns whose names aren't words have others inside the stage.
+    """
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         exchange.collect_garbage(spark)
-        return stage(spark, docs, sf_dir)
+        odd = [c for c in docs.columns if not re.fullmatch(r"\w+", c)]
+        names = dict(zip(odd, exchange.fresh(docs, *(f"column_{i}" for i in range(len(odd))))))
+        out = stage(spark, docs.toDF(*(names.get(c, c) for c in docs.columns)), sf_dir)
+        back = {v: k for k, v in names.items()}
+        return out.toDF(*(back.get(c, c) for c in out.columns))
 
     return run
 
