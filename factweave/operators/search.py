@@ -101,7 +101,8 @@ def ranked(df: DataFrame, name: str, *order) -> DataFrame:
 
 def keyword(docs: DataFrame, query: list[str], k: int | None) -> DataFrame:
     """(content, score), all without k: sum of ln(1 + N/df) over the query's words that a document (content, text) has."""
-    held = docs.select("content", F.array_intersect(words(F.col("text")), F.array(*map(F.lit, query))).alias("hit"))
+    # texts are looked at once; what is kept of them has few words
+    held = checkpoint(docs.select("content", F.array_intersect(words(F.col("text")), F.array(*map(F.lit, query))).alias("hit")))
     n = held.agg(*(F.sum(F.array_contains("hit", w).cast("long")).alias(f"df{i}") for i, w in enumerate(query)), F.count(F.lit(1)).alias("n"))
     score = sum((F.when(F.array_contains("hit", w), F.log(1 + F.col("n") / F.col(f"df{i}"))).otherwise(0.0) for i, w in enumerate(query)), F.lit(0.0))
     found = held.crossJoin(F.broadcast(n)).where(F.size("hit") > 0)
@@ -115,11 +116,15 @@ def fuse(a: DataFrame, b: DataFrame, k: int = 60, window: int | None = None, nea
     A missing rank adds nothing.  With window, both lists end there and a missing rank counts as window + 1; with nearest,
     only the first so many of a are candidates.
     """
-    x, y = (ranked(df.select("content", "score"), r, F.desc("score"), F.col("content")).select("content", r) for df, r in ((a, "ra"), (b, "rb")))
-    if window is not None:
-        x, y = x.where(F.col("ra") <= window), y.where(F.col("rb") <= window)
-    if nearest is not None:
-        x = x.where(F.col("ra") <= nearest)
+
+    def places(df: DataFrame, name: str, most: int | None) -> DataFrame:
+        order = F.desc("score"), F.col("content")
+        if most is None:
+            return ranked(df.select("content", "score"), name, *order).select("content", name)
+        # a top-k, and a window over its rows alone
+        return df.orderBy(*order).limit(most).select("content", F.row_number().over(Window.orderBy(*order)).alias(name))
+
+    x, y = places(a, "ra", min((m for m in (window, nearest) if m is not None), default=None)), places(b, "rb", window)
     part = lambda r: F.coalesce(1.0 / (k + F.col(r)), F.lit(0.0 if window is None else 1.0 / (k + window + 1)))
     both = x.join(y, "content", "full_outer" if nearest is None else "left")
     return both.select("content", F.round(part("ra") + part("rb"), 9).alias("score"))

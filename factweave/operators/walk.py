@@ -32,23 +32,35 @@ def held(edges: DataFrame) -> DataFrame:
     return checkpoint(edges.select("src", "dst").distinct())
 
 
+#: Rows of a frontier or of what was visited that are broadcast; they are counted before.
+FEW = 100_000
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= FEW else df
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int, allowed: Column | None = None) -> DataFrame:
     """(node, depth, parent) of what starts(node) reach along edges (src, dst); of several parents, the least.
 
+    A frontier that is small when counted is brought to the edges, a large one meets them by a shuffle.
     allowed: a condition on dst that every step must meet; starts aren't asked.
     """
     steps = edges.select("src", "dst")
     if allowed is not None:
         steps = steps.where(allowed)
     seen = checkpoint(starts.select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).dropDuplicates(["node"]))
-    frontier = seen
+    frontier, n = seen, seen.count()
+    total = n
     for level in range(1, depth + 1):
-        found = frontier.join(steps, frontier.node == steps.src).groupBy("dst").agg(F.min("node").alias("parent"))
-        found = found.select(F.col("dst").alias("node"), F.lit(level).alias("depth"), "parent").join(seen.select("node"), "node", "left_anti")
+        own = _small(frontier.select("node"), n)
+        found = steps.join(own, own.node == steps.src).groupBy("dst").agg(F.min("src").alias("parent"))
+        found = found.select(F.col("dst").alias("node"), F.lit(level).alias("depth"), "parent").join(_small(seen.select("node"), total), "node", "left_anti")
         frontier = checkpoint(found.select("node", "depth", "parent"))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
-        seen = seen.unionAll(frontier)
+        seen, total = seen.unionAll(frontier), total + n
     return seen
 
 

@@ -1,4 +1,4 @@
-"""The fact graph, its service and its conversation loop on small stories."""
+"""The fact graph and its service on small stories."""
 
 import datetime as dt
 import json
@@ -11,7 +11,6 @@ from factweave import transport
 from factweave.functions import extract
 from factweave.functions.models import Embedder, Reranker, RuleResolver, chat_resolver, entailment_resolver, prompt, summary_words, template_answer
 from factweave.graph import FactGraph
-from factweave.loop import HEADER, MemoryLoop, rendered, summariser
 from factweave.service import MemoryService, authorised, from_environment, parse_time
 
 RAIN, FLOOD, LOSS, MARIA = "Heavy rain led to the flood of Genoa.", "The flood of Genoa caused delays at Port West.", "Losses at Acme resulted from delays at Port West.", "Maria Lopez works at Acme."
@@ -183,46 +182,8 @@ def test_service(spark):
     assert from_environment(spark, {"ALLOW_ANONYMOUS": "yes", "SPLIT_SENTENCES": "yes"}).split
 
 
-def test_recall(told):
-    loop = MemoryLoop(told, "s9", max_facts=4, top_k=2, hops=3)
-    block = loop.recall("Why are there losses at Acme?")
-    assert LOSS in [f["content"] for f in block.facts] and block.chain and "Heavy rain" in block.roots
-    assert block.narrative.index(RAIN) < block.narrative.index(LOSS)
-    assert block.text.startswith(loop.header) and "because:" in block.text and "Root causes" in block.text
-    loop.max_chars = 10
-    assert loop.render(block) == loop.header
-    assert loop.own_turn({"scopes": ["s9"]}) and loop.own_turn({"scopes": ["t", "t/s9"]}) and not loop.own_turn({"scopes": ["s9", "s1"]}) and not loop.own_turn({"scopes": []})
-
-
-def test_history_is_folded():
-    said = lambda role, n: {"role": role, "content": "x" * 4 * n}
-    loop = MemoryLoop(None, max_history_tokens=40, summarizer=lambda ms, max_tokens=None: f"{len(ms)} messages, {max_tokens}", summary_length_target=True)
-    short = [said("user", 5), said("assistant", 5)]
-    assert loop.fold_history(short) == short
-    long = [said("user", 30), said("assistant", 10), said("user", 10), said("assistant", 10), said("user", 9)]
-    assert loop.fold_history(long) == long[2:]  # the reply keeps its question
-    assert loop.flush_summary() == f"{HEADER}\n2 messages, 20" and loop.flush_summary() is None
-    again = loop.fold_history(long)
-    assert again[0]["content"].startswith(HEADER) and again[1:] == long[2:]
-    assert loop.fold_history([{"role": "system", "content": HEADER}, said("user", 50)])[-1] == said("user", 50)
-    loop.summarizer, loop.pending = (lambda ms: "plain"), long
-    assert loop.flush_summary() == f"{HEADER}\nplain"
-    loop.summarizer, loop.pending = (lambda ms: 1 / 0), long
-    assert loop.flush_summary() is None and loop.summary == f"{HEADER}\nplain"
-    assert "record of what came before: a" in rendered([{"role": "system", "content": f"{HEADER} a"}]) and summary_words(4) == 20
-    asked = []
-    summariser(lambda ms: asked.append(ms) or "s")([said("user", 1)], 100)
-    assert "75 words" in asked[0][0]["content"]
-
-
-def test_chat_remembers(spark):
-    loop = MemoryLoop(FactGraph(spark), "talk", redact=lambda t: t.replace("secret", "***"))
-    reply, block = loop.chat(lambda ms: f"{len(ms)} messages", [{"role": "user", "content": "My secret is Oslo Harbour."}], system="Be brief.")
-    assert reply == "2 messages" and not block.facts
-    assert set(loop.graph.lookup(["My *** is Oslo Harbour.", "2 messages"], "scopes")) == {"My *** is Oslo Harbour.", "2 messages"}
-
-
 def test_models(spark):
+    assert summary_words(4) == 20
     assert Embedder().score("alpha beta", ["alpha beta", "zzz"])[0] == pytest.approx(1, abs=1e-6)
     with pytest.raises(ValueError):
         Embedder("a-model-name")
