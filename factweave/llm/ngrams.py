@@ -83,7 +83,7 @@ def _selected(held: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[n
 def _marked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per row of docs: doc_id, node (its class; 0 for none), n_shingles; with a chunk's first row of a class that may have partners, its prefixes and shingles."""
     n = X.buckets(docs)
-    chunked = X.chunks(docs, ["doc_id", "text"])
+    chunked = X.chunks(docs, ["doc_id", "text"], size=2 << 20)
 
     def sets(table: pa.Table):
         """(node of each row, sizes, rows that are the first of their class, their shingles)."""
@@ -139,14 +139,20 @@ def _marked(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those of sizes that allow the similarity and with a shingle of both prefixes under every order."""
-    sides = [sets.select(F.col("node").alias(x), F.col("n_shingles").alias(f"size_{x}"), *(F.col(o).alias(f"{o}_{x}") for o in ORDERS)) for x in "ab"]
+    """Of pairs (a, b), those of sizes that allow the similarity and with a shingle of both prefixes under every order, by 32 bits."""
+    short = lambda o: F.transform(o, lambda x: F.shiftright(x, 32).cast("int"))
+    sides = [sets.select(F.col("node").alias(x), F.col("n_shingles").alias(f"size_{x}"), *(short(o).alias(f"{o}_{x}") for o in ORDERS)) for x in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     for o in ORDERS:
         both = both.where(F.arrays_overlap(f"{o}_a", f"{o}_b"))
     return both.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)").select("a", "b")
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those that are similar."""
+    return X.checkpoint(_confirmed(_near(pairs, sets, percent), sets.select("node", "shingles"), percent))
+
+
 def _pairs(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -177,24 +183,25 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     X.tune(docs.sparkSession)
     rows = X.checkpoint(_marked(docs.select("doc_id", "text"), k, percent))
     sets = X.checkpoint(rows.where("shingles is not null").select("node", "n_shingles", *ORDERS, "shingles").dropDuplicates(["node"]))
-    full = sets.select("node", "shingles")
-    links = X.checkpoint(_confirmed(_near(_led(sets), sets, percent), full, percent))
+    links = _linked(_led(sets), sets, percent)
     found = components(links)
-    held, rest = sets.select("node", "n_shingles", *ORDERS), []
+    held = sets.select("node", "n_shingles", *ORDERS)
     held = X.checkpoint(held.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    apart, rest = None, None
     for order in ORDERS:
         pairs, long = _lists(held, order)
-        rest.append(X.checkpoint(_confirmed(_near(pairs, sets, percent), full, percent)))
+        apart = pairs if apart is None else apart.unionByName(pairs)
         if long.isEmpty():
             break
         long = X.checkpoint(long.distinct())
         held = held.join(long.select("node").distinct(), "node", "left_semi")
     else:
-        rest.append(_across(long, full, percent))
-    for more in rest:
-        links = links.unionByName(more)
-    if any(not more.isEmpty() for more in rest):
-        found = components(links)
+        rest = _across(long, sets.select("node", "shingles"), percent)
+    more = _linked(apart.distinct(), sets, percent)
+    more = more if rest is None else X.checkpoint(more.unionByName(rest))
+    if not more.isEmpty():
+        # components are stars already
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     least = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("component_id"))
     named = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("component_id").alias("component_id"))
