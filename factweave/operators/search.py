@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import jaccard, trigrams, words
 from factweave.functions.vector import cosine
-from factweave.session import checkpoint, shared_folder
+from factweave.session import checkpoint, removed, shared_folder
 
 
 def knn(nodes: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
@@ -82,8 +82,12 @@ def knn_join_approximate(queries: DataFrame, nodes: DataFrame, k: int, cells: in
     """
     from factweave.operators.vector_index import VectorIndex
 
-    folder = f"{shared_folder(nodes.sparkSession)}/vectors-{uuid.uuid4()}"
-    return checkpoint(VectorIndex.fit(nodes, folder, cells, k=k).search(queries, k, factor, probe))
+    spark = nodes.sparkSession
+    folder = f"{shared_folder(spark)}/vectors-{uuid.uuid4()}"
+    try:
+        return checkpoint(VectorIndex.fit(nodes, folder, cells, k=k).search(queries, k, factor, probe))
+    finally:
+        removed(spark, folder)
 
 
 def ranked(df: DataFrame, name: str, *order) -> DataFrame:

@@ -46,3 +46,9 @@ def stored(spark: SparkSession, name: str, inputs: list[str], make) -> str:
         make(folder)
         fs.create(done).close()
     return folder
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
