@@ -226,6 +226,14 @@ def test_nothing_is_removed_unless_a_factor_says_so(docs, rows, monkeypatch, nam
     assert found != want and all(a[1] <= b[1] for a, b in zip(found, want))
 
 
+def test_buckets_that_have_nothing_to_answer_a_chunk(spark, docs, rows, monkeypatch):
+    """With many small buckets some of a chunk's have only stretches that others' windows are to meet."""
+    monkeypatch.setattr(lpf.X, "PER_BUCKET", 16)
+    for first in (False, True):
+        found = lpf.remove_repeated_bytes(docs, 200, first)
+        assert got(found, "doc_id", "n_bytes", "n_removed", "n_spans", sha("kept")) == sorted(brute.op9(rows, 200, first))
+
+
 def test_hot_minima_are_split(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(lpf, "HOT", 1)
     for first in (False, True):
