@@ -86,3 +86,24 @@ def test_products_are_those_of_the_decoded_vectors():
     scores = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ decoded.T
     by_code = table[:, np.arange(codes.shape[1]), codes].sum(2) + (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ model.centres[own].T
     assert np.allclose(scores, by_code)
+
+
+def test_near_copies_are_told_apart(spark, tmp_path):
+    """A group of near copies that is far longer than a short list: nine or more of each query's ten nearest are found."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(20, 64))
+    rows = [(f"n{i}", (base[i % 20] + 0.08 * rng.normal(size=64)).tolist()) for i in range(8000)]
+    nodes = spark.createDataFrame(rows, NODES).repartition(8)
+    index = VectorIndex.fit(nodes, str(tmp_path / "index"))
+    asked = nodes.where("substr(content, -2) = '00'").withColumnRenamed("content", "query")
+    exact, found = pairs(search.knn_join(asked, nodes, 10)), pairs(index.search(asked, 10))
+    missed = [q for q, _ in exact - found]
+    assert max(missed.count(q) for q in set(missed) | {""}) <= 1
+
+
+def test_batches_of_packs_are_small(spark, tmp_path):
+    """Packs are hundreds of kilobytes, so Arrow batches of thousands of them would not fit."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    nodes = spark.createDataFrame([(f"n{i}", [float(i), 1.0]) for i in range(30)], NODES)
+    VectorIndex.fit(nodes, str(tmp_path / "index")).search(nodes.withColumnRenamed("content", "query"), 3)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(4 << 20)
