@@ -3,8 +3,9 @@
 A folder holds four Parquet tables, all of them added to batch by batch:
 
 - `postings`: for each word and block of contents the contents that have it, dealt to
-  directories by a checksum of the word and sorted by word within files.  A block is a
-  range of the contents' hash, so a frequent word has many rows of bounded size.
+  directories by a checksum of the word and sorted by word within files.  A block is some
+  contents that a task has read together, so a frequent word has many rows of bounded
+  size, and only lists are shuffled, not a row for each word of a content.
 - `words`: each word with its number of contents.
 - `grams`: the trigrams of each word, dealt and sorted by trigram.
 - `stats`: how many contents there are.
@@ -21,15 +22,22 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.text import WORD, trigrams, words
-from factweave.session import checkpoint
+from factweave.session import checkpoint, small_batches
 
-#: Directories of a table, contents of a block, and values that are pushed down as a list.
-BUCKETS, BLOCK, LISTED = 32, 1024, 10_000
+#: Directories of a table, contents of a block at most, and values that are pushed down as a list.
+BUCKETS, BLOCK, LISTED = 32, 8192, 10_000
+#: Bytes of words after which a block ends too, files of a directory, and contents for each task that writes.
+BYTES, FILES, SHARE = 32 << 20, 8, 10_000
 
 
 #: The columns of the tables; a batch may have written no file at all.
@@ -48,6 +56,36 @@ def _grams(word: str) -> set[str]:
     return {padded[i : i + 3] for i in range(len(padded) - 2)}
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, block, contents) of blocks of (content, words)."""
+    block, held, size, rows = TaskContext.get().partitionId() << 15, [], 0, 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks().sort_by("content")
+        own = table["words"].combine_chunks()
+        names, row = table["content"].combine_chunks(), pc.list_parent_indices(own)
+        words_ = own.flatten().dictionary_encode()
+        code = words_.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        count = np.bincount(code, minlength=len(words_.dictionary))
+        contents = names.take(row.take(pa.array(order)))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]), pa.int32()), contents)
+        all_ = pa.RecordBatch.from_arrays([words_.dictionary, pa.array(np.full(len(count), block & 0x7FFFFFFF), pa.int32()), lists], ["word", "block", "contents"])
+        for low in range(0, len(count), 4096):
+            yield all_.slice(low, 4096)
+
+    for batch in batches:
+        for low in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(low, BLOCK)
+            if held and (rows + part.num_rows > BLOCK or size > BYTES):
+                yield from out()
+                block, held, size, rows = block + 1, [], 0, 0
+            held.append(part)
+            size, rows = size + part.nbytes, rows + part.num_rows
+    if held:
+        yield from out()
+
+
 class WordIndex:
     """The index in a folder; `build` makes one, `WordIndex(spark, folder)` opens it."""
 
@@ -67,20 +105,22 @@ class WordIndex:
     def _write(self, docs: DataFrame, batch: int) -> None:
         docs = docs.where("content is not null")
         n = docs.count()
-        block = F.pmod(F.xxhash64("content"), F.lit(max(1, -(-n // BLOCK)))).cast("int")
-        held = docs.select("content", block.alias("block"), F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-        lists = held.groupBy("word", "block").agg(F.sort_array(F.collect_list("content")).alias("contents")).withColumn("batch", F.lit(batch))
-        self._append(lists, "postings", "word", "block")
+        small_batches(self.spark)
+        held = docs.select(F.col("content").cast("string"), F.coalesce(F.array_distinct(words(F.col("text"))), F.array().cast("array<string>")).alias("words"))
+        lists = held.mapInArrow(_lists, "word string, block int, contents array<string>")
+        tasks = min(BUCKETS * FILES, max(FILES, -(-n // SHARE)))
+        self._append(lists, "postings", batch, tasks, "word", "block")
         # what was written a moment ago, not the texts again
         mine = self._table("postings").where(F.col("batch") == batch)
-        self._append(mine.groupBy("word").agg(F.sum(F.size("contents")).alias("df")).withColumn("batch", F.lit(batch)), "words", "word")
-        grams = mine.select("word").distinct().withColumn("own", trigrams(F.col("word")))
-        self._append(grams.select(F.explode("own").alias("gram"), "word", F.size("own").alias("n")).withColumn("batch", F.lit(batch)), "grams", "gram", "word")
+        self._append(mine.groupBy("word").agg(F.sum(F.size("contents")).alias("df")), "words", batch, tasks, "word")
+        grams = self._table("words").where(F.col("batch") == batch).select("word", trigrams(F.col("word")).alias("own"))
+        self._append(grams.select(F.explode("own").alias("gram"), "word", F.size("own").alias("n")), "grams", batch, tasks, "gram", "word")
         self.spark.createDataFrame([(n, batch)], "n long, batch int").coalesce(1).write.mode("append").parquet(f"{self.folder}/stats")
 
-    def _append(self, df: DataFrame, name: str, key: str, *more: str) -> None:
-        df = df.withColumn("bucket", (F.crc32(key) % BUCKETS).cast("int"))
-        df.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", key, *more).write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+    def _append(self, df: DataFrame, name: str, batch: int, tasks: int, key: str, *more: str) -> None:
+        bucket = (F.crc32(key) % BUCKETS).cast("int")
+        dealt = df.repartition(tasks, bucket, F.pmod(F.xxhash64(key), F.lit(FILES))).withColumns({"batch": F.lit(batch), "bucket": bucket})
+        dealt.sortWithinPartitions("bucket", key, *more).write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/{name}")
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}")

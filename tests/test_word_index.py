@@ -92,3 +92,18 @@ def test_batches_add_up(docs, tmp_path):
 def test_an_empty_index(spark, tmp_path):
     index = WordIndex.build(spark.createDataFrame([], DOCS), str(tmp_path / "index"))
     assert index.keyword(["a"], 3).collect() == [] == index.fuzzy(["a"], 3).collect()
+
+
+def test_only_lists_are_shuffled(docs, rows, tmp_path):
+    """The shuffle that writes the lists has a row a word and block, not one for each word of a content."""
+    status = docs.sparkSession.sparkContext._jsc.sc().statusStore()
+    none = docs.sparkSession.sparkContext._gateway.new_array(docs.sparkSession.sparkContext._jvm.double, 0)
+
+    def written():
+        stages = status.stageList(None, False, False, none, None)
+        return [stages.apply(i).shuffleWriteRecords() for i in range(stages.size())]
+
+    again = docs.sparkSession.createDataFrame(rows * 4, DOCS).repartition(4).withColumn("content", F.concat("content", F.lit("-"), F.monotonically_increasing_id())).localCheckpoint()
+    before = len(written())
+    WordIndex.build(again, str(tmp_path / "index"))
+    assert max(written()[: -before or None], default=0) < 2000 < again.count()
