@@ -165,3 +165,14 @@ def test_streams_enrich_facts(spark, tmp_path):
     assert {"Rain", "floods in Genoa", "Genoa"} <= {r["content"] for r in nodes.collect()}
     assert ("Rain", "floods in Genoa", "causes") in {(r["src"], r["dst"], r["label"]) for r in edges.collect()}
     assert ingest.pending(spark, str(tmp_path / "out")) == 0
+
+
+def test_cues_that_a_text_does_not_have_are_not_searched(monkeypatch):
+    said, low = "The fan stopped because of dust.", "the fan stopped because of dust."
+
+    class Absent:
+        def finditer(self, _):
+            raise AssertionError("searched")
+
+    monkeypatch.setattr(text, "_CUES", [(rx if cue in low else Absent(), cue, before) for rx, cue, before in text._CUES])
+    assert text.cue_relation(said) == ("dust", "The fan stopped")
