@@ -176,3 +176,13 @@ def test_cues_that_a_text_does_not_have_are_not_searched(monkeypatch):
 
     monkeypatch.setattr(text, "_CUES", [(rx if cue in low else Absent(), cue, before) for rx, cue, before in text._CUES])
     assert text.cue_relation(said) == ("dust", "The fan stopped")
+
+
+def test_blocks_of_queries_are_compared_some_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"n{i}", rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(50)]
+    nodes = spark.createDataFrame(rows, "content string, embedding array<float>").coalesce(1)
+    found = [sorted(map(tuple, search.knn_join(nodes.withColumnRenamed("content", "query"), nodes, 3).collect()))]
+    monkeypatch.setattr(search, "ROWS", 7)
+    found.append(sorted(map(tuple, search.knn_join(nodes.withColumnRenamed("content", "query"), nodes, 3).collect())))
+    assert found[0] == found[1] and len(found[0]) == 150
