@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.operators.walk import solely_supported  # noqa: F401
 
 def cross_session(scopes: Column, asked: list[str] | None) -> Column:
     """Whether a fact has none of the scopes asked for; false if none were."""
@@ -81,9 +82,3 @@ def chain_to(hops: DataFrame, arrived: Column) -> DataFrame:
 def survivors(pruned: DataFrame, left: DataFrame) -> DataFrame:
     """(span): ends of pruned edges (src, dst) that what is left still reaches (node)."""
     return pruned.select(F.col("dst").alias("node")).distinct().join(left.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("span"))
-
-
-def solely_supported(support: DataFrame, pruned: DataFrame) -> DataFrame:
-    """Edges (src, dst) of support (src, dst, fact) that only pruned facts assert."""
-    marks = support.join(pruned.select("fact", F.lit(1).alias("_gone")), "fact", "left")
-    return marks.groupBy("src", "dst").agg(F.min(F.coalesce("_gone", F.lit(0))).alias("cut")).where("cut = 1").select("src", "dst")

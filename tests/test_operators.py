@@ -186,3 +186,27 @@ def test_blocks_of_queries_are_compared_some_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(search, "ROWS", 7)
     found.append(sorted(map(tuple, search.knn_join(nodes.withColumnRenamed("content", "query"), nodes, 3).collect())))
     assert found[0] == found[1] and len(found[0]) == 150
+
+
+def test_single_walks_shuffle_no_edges(spark):
+    """Edges that repeat meet a small frontier, and facts only those of its nodes: all edges are never dealt out by key."""
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")], "src string, dst string")
+    starts = spark.createDataFrame([("a",)], "node string")
+    facts_ = spark.createDataFrame([("a", "b", "f"), ("a", "b", "f"), ("a", "c", "f"), ("a", "c", "g"), ("d", "e", "f")], "src string, dst string, fact string")
+    gone = spark.createDataFrame([("f",)], "fact string")
+    assert pairs(walk.solely_supported(facts_, gone)) == [("a", "b"), ("d", "e")]
+    asked = []
+
+    def blocked(nodes):
+        asked.append(sorted(r["src"] for r in nodes.collect()))
+        return walk.solely_supported(facts_, gone, nodes)
+
+    assert pairs(walk.reach(edges, starts, 3, blocked=blocked).select("node", "depth")) == [("a", 0), ("c", 1), ("d", 2)]
+    assert asked == [["a"], ["c"], ["d"]]
+    assert pairs(walk.collapsed(edges, facts_, gone, starts, 3)) == [("b", 1), ("e", 3)]
+    assert pairs(walk.terminals(edges, walk.reach(edges, starts, 3))) == [("e", 3)]
+    plan = walk.terminals(edges, walk.reach(edges, starts, 3))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert pairs(walk.budgeted(edges, starts, 1, 1)) == [("a", 0, 0), ("b", 1, 0), ("c", 1, 0)]
+    scores = edges.select("src", F.ascii("src").cast("double").alias("score")).unionAll(edges.select("dst", F.ascii("dst").cast("double"))).toDF("node", "score")
+    assert pairs(walk.reranked(edges, scores, starts, 3, 1)) == [("a", 0), ("c", 1), ("d", 2)]
