@@ -195,6 +195,7 @@ def test_single_walks_shuffle_no_edges(spark):
     facts_ = spark.createDataFrame([("a", "b", "f"), ("a", "b", "f"), ("a", "c", "f"), ("a", "c", "g"), ("d", "e", "f")], "src string, dst string, fact string")
     gone = spark.createDataFrame([("f",)], "fact string")
     assert pairs(walk.solely_supported(facts_, gone)) == [("a", "b"), ("d", "e")]
+    assert "REPARTITION_BY_NUM" in walk.solely_supported(facts_, gone)._jdf.queryExecution().executedPlan().toString()
     asked = []
 
     def blocked(nodes):
