@@ -7,7 +7,7 @@ A folder holds four Parquet tables, all of them added to batch by batch:
   contents that a task has read together, so a frequent word has many rows of bounded
   size, and only lists are shuffled, not a row for each word of a content.
 - `words`: each word with its number of contents.
-- `grams`: the trigrams of each word, dealt and sorted by trigram.
+- `grams`: for each trigram and block of words the words that have it, dealt and sorted by trigram.
 - `stats`: how many contents there are.
 
 A keyword search for k contents reads `words` first.  If a word has k contents or
@@ -31,19 +31,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.functions.text import WORD, trigrams, words
+from factweave.functions.text import WORD, padded_trigrams, trigrams, words
 from factweave.session import checkpoint, small_batches
 
 #: Directories of a table, contents of a block at most, and values that are pushed down as a list.
 BUCKETS, BLOCK, LISTED = 32, 8192, 10_000
+#: Words of a block of `grams`; a word has few trigrams.
+SPELLED = 65_536
 #: Bytes of words after which a block ends too, files of a directory, and contents for each task that writes.
 BYTES, FILES, SHARE = 32 << 20, 8, 10_000
 
 
 #: The columns of the tables; a batch may have written no file at all.
 TABLES = {
-    "postings": "word string, block int, contents array<string>, batch int, bucket int", "words": "word string, df long, batch int, bucket int",
-    "grams": "gram string, word string, n int, batch int, bucket int", "stats": "n long, batch int",
+    "postings": "word string, block int, contents array<string>, n int, batch int, bucket int", "words": "word string, df long, batch int, bucket int",
+    "grams": "gram string, block int, words array<string>, n int, batch int, bucket int", "stats": "n long, batch int",
 }
 
 
@@ -51,13 +53,8 @@ def _bucket(x: str) -> int:
     return zlib.crc32(x.encode()) % BUCKETS
 
 
-def _grams(word: str) -> set[str]:
-    padded = f"  {word.lower()} "
-    return {padded[i : i + 3] for i in range(len(padded) - 2)}
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, block, contents) of blocks of (content, words)."""
+def _lists(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """(word, block, contents, n) of blocks of (content, words), with `most` contents at most."""
     block, held, size, rows = TaskContext.get().partitionId() << 15, [], 0, 0
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -70,14 +67,15 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.bincount(code, minlength=len(words_.dictionary))
         contents = names.take(row.take(pa.array(order)))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]), pa.int32()), contents)
-        all_ = pa.RecordBatch.from_arrays([words_.dictionary, pa.array(np.full(len(count), block & 0x7FFFFFFF), pa.int32()), lists], ["word", "block", "contents"])
+        blocks, n = pa.array(np.full(len(count), block & 0x7FFFFFFF), pa.int32()), pa.array(count, pa.int32())
+        all_ = pa.RecordBatch.from_arrays([words_.dictionary, blocks, lists, n], ["word", "block", "contents", "n"])
         for low in range(0, len(count), 4096):
             yield all_.slice(low, 4096)
 
     for batch in batches:
-        for low in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(low, BLOCK)
-            if held and (rows + part.num_rows > BLOCK or size > BYTES):
+        for low in range(0, batch.num_rows, most):
+            part = batch.slice(low, most)
+            if held and (rows + part.num_rows > most or size > BYTES):
                 yield from out()
                 block, held, size, rows = block + 1, [], 0, 0
             held.append(part)
@@ -86,6 +84,17 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_lists of words, which are in lower case, by trigrams."""
+
+    def own() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [list(padded_trigrams(w)) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(grams, pa.list_(pa.string()))], ["content", "words"])
+
+    return _lists(own(), SPELLED)
+
+
 class WordIndex:
     """The index in a folder; `build` makes one, `WordIndex(spark, folder)` opens it."""
 
@@ -107,14 +116,14 @@ class WordIndex:
         n = docs.count()
         small_batches(self.spark)
         held = docs.select(F.col("content").cast("string"), F.coalesce(F.array_distinct(words(F.col("text"))), F.array().cast("array<string>")).alias("words"))
-        lists = held.mapInArrow(_lists, "word string, block int, contents array<string>")
+        lists = held.mapInArrow(_lists, "word string, block int, contents array<string>, n int")
         tasks = min(BUCKETS * FILES, max(FILES, -(-n // SHARE)))
         self._append(lists, "postings", batch, tasks, "word", "block")
         # what was written a moment ago, not the texts again
         mine = self._table("postings").where(F.col("batch") == batch)
-        self._append(mine.groupBy("word").agg(F.sum(F.size("contents")).alias("df")), "words", batch, tasks, "word")
-        grams = self._table("words").where(F.col("batch") == batch).select("word", trigrams(F.col("word")).alias("own"))
-        self._append(grams.select(F.explode("own").alias("gram"), "word", F.size("own").alias("n")), "grams", batch, tasks, "gram", "word")
+        self._append(mine.groupBy("word").agg(F.sum("n").alias("df")), "words", batch, tasks, "word")
+        grams = self._table("words").where(F.col("batch") == batch).select("word").mapInArrow(_spelled, "word string, block int, contents array<string>, n int")
+        self._append(grams.toDF("gram", "block", "words", "n"), "grams", batch, tasks, "gram", "block")
         self.spark.createDataFrame([(n, batch)], "n long, batch int").coalesce(1).write.mode("append").parquet(f"{self.folder}/stats")
 
     def _append(self, df: DataFrame, name: str, batch: int, tasks: int, key: str, *more: str) -> None:
@@ -170,10 +179,13 @@ class WordIndex:
 
     def spellings(self, query: list[str], least: float = 0.45) -> DataFrame:
         """(word, q): the indexed words that share so many trigrams with a word of the query."""
-        asked = self.spark.createDataFrame([(q, len(_grams(q)), g) for q in query for g in sorted(_grams(q))], "q string, m int, gram string")
-        grams = self._rows("grams", "gram", sorted(set().union(*map(_grams, query)))).select("gram", "word", "n").distinct()
-        shared = grams.join(F.broadcast(asked), "gram").groupBy("word", "n", "q", "m").agg(F.count(F.lit(1)).alias("both"))
-        return shared.where(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= least).select("word", "q")
+        own = {q: padded_trigrams(q.lower()) for q in query}
+        asked = self.spark.createDataFrame([(q, len(t), g) for q, t in own.items() for g in sorted(t)], "q string, m int, gram string")
+        grams = self._rows("grams", "gram", sorted(set().union(*own.values()))).select("gram", F.explode("words").alias("word")).distinct()
+        shared = grams.join(F.broadcast(asked), "gram").groupBy("word", "q", "m").agg(F.count(F.lit(1)).alias("both"))
+        # a word has what is shared at least, so few are left to be counted
+        few = shared.where(F.col("both") >= least * F.col("m") - 1e-6).withColumn("n", F.size(trigrams(F.col("word"))))
+        return few.where(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= least).select("word", "q")
 
     def _of(self, spelled: DataFrame) -> DataFrame:
         """spelled (word, ...) with the contents of each word."""

@@ -107,3 +107,21 @@ def test_only_lists_are_shuffled(docs, rows, tmp_path):
     before = len(written())
     WordIndex.build(again, str(tmp_path / "index"))
     assert max(written()[: -before or None], default=0) < 2000 < again.count()
+
+
+def test_trigrams_are_shuffled_as_lists(spark, tmp_path):
+    """The shuffle that writes the trigrams has a row a trigram and block, not one for each trigram of a word."""
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(f"d{i}", " ".join("".join(rng.choice("abcdé") for _ in range(12)) for _ in range(10))) for i in range(300)], DOCS).repartition(4).localCheckpoint()
+    status = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        found = status.stageList(None, False, False, none, None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    index = WordIndex.build(docs, str(tmp_path / "index"))
+    assert max(n for stage, n in stages().items() if stage not in before) <= 3000
+    query = ["abcdéabcdéab", "ddcba"]
+    assert got(index.fuzzy(query, None, 0.2)) == got(search.fuzzy_keyword(docs, query, None, 0.2)) != []
