@@ -1,6 +1,10 @@
 """Operators on small graphs written out here."""
 
 import datetime as dt
+import math
+import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -211,3 +215,53 @@ def test_single_walks_shuffle_no_edges(spark):
     assert pairs(walk.budgeted(edges, starts, 1, 1)) == [("a", 0, 0), ("b", 1, 0), ("c", 1, 0)]
     scores = edges.select("src", F.ascii("src").cast("double").alias("score")).unionAll(edges.select("dst", F.ascii("dst").cast("double"))).toDF("node", "score")
     assert pairs(walk.reranked(edges, scores, starts, 3, 1)) == [("a", 0), ("c", 1), ("d", 2)]
+
+
+def brute_fuzzy(rows, query, least=0.45):
+    """(content, score) of rows (content, text), by plain loops."""
+    grams = lambda w: {f"  {w} "[i : i + 3] for i in range(len(w) + 1)}
+    hits = set()
+    for content, text_ in rows:
+        for word in re.findall(r"\w{2,}", (text_ or "").lower()):
+            a = grams(word)
+            hits |= {(content, q) for q in query if len(a & grams(q)) / len(a | grams(q)) >= least}
+    df = Counter(q for _, q in hits)
+    scores = Counter()
+    for content, q in hits:
+        scores[content] += math.log(1 + len(rows) / df[q])
+    return {c: round(x, 6) for c, x in scores.items()}
+
+
+def many_words(spark, n=1500):
+    rng = random.Random(5)
+    near = ["trash", "trsh", "trashes", "Licence", "licenses", "öffnen", "offnen", "a"]
+    rows = [(f"d{i % (n - 9)}", " ".join([f"w{rng.randrange(400)}" for _ in range(20)] + rng.sample(near, 1 if i % 3 else 0))) for i in range(n)]
+    rows += [("none", None), ("empty", ""), ("signs", "- . -")]
+    return rows, spark.createDataFrame(rows, "content string, text string").repartition(4).localCheckpoint()
+
+
+def shuffled(spark, run):
+    """Rows that all stages of run() write to shuffles."""
+    status = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        found = status.stageList(None, False, False, none, None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    out = run()
+    return out, sum(n for stage, n in stages().items() if stage not in before)
+
+
+def test_similar_text_looks_at_texts_once(spark):
+    """Query words that texts have are shuffled, not the texts' words; nothing is searched a second time."""
+    rows, docs = many_words(spark)
+    got, n = shuffled(spark, lambda: search.similar_text(docs, "trash licence", 2000).collect())
+    assert dict(map(tuple, got)) == brute_fuzzy(rows, ["trash", "licence"])
+    assert n < 6000 < 20 * len(rows)
+
+
+def test_similar_text_falls_back_to_whole_texts(spark):
+    docs = spark.createDataFrame([("a", "abcdefgh"), ("b", "zzz"), ("c", None)], "content string, text string")
+    assert [r["content"] for r in search.similar_text(docs, "abcd", 5).collect()] == ["a"]
