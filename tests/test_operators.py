@@ -265,3 +265,12 @@ def test_similar_text_looks_at_texts_once(spark):
 def test_similar_text_falls_back_to_whole_texts(spark):
     docs = spark.createDataFrame([("a", "abcdefgh"), ("b", "zzz"), ("c", None)], "content string, text string")
     assert [r["content"] for r in search.similar_text(docs, "abcd", 5).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("query", [["trash"], ["licence", "öffnen", "w17"], ["trash"] * 2, ["nowhere"], ["of the", "w(1", "a"], [f"w{i}" for i in range(60)]])
+def test_fuzzy_words_are_matched_where_they_are_read(spark, query):
+    """Query words that texts have are shuffled, not the texts' words."""
+    rows, docs = many_words(spark)
+    got, n = shuffled(spark, lambda: search.fuzzy_keyword(docs, query, None).collect())
+    assert {r["content"]: r["score"] for r in got} == pytest.approx(brute_fuzzy(rows, set(query)), abs=2e-6)
+    assert n < (40 if len(query) > 9 else 4) * len(rows)
